@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_bpe
 from .secrets import op7_secrets
+from .toxicity import op6_toxicity
 from .warc import OP2_SQL, op2_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
+    "op6_toxicity": op6_toxicity,
     "op7_secrets": op7_secrets,
 }
 ORACLE_SQL: dict[str, str] = {
