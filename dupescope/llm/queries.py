@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_bpe
+from .language import op5_language
 from .secrets import op7_secrets
 from .toxicity import op6_toxicity
 from .warc import OP2_SQL, op2_warc
@@ -14,6 +15,7 @@ from .warc import OP2_SQL, op2_warc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
+    "op5_language": op5_language,
     "op6_toxicity": op6_toxicity,
     "op7_secrets": op7_secrets,
 }
