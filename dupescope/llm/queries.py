@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_bpe
+from .jaccard import op10_jaccard_join
 from .language import op5_language
+from .quality import op8_quality_rules
 from .secrets import op7_secrets
 from .toxicity import op6_toxicity
 from .warc import OP2_SQL, op2_warc
@@ -18,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language": op5_language,
     "op6_toxicity": op6_toxicity,
     "op7_secrets": op7_secrets,
+    "op8_quality_rules": op8_quality_rules,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": OP2_SQL,
