@@ -45,8 +45,6 @@ WORDS = 5
 NUM, DEN = 4, 5
 #: Documents from which a shingle counts as frequent.
 FREQUENT = 32
-#: Bits of the filters that are broadcast: a fixed 2 MB whatever the input.
-FILTER_BITS = 1 << 24
 #: Members from which a block is dealt out over several tasks.
 SPLIT = 1000
 LEAF, FAN = 16, 4
@@ -181,24 +179,6 @@ def block_pairs(ids: np.ndarray, sizes: np.ndarray, planes: list[np.ndarray], gr
                     yield ids[i[keep]], ids[j[keep]]
 
 
-# ---------------------------------------------------------------- filters of fixed size
-
-
-def filter_of(hashes: DataFrame) -> np.ndarray:
-    """A bit set of FILTER_BITS bits over the column ``h``; at most FILTER_BITS / 64 rows reach the driver."""
-    at = hashes.select(F.col("h").bitwiseAND(FILTER_BITS - 1).alias("at"))
-    word = at.selectExpr("shiftright(at, 6) AS w", "shiftleft(1L, CAST(at & 63 AS INT)) AS b").groupBy("w").agg(F.bit_or("b").alias("b"))
-    got = word.toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[got["w"].to_numpy()] = got["b"].to_numpy()
-    return out.view(U64)
-
-
-def in_filter(bitset: np.ndarray, x: np.ndarray) -> np.ndarray:
-    at = x & U64(FILTER_BITS - 1)
-    return (bitset[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) != 0
-
-
 # ---------------------------------------------------------------- passes over the texts
 
 
@@ -228,7 +208,7 @@ def set_batches(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iter
             for text in texts:
                 x = shingles(text, hashes)
                 d = np.frombuffer(hashlib.md5(x.tobytes()).digest(), np.int64)
-                common_ones = in_filter(frequent, x)
+                common_ones = common.in_filter(frequent, x)
                 order = np.concatenate([x[~common_ones], x[common_ones]])
                 for column, value in zip(out, (len(x), int(d[0]), int(d[1]), signature(x).tobytes(), order[: prefix_length(len(x))].view(np.int64)), strict=True):
                     column.append(value)
@@ -240,7 +220,7 @@ def shingle_batches(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> It
     """(id, x): sets of the documents that the filter wants."""
     hashes = common.WordHashes()
     for ids, keys, texts in common.rows(batches, "doc_id", "h", "text"):
-        good = in_filter(wanted, np.array(keys, np.int64).view(U64)) if ids else []
+        good = common.in_filter(wanted, np.array(keys, np.int64).view(U64)) if ids else []
         found = [(i, shingles(t, hashes).tobytes()) for i, t, g in zip(ids, texts, good, strict=True) if g]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["id", "x"])
 
@@ -291,7 +271,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, bounded: bool)
         pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(bound_batches, "a long, b long").distinct()
     pairs = common.written(pairs, "jaccard-pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    wanted = docs.sparkSession.sparkContext.broadcast(filter_of(ids.select(F.xxhash64("id").alias("h"))))
+    wanted = docs.sparkSession.sparkContext.broadcast(common.filter_of(ids.select(F.xxhash64("id").alias("h"))))
     x = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(lambda b: shingle_batches(b, wanted.value), "id long, x binary")
     x = common.written(x, "jaccard-sets")
     both = pairs.join(x.select(F.col("id").alias("a"), F.col("x").alias("xa")), "a").join(x.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b")
@@ -331,7 +311,7 @@ def linked(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     counts = docs.where("doc_id is not null").mapInArrow(frequent_batches, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    frequent = spark.sparkContext.broadcast(filter_of(counts.select("h")))
+    frequent = spark.sparkContext.broadcast(common.filter_of(counts.select("h")))
     every = common.written(docs.mapInArrow(lambda b: set_batches(b, frequent.value), SET_TYPES), "jaccard-docs")
 
     # equal sets: the least doc_id stands for all
@@ -345,14 +325,14 @@ def linked(docs: DataFrame) -> DataFrame:
     # blocks: prefix shingles of two or more sets
     blocks = sets.select(F.explode("prefix").alias("h"), "doc_id").groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h")
     blocks = common.written(blocks, "jaccard-blocks")
-    shared = spark.sparkContext.broadcast(filter_of(blocks))
+    shared = spark.sparkContext.broadcast(common.filter_of(blocks))
 
     def prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("prefix")
             h = lists.flatten().to_numpy(zero_copy_only=False)
             owner = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))
-            good = in_filter(shared.value, h.view(U64))
+            good = common.in_filter(shared.value, h.view(U64))
             yield pa.RecordBatch.from_arrays([pa.array(h[good]), pa.array(owner[good])], names=["h", "rep"])
 
     members = sets.select("doc_id", "prefix").mapInArrow(prefix_rows, "h long, rep long").join(blocks, "h").distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_bpe
 from .jaccard import op10_jaccard_join
+from .katz import op3_katz
 from .language import op5_language
 from .quality import op8_quality_rules
 from .secrets import op7_secrets
@@ -17,6 +18,7 @@ from .warc import OP2_SQL, op2_warc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
+    "op3_katz": op3_katz,
     "op5_language": op5_language,
     "op6_toxicity": op6_toxicity,
     "op7_secrets": op7_secrets,
