@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -189,8 +190,10 @@ def labelled(docs: DataFrame, labels: DataFrame, per_label: int) -> list[Row]:
     bad = {r.doc_id for r in parts[0]}
     chosen = docs.sparkSession.createDataFrame([(r.doc_id,) for p in parts for r in p], "doc_id long")
     few = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * per_label rows
-    rows = statistics(few).where(~base_failed()).select("doc_id", *(F.expr(e).alias(n) for n, e in FEATURES.items())).orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).collect()
-    return [({n: float(r[n]) for n in FEATURES}, r.doc_id in bad) for r in rows]
+    # the base rule is applied here: as a filter in the plan it would sink below the join and be computed for every document
+    rows = statistics(few).select("doc_id", "n_repeat_words", *(F.expr(e).alias(n) for n, e in FEATURES.items())).collect()
+    rows = [r for r in rows if r.n_words >= MIN_WORDS and 100 * r.n_repeat_words <= MAX_REPEAT_PERCENT * r.n_words]
+    return [({n: float(r[n]) for n in FEATURES}, r.doc_id in bad) for r in sorted(rows, key=lambda r: (xxhash.xxh3_64_intdigest(b"%d" % r.doc_id), r))]
 
 
 def judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
