@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,21 +123,22 @@ def block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list
     """(block id, doc ids, held out, hashes, lengths, train) of each block of a task."""
     hashes = common.WordHashes()
     held: list[tuple] = []
-    size = 0
+    size = number = 0
+    task = TaskContext.get().partitionId()
 
     def flush() -> tuple:
         lengths = np.array([len(x[2]) for x in held], np.int64)
         out = np.array([x[1] for x in held], bool)
         flat = np.concatenate([x[2] for x in held])
         # equal blocks differ by their place; every pass over the same table sees the same blocks
-        name = xxhash.xxh3_64_intdigest(repr([x[0] for x in held]).encode() + lengths.tobytes() + flat[:64].tobytes())
+        name = xxhash.xxh3_64_intdigest(repr([task, number, *(x[0] for x in held)]).encode() + lengths.tobytes() + flat[:64].tobytes())
         return int(np.uint64(name).view(np.int64)), [x[0] for x in held], out, flat, lengths, ~out
 
     for batch in common.slices(batches, "text", BLOCK_BYTES):
         more = batch.column(batch.schema.get_field_index("text")).nbytes
         if held and size + more > BLOCK_BYTES:
             yield flush()
-            held, size = [], 0
+            held, size, number = [], 0, number + 1
         size += more
         for ids, texts, outs in common.rows([batch], "doc_id", "text", "held_out"):
             for doc_id, text, out in zip(ids, texts, outs, strict=True):
@@ -251,29 +253,24 @@ def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def score_block(left: pa.Table, right: pa.Table, order: int, parts: int, model: Discounts, needed: np.ndarray) -> pa.Table:
-    """Step 4 for one block (or several equal ones): partial scores, masses, questions."""
+    """Step 4 for one block: partial scores, masses, questions."""
     made: list[tuple] = []
     if not left.num_rows or not right.num_rows:
         raise RuntimeError("blocks and answers differ: the documents changed between two passes; write them to a table first")
     answers = sorted(right.to_pylist(), key=lambda r: (r["k"], r["part"]))
-    for copy, row in enumerate(left.to_pylist()):
+    for row in left.to_pylist():
         lengths = unpack(row["lengths"], np.int64)
         local = np.ascontiguousarray(unpack(row["tokens"], np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1)
         out = unpack(row["out"], bool)
         block = Block(unpack_keys(row["words"])[local], lengths, ~out, order)
         total, owned = {}, {}
         for k in range(1, order + 1):
-            # equal blocks get an answer each; of one part the first owner bits win
-            by_part: dict[int, list[dict]] = {}
-            for a in answers:
-                if a["k"] == k:
-                    by_part.setdefault(a["part"], []).append(a)
-            got = [by_part[p] for p in sorted(by_part)]
-            total[k] = np.concatenate([unpack(a[min(copy, len(a) - 1)]["counts"], np.int64) for a in got])
+            got = [a for a in answers if a["k"] == k]
+            counts = [unpack(a["counts"], np.int64) for a in got]
+            total[k] = np.concatenate(counts)
+            owned[k] = np.concatenate([np.unpackbits(unpack(a["owned"], np.uint8), count=len(c)).astype(bool) for a, c in zip(got, counts, strict=True)])
             if len(total[k]) != len(block.keys[k]):
                 raise RuntimeError("a block's answers don't fit it: the documents changed between two passes; write them to a table first")
-            sizes = [len(unpack(a[0]["counts"], np.int64)) for a in got]
-            owned[k] = np.concatenate([np.unpackbits(unpack(a[copy]["owned"], np.uint8), count=n).astype(bool) for a, n in zip(got, sizes, strict=True)])
         places = np.flatnonzero(block.valid)
         doc, docs = block.doc[places], len(lengths)
         one = total[1][block.which[1][block.index[1][places]]]

@@ -13,6 +13,7 @@ from .katz import op3_katz
 from .language import op5_language
 from .quality import op8_quality_rules
 from .secrets import op7_secrets
+from .shards import op4_training_order
 from .toxicity import op6_toxicity
 from .warc import OP2_SQL, op2_warc
 
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_warc": op2_warc,
     "op3_katz": op3_katz,
+    "op4_training_order": op4_training_order,
     "op5_language": op5_language,
     "op6_toxicity": op6_toxicity,
     "op7_secrets": op7_secrets,
