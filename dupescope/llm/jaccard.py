@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,10 +54,35 @@ U64 = np.uint64
 
 def shingles(text: str | None, hashes: common.WordHashes) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
-    words = common.lower_words(text)
-    if not words:
-        return np.empty(0, U64)
-    return np.unique(common.windows(hashes.of(words), min(WORDS, len(words))))
+    return next(shingle_sets([text], hashes))
+
+
+def all_shingles(texts: list[str | None], hashes: common.WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of the texts, one after the other, and how many each text has."""
+    parts = [common.lower_words(t) for t in texts]
+    sizes = np.array([len(p) for p in parts], np.int64)
+    words = np.concatenate([hashes.of(p) for p in parts]) if parts else np.empty(0, U64)
+    grams = common.windows(words, WORDS)
+    counts = np.maximum(sizes - WORDS + 1, 0)
+    begins = np.cumsum(sizes) - sizes
+    # windows that begin in a text and end in it
+    inside = np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+    out = grams[inside]
+    short = np.flatnonzero((sizes > 0) & (sizes < WORDS))
+    if len(short):  # the whole sequence as one
+        at = (np.cumsum(counts) - counts)[short]
+        out = np.insert(out, at, [common.windows(words[begins[i] : begins[i] + sizes[i]], int(sizes[i]))[0] for i in short])
+        counts[short] = 1
+    return out, counts
+
+
+def shingle_sets(texts: list[str | None], hashes: common.WordHashes) -> Iterator[np.ndarray]:
+    every, counts = all_shingles(texts, hashes)
+    end = 0
+    for n in counts.tolist():
+        x = np.sort(every[end : end + n])
+        end += n
+        yield x[np.concatenate([[True], x[1:] != x[:-1]])] if n else x
 
 
 def prefix_length(n: int) -> int:
@@ -64,8 +90,8 @@ def prefix_length(n: int) -> int:
 
 
 def width(n: int) -> int:
-    """Buckets of a set's bitmap: the power of two from 2n up, 64 at least."""
-    return max(64, 1 << (2 * n - 1).bit_length())
+    """Buckets of a set's bitmap: the power of two from n up, 64 at least."""
+    return max(64, 1 << max(0, n - 1).bit_length())
 
 
 def signature(x: np.ndarray) -> np.ndarray:
@@ -186,12 +212,9 @@ def frequent_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     """(h, n) of shingles that several documents of a task's batch hold."""
     hashes = common.WordHashes()
     for batch in common.slices(batches, "text", 24 << 20):
-        parts = []
-        for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
-            if words := common.lower_words(text):
-                parts.append(common.windows(hashes.of(words), min(WORDS, len(words))))
-        if parts:
-            h, n = np.unique(np.concatenate(parts), return_counts=True)
+        grams, _ = all_shingles(batch.column(batch.schema.get_field_index("text")).to_pylist(), hashes)
+        if len(grams):
+            h, n = np.unique(grams, return_counts=True)
             h, n = h[n > 2], n[n > 2]
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
@@ -205,8 +228,7 @@ def set_batches(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iter
     for batch in common.slices(batches, "text", 8 << 20):
         for ids, texts in common.rows([batch], "doc_id", "text"):
             out: list[list] = [[] for _ in range(5)]
-            for text in texts:
-                x = shingles(text, hashes)
+            for x in shingle_sets(texts, hashes):
                 d = np.frombuffer(hashlib.md5(x.tobytes()).digest(), np.int64)
                 common_ones = common.in_filter(frequent, x)
                 order = np.concatenate([x[~common_ones], x[common_ones]])
@@ -219,10 +241,13 @@ def set_batches(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iter
 def shingle_batches(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(id, x): sets of the documents that the filter wants."""
     hashes = common.WordHashes()
-    for ids, keys, texts in common.rows(batches, "doc_id", "h", "text"):
-        good = common.in_filter(wanted, np.array(keys, np.int64).view(U64)) if ids else []
-        found = [(i, shingles(t, hashes).tobytes()) for i, t, g in zip(ids, texts, good, strict=True) if g]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["id", "x"])
+    for batch in batches:
+        keys = batch.column(batch.schema.get_field_index("h")).to_numpy(zero_copy_only=False).view(U64)
+        batch = batch.filter(pa.array(common.in_filter(wanted, keys)))
+        for piece in common.slices([batch], "text", 8 << 20):
+            for ids, texts in common.rows([piece], "doc_id", "text"):
+                found = [x.tobytes() for x in shingle_sets(texts, hashes)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], names=["id", "x"])
 
 
 # ---------------------------------------------------------------- checks of pairs
@@ -264,7 +289,7 @@ def exact_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, bounded: bool) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame | None, docs: DataFrame, bounded: bool) -> DataFrame:
     """The pairs (a, b) whose sets are similar; sets come from the texts of the documents concerned only."""
     if not bounded:
         side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("n").alias("n" + k), F.col("sig").alias("s" + k))
@@ -306,6 +331,17 @@ def tree_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- the join
 
 
+def keep_rows(rows: DataFrame, bitset: Broadcast, inside: bool) -> DataFrame:
+    """Rows whose ``h`` is in the filter, or those where it isn't."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(batch.schema.get_field_index("h")).to_numpy(zero_copy_only=False).view(U64)
+            yield batch.filter(pa.array(common.in_filter(bitset.value, h) == inside))
+
+    return rows.mapInArrow(work, rows.schema)
+
+
 def linked(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     spark = docs.sparkSession
@@ -317,13 +353,19 @@ def linked(docs: DataFrame) -> DataFrame:
     # equal sets: the least doc_id stands for all
     usable = every.where("doc_id is not null and n > 0")
     reps = usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    copies = usable.select("doc_id", "d1", "d2").join(reps.where("copies > 1"), ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
+    copies = usable.select("doc_id", "d1", "d2").join(reps.where("copies > 1"), ["d1", "d2"]).where("doc_id <> rep").distinct()
     copies = common.written(copies, "jaccard-copies")
-    # rows of copies leave; a doc_id that repeats with another text stays
-    sets = common.written(usable.join(reps.select("d1", "d2", "rep"), ["d1", "d2"]).where("doc_id = rep").groupBy("d1", "d2", "doc_id").agg(*(F.first(c).alias(c) for c in ("n", "sig", "prefix"))), "jaccard-reps")
+    # only rows that a filter of fixed size takes for copies are compared with them
+    key = F.xxhash64("doc_id", "d1", "d2").alias("h")
+    copied = spark.sparkContext.broadcast(common.filter_of(copies.select(key)))
+
+    def sets(*columns: str) -> DataFrame:
+        rows = usable.select("doc_id", "d1", "d2", *columns).withColumn("h", key)
+        doubtful = keep_rows(rows, copied, True).join(copies.select("doc_id", "d1", "d2"), ["doc_id", "d1", "d2"], "left_anti")
+        return keep_rows(rows, copied, False).unionByName(doubtful).select("doc_id", *columns)
 
     # blocks: prefix shingles of two or more sets
-    blocks = sets.select(F.explode("prefix").alias("h"), "doc_id").groupBy("h").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h")
+    blocks = sets("prefix").select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     blocks = common.written(blocks, "jaccard-blocks")
     shared = spark.sparkContext.broadcast(common.filter_of(blocks))
 
@@ -335,29 +377,29 @@ def linked(docs: DataFrame) -> DataFrame:
             good = common.in_filter(shared.value, h.view(U64))
             yield pa.RecordBatch.from_arrays([pa.array(h[good]), pa.array(owner[good])], names=["h", "rep"])
 
-    members = sets.select("doc_id", "prefix").mapInArrow(prefix_rows, "h long, rep long").join(blocks, "h").distinct()
+    members = sets("prefix").mapInArrow(prefix_rows, "h long, rep long").join(blocks, "h").distinct()
     members = common.written(members, "jaccard-members")
 
     # hubs: one comparison for each set
     degree = members.groupBy("rep").agg(F.count("*").alias("degree"))
     hubs = members.join(degree, "rep").groupBy("h").agg(F.max(F.struct("degree", (-F.col("rep")).alias("r"))).alias("top")).select("h", (-F.col("top.r")).alias("hub"))
     best = members.join(hubs, "h").where("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("c")).groupBy("rep").agg(F.max_by("hub", F.struct("c", (-F.col("hub")).alias("r"))).alias("hub"))
-    first = verified(best.select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct(), sets, docs, bounded=False)
+    first = verified(best.select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct(), sets("n", "sig"), docs, bounded=False)
     groups = common.written(components(first, "jaccard-first"), "jaccard-groups")
 
     # trees over the blocks that still hold several components
     now = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("h", "rep", F.coalesce("component", "rep").alias("component"))
     now = common.written(now, "jaccard-now")
     mixed = now.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c")).where("low < high and c > 2").select("h", F.ceil(F.col("c") / SPLIT).cast("int").alias("parts"))
-    rows = now.join(mixed, "h").join(sets.select(F.col("doc_id").alias("rep"), "n", "sig"), "rep")
+    rows = now.join(mixed, "h").join(sets("n", "sig").withColumnRenamed("doc_id", "rep"), "rep")
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     # a large block is dealt out: every pair of its buckets is a key of its own
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("p", F.least("bucket", "o")).withColumn("q", F.greatest("bucket", "o"))
     rows = rows.repartition(common.partitions(spark), "h", "p", "q").sortWithinPartitions("h", "p", "q")
     pairs = rows.select("h", "p", "q", "rep", "n", "sig", "component", "bucket").mapInArrow(tree_batches, "a long, b long").distinct()
-    second = verified(pairs, sets, docs, bounded=True)
+    second = verified(pairs, None, docs, bounded=True)
 
-    final = components(copies.union(first).union(second), "jaccard-components")
+    final = components(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).union(first).union(second), "jaccard-components")
     return every.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
