@@ -45,7 +45,7 @@ from . import common
 
 BEGIN, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" begin", b" end"))  # no word has a space
 #: Text bytes of a block.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 #: Counts up to which Katz's discount holds.
 SMALL = 5
 U64 = np.uint64
