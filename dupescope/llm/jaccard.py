@@ -59,9 +59,9 @@ def shingles(text: str | None, hashes: common.WordHashes) -> np.ndarray:
 
 def all_shingles(texts: list[str | None], hashes: common.WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of the texts, one after the other, and how many each text has."""
-    parts = [common.lower_words(t) for t in texts]
+    parts = [hashes.of(common.lower_words(t)) for t in texts]  # the words of one text at a time
     sizes = np.array([len(p) for p in parts], np.int64)
-    words = np.concatenate([hashes.of(p) for p in parts]) if parts else np.empty(0, U64)
+    words = np.concatenate(parts) if parts else np.empty(0, U64)
     grams = common.windows(words, WORDS)
     counts = np.maximum(sizes - WORDS + 1, 0)
     begins = np.cumsum(sizes) - sizes
@@ -211,7 +211,7 @@ def block_pairs(ids: np.ndarray, sizes: np.ndarray, planes: list[np.ndarray], gr
 def frequent_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, n) of shingles that several documents of a task's batch hold."""
     hashes = common.WordHashes()
-    for batch in common.slices(batches, "text", 24 << 20):
+    for batch in common.slices(batches, "text", 12 << 20):
         grams, _ = all_shingles(batch.column(batch.schema.get_field_index("text")).to_pylist(), hashes)
         if len(grams):
             h, n = np.unique(grams, return_counts=True)
