@@ -1 +1 @@
-"""..."""
+"""Relational operators over files-shaped DataFrames."""

@@ -1 +1 @@
-"""..."""
+"""Plans composed of the operators: pipeline, snapshots, lifecycle tables, engine."""

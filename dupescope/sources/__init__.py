@@ -1 +1 @@
-"""..."""
+"""Sources: directory walk, table corpus, sub-directory listing, configuration."""

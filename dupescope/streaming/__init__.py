@@ -1 +1 @@
-"""..."""
+"""Progress events as batch and streaming queries."""
