@@ -45,7 +45,7 @@ from . import common
 
 BEGIN, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" begin", b" end"))  # no word has a space
 #: Text bytes of a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Counts up to which Katz's discount holds.
 SMALL = 5
 U64 = np.uint64
@@ -92,25 +92,25 @@ class Block:
         full = lengths + pad
         starts = np.cumsum(full) - full
         self.tokens = np.empty(int(full.sum()), U64)
-        self.doc = np.repeat(np.arange(n), full)
-        place = np.arange(len(self.tokens)) - starts[self.doc]  # within the document
+        self.doc = np.repeat(np.arange(n, dtype=np.int32), full)
+        place = (np.arange(len(self.tokens)) - starts[self.doc]).astype(np.int32)  # within the document
         self.tokens[place < pad] = BEGIN
         self.tokens[place >= pad] = flat
         self.valid = place >= pad
         self.order, self.train = order, train
-        self.at: dict[int, np.ndarray] = {}  # places whose n-gram counts
-        self.index: dict[int, np.ndarray] = {}  # place -> position in at
+        self.index: dict[int, np.ndarray] = {}  # place -> number among the places whose n-gram counts
         self.keys: dict[int, np.ndarray] = {}  # distinct, sorted
         self.first: dict[int, np.ndarray] = {}  # a place of each distinct key
-        self.which: dict[int, np.ndarray] = {}  # position in at -> distinct key
+        self.which: dict[int, np.ndarray] = {}  # that number -> distinct key
         self.count: dict[int, np.ndarray] = {}  # in training documents
         for k in range(1, order + 1):
             at = np.flatnonzero(self.valid if k == order and order > 1 else place >= max(pad - 1, 0))
             grams = common.windows(self.tokens, k)[at - (k - 1)]
-            self.keys[k], first, self.which[k] = np.unique(grams, return_index=True, return_inverse=True)
-            self.at[k], self.first[k] = at, at[first]
-            self.index[k] = np.full(len(self.tokens), -1, np.int64)
-            self.index[k][at] = np.arange(len(at))
+            self.keys[k], first, which = np.unique(grams, return_index=True, return_inverse=True)
+            self.which[k] = which.astype(np.int32)
+            self.first[k] = at[first].astype(np.int32)
+            self.index[k] = np.full(len(self.tokens), -1, np.int32)
+            self.index[k][at] = np.arange(len(at), dtype=np.int32)
             self.count[k] = np.bincount(self.which[k], weights=train[self.doc[at]], minlength=len(self.keys[k])).astype(np.int64)
 
 
