@@ -30,7 +30,7 @@ from . import common
 #: Words remembered between batches of a task.
 CACHE_WORDS = 300_000
 #: Text bytes of one batch whose distinct words share an index.
-BATCH_BYTES = 48 << 20
+BATCH_BYTES = 32 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -200,7 +200,7 @@ def digest_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.
     model = PairIndexBpe.from_file(path)
     ids: dict[str, str] = {}
     decoded: dict[str, str] = {}
-    for batch in common.slices(batches, "text", BATCH_BYTES):
+    for batch in common.gathered(batches, "text", BATCH_BYTES):
         texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
         new: set[str] = set()
         for text in texts:

@@ -49,6 +49,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bound_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
+    """Lets the session hand texts to Python in small batches, so that a task holds few of them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def crc_fold(col: str | Column, folds: int) -> Column:
     """crc32(id as text) mod ``folds``: the fold rule that the queries fix."""
     return F.crc32(F.col(col).cast("string") if isinstance(col, str) else col.cast("string")) % folds
@@ -66,7 +74,7 @@ def lower_words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """Word -> 64-bit hash, remembered up to a fixed number of words."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         self[word] = value = xxhash.xxh3_64_intdigest(word)
@@ -105,6 +113,21 @@ def rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list]:
         yield [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows in pieces of about ``limit`` bytes of ``text``: batches are joined or cut."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in slices(batches, text, limit):
+        more = batch.column(batch.schema.get_field_index(text)).nbytes
+        if held and size + more > limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += more
+    if held:
+        yield pa.concat_batches(held)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that a piece holds about ``limit`` bytes of ``text`` (one row at least)."""
     for batch in batches:

@@ -211,7 +211,7 @@ def block_pairs(ids: np.ndarray, sizes: np.ndarray, planes: list[np.ndarray], gr
 def frequent_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, n) of shingles that several documents of a task's batch hold."""
     hashes = common.WordHashes()
-    for batch in common.slices(batches, "text", 12 << 20):
+    for batch in common.gathered(batches, "text", 12 << 20):
         grams, _ = all_shingles(batch.column(batch.schema.get_field_index("text")).to_pylist(), hashes)
         if len(grams):
             h, n = np.unique(grams, return_counts=True)
@@ -225,7 +225,7 @@ SET_TYPES = "doc_id long, n long, d1 long, d2 long, sig binary, prefix array<lon
 def set_batches(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Size, digest, bitmap and prefix of each document's set."""
     hashes = common.WordHashes()
-    for batch in common.slices(batches, "text", 8 << 20):
+    for batch in common.gathered(batches, "text", 8 << 20):
         for ids, texts in common.rows([batch], "doc_id", "text"):
             out: list[list] = [[] for _ in range(5)]
             for x in shingle_sets(texts, hashes):
@@ -345,6 +345,7 @@ def keep_rows(rows: DataFrame, bitset: Broadcast, inside: bool) -> DataFrame:
 def linked(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     spark = docs.sparkSession
+    common.bound_batches(spark)
     docs = docs.select("doc_id", "text")
     counts = docs.where("doc_id is not null").mapInArrow(frequent_batches, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     frequent = spark.sparkContext.broadcast(common.filter_of(counts.select("h")))

@@ -376,6 +376,7 @@ def score(docs: DataFrame, order: int = 2, tables: str | None = None) -> DataFra
     ``tables``: folder for the n-gram tables, partitioned by kind and order.
     """
     spark = docs.sparkSession
+    common.bound_batches(spark)
     parts = common.partitions(spark)
     path = tables or common.shared_dir(spark, "katz-tables")
     docs = docs.select("doc_id", "text", "held_out")

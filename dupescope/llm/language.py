@@ -208,7 +208,7 @@ def sample(docs: DataFrame, per_language: int, words_per_doc: int) -> list[tuple
 def predict_batches(batches: Iterator[pa.RecordBatch], model: BiGru | None) -> Iterator[pa.RecordBatch]:
     at: dict[str, int] = {}
     known = np.zeros((0, len(model.languages) + 1 if model else 1))
-    for batch in common.slices(batches, "text", 32 << 20):
+    for batch in common.gathered(batches, "text", 24 << 20):
         for ids, texts in common.rows([batch], "doc_id", "text"):
             lowered = [t.lower() if t and LETTER.search(t) else None for t in texts]
             if model:

@@ -1,0 +1,59 @@
+"""Operator 1 against the tokenizers library."""
+
+import hashlib
+import random
+
+import pytest
+from dupescope.llm import bpe
+from tokenizers import Tokenizer
+
+PATH = bpe.vocabulary_path()
+ALPHABET = "ab cdeé'sStT\n\t\r\x1c\x1d\x85 　ΣσςİıǅßŉK1２٣½Ⅷ_-!?<|endoftext|>é̀漢字🙂👨‍👩﻿\u0000Ᲊ"
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(1)
+    found = ["", "aaaaaaaaaaaa aaaaa hahahahaha", "<|endoftext|><|startoftext|> x<|endoftext|>y", "!!!!!!!!!....----", "I'll we've 's'S 'RE", "x" * 20000, "word " * 5000]
+    found += ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 60))) for _ in range(800)]
+    found += ["".join(chr(rng.choice([rng.randint(0, 0x2FFF), rng.randint(32, 126), rng.randint(0x10000, 0x1FFFF)])) for _ in range(40)) for _ in range(400)]
+    return found
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(PATH)
+
+
+def test_encode_decode(texts, library):
+    model = bpe.PairIndexBpe.from_file(PATH)
+    for text, ids in zip(texts, model.encode_many(texts), strict=True):
+        expected = library.encode(text, add_special_tokens=False).ids
+        assert ids == expected, text[:60]
+        assert model.decode(ids) == library.decode(expected, skip_special_tokens=False)
+
+
+def test_digests(spark, texts, library):
+    rows = [(i, t, "x", 0) for i, t in enumerate(texts)] + [(-1, None, None, 1), (None, "hello", None, 1), (0, texts[0], "again", 2)]
+    got = bpe.token_digests(spark.createDataFrame(rows, "doc_id long, text string, ids string, n_tokens int"), PATH).collect()
+    assert len(got) == len(rows)
+    by_id = {r.doc_id: r for r in got}
+    for i, text, *_ in rows:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        r = by_id[i]
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_frames(spark, library):
+    docs = spark.createDataFrame([(1, "Hello, World"), (2, None)], "doc_id long, text string")
+    encoded = bpe.encode(docs, PATH)
+    assert {r.doc_id: r.ids for r in encoded.collect()} == {1: library.encode("Hello, World", add_special_tokens=False).ids, 2: []}
+    assert {r.doc_id: r.text for r in bpe.decode(encoded, PATH).collect()} == {1: "hello</w> ,</w> world</w>", 2: ""}
+    assert bpe.token_digests(docs.where("doc_id > 5"), PATH).count() == 0
+
+
+def test_rules_out_of_order_are_refused():
+    vocab = {"a": 0, "b": 1, "c": 2, "ab": 3, "abc": 4}
+    with pytest.raises(ValueError):
+        bpe.PairIndexBpe(vocab, [("ab", "c"), ("a", "b")], "", r"\S+", {})
