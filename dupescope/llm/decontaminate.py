@@ -33,7 +33,7 @@ from . import common
 
 WINDOW, LITERALS, LEAST = 8, 4, 5
 MIN_COVER, MIN_RUN = 0.5, 13
-TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]")
+TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]|\d+(?:[.,]\d+)*")
 #: Unit words and number words: fixed values.
 UNITS = frozenset(
     """mm cm m km mg g kg t ml l s ms min h hr hrs inch inches ft foot feet yard yards mile miles meter meters metre metres
@@ -71,19 +71,30 @@ class Tokens:
         kind = MARK if token in ".!?\n" else NUMBER if token[0].isdigit() or low in NUMBERS else UNIT if low in UNITS else TITLE if token.istitle() and len(token) > 1 else LITERAL
         self.kinds[at], self.hashes[at] = kind, xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass"))
 
-    def of(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """The words (not the marks) of a text, their hashes, kinds, and whether a sentence starts there."""
-        tokens = TOKEN.findall(text) if text else []
-        if len(self.rows) > self.LIMIT:
-            self.clear()
+    def numbers(self, tokens: list[str]) -> np.ndarray:
+        """Row of each token in ``kinds`` and ``hashes``."""
         for t in set(tokens).difference(self.rows):
             self.add(t)
-        at = np.fromiter(map(self.rows.__getitem__, tokens), np.int64, len(tokens))
+        return np.fromiter(map(self.rows.__getitem__, tokens), np.int64, len(tokens))
+
+    def of_many(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, kinds, sentence starts and text numbers of all words (not marks) of the texts, one after the other."""
+        if len(self.rows) > self.LIMIT:
+            self.clear()
+        parts = [self.numbers(TOKEN.findall(t)) if t else np.empty(0, np.int64) for t in texts]
+        at = np.concatenate(parts) if parts else np.empty(0, np.int64)
+        sizes = np.array([len(p) for p in parts], np.int64)
         kinds, hashes = self.kinds[at], self.hashes[at]
         starts = np.ones(len(kinds), bool)
         starts[1:] = kinds[:-1] == MARK
-        keep = np.flatnonzero(kinds != MARK)
-        return [tokens[i] for i in keep.tolist()] if len(keep) < len(tokens) else tokens, hashes[keep], kinds[keep], starts[keep]
+        starts[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        keep = kinds != MARK
+        return hashes[keep], kinds[keep], starts[keep], np.repeat(np.arange(len(texts)), sizes)[keep]
+
+    def of(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """The words of one text, their hashes, kinds and sentence starts."""
+        words = [t for t in TOKEN.findall(text) if t not in ".!?\n"] if text else []
+        return (words, *self.of_many([text])[:3])
 
 
 def canonical(hashes: np.ndarray, kinds: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -152,16 +163,30 @@ HIT_TYPES = "doc_id long, family int, h long, doc_at long, doc_slots array<strin
 
 
 def document_batches(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, sizes: list[int]) -> Iterator[pa.RecordBatch]:
-    """The windows of documents that the filter lets through."""
+    """The windows of documents that the filter lets through.
+
+    Windows of a whole batch are hashed at once, those across two texts left out.  Slots are
+    looked up only in texts with a hit.
+    """
     tokens = Tokens()
-    for batch in common.slices(batches, "text", 16 << 20):
+    for batch in common.gathered(batches, "text", 8 << 20):
         for ids, texts in common.rows([batch], "doc_id", "text"):
+            hashes, kinds, starts, owner = tokens.of_many(texts)
+            template, literal, begin, _ = canonical(hashes, kinds, starts)
+            found: list[tuple[int, int, int, int, int]] = []
+            for family, h, is_literal, own in ((0, template, literal, owner[begin]), (1, hashes, np.ones(len(hashes), bool), owner)):
+                first = np.searchsorted(own, np.arange(len(texts)))
+                for size in sizes:
+                    keys, good = hashed(h, is_literal, size, family)
+                    hit = np.flatnonzero(good & (own[: len(keys)] == own[size - 1 :]) & common.in_filter(wanted, keys)) if len(keys) else []
+                    found += [(int(own[i]), family, int(keys[i : i + 1].view(np.int64)[0]), int(i - first[own[i]]), size) for i in hit]
             out: list[tuple] = []
-            for doc_id, text in zip(ids, texts, strict=True):
-                parts = tokens.of(text)
-                for family, size, h, good, *slots in windows_of(parts, sizes):
-                    hit = np.flatnonzero(good & common.in_filter(wanted, h))
-                    out += [(doc_id, family, int(h[i : i + 1].view(np.int64)[0]), i, slot_values(parts[0], i, size, *slots)) for i in hit.tolist()]
+            last, parts, slots = -1, None, ()
+            for text, family, key, at, size in sorted(found):
+                if text != last:
+                    last, parts = text, tokens.of(texts[text])
+                    slots = canonical(*parts[1:])[1:]
+                out.append((ids[text], family, key, at, slot_values(parts[0], at, size, *slots) if family == 0 else []))
             yield batch_of(out, HIT_TYPES)
 
 
