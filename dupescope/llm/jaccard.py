@@ -412,3 +412,20 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(common.table(spark, sf_dir, "documents"))
+
+
+#: All pairs by shared shingles, and what links reach: for DuckDB on small tables.
+OP10_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS g FROM words
+), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1
+), shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links
+), reached AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM reached r JOIN edges e ON e.a = r.id)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.c AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN (SELECT id, min(c) AS c FROM reached GROUP BY 1) r ON r.id = d.doc_id
+"""

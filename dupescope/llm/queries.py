@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_bpe
 from .decontaminate import op9_decontamination
-from .jaccard import op10_jaccard_join
+from .jaccard import OP10_SQL, op10_jaccard_join
 from .katz import op3_katz
 from .language import op5_language
 from .quality import op8_quality_rules
@@ -31,4 +31,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": OP2_SQL,
+    "op10_jaccard_join": OP10_SQL,
 }
