@@ -377,7 +377,8 @@ def score(docs: DataFrame, order: int = 2, tables: str | None = None) -> DataFra
     """
     spark = docs.sparkSession
     common.bound_batches(spark)
-    parts = common.partitions(spark)
+    # parts follow the size of the input, so that one part's keys stay a few million
+    parts = max(common.partitions(spark), 2 * docs._jdf.queryExecution().toRdd().getNumPartitions())
     path = tables or common.shared_dir(spark, "katz-tables")
     docs = docs.select("doc_id", "text", "held_out")
     asks = docs.mapInArrow(lambda b: ask_batches(b, order, parts), ASK_TYPES)
