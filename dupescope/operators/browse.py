@@ -49,7 +49,8 @@ def filtered(groups: DataFrame, files: DataFrame, by: DuplicateFilter) -> DataFr
     near = near.where(F.col("root_id") == by.root_id) if by.root_id is not None else near
     near = near.where(contains_like(F.col("rel_path"), by.name_like)) if by.name_like else near
     near = near.where(F.col("size") >= by.min_size) if by.min_size else near
-    return out.join(near.select(*KEY), KEY, "left_semi")
+    # one row per key and task is shuffled, however many members pass
+    return out.join(near.select(*KEY).distinct(), KEY, "left_semi")
 
 
 def page(groups: DataFrame, files: DataFrame, by: DuplicateFilter) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import PRESENT
+from .skew import join_splittable
 
 
 def present(files: DataFrame) -> DataFrame:
@@ -24,7 +25,7 @@ def collisions(files: DataFrame, *keys: str) -> DataFrame:
 def size_candidates(files: DataFrame) -> DataFrame:
     """Present files without a full hash whose size another present file has, hashed or not."""
     usable = present(files)
-    return usable.where("full_hash = ''").join(collisions(usable, "size"), "size", "left_semi")
+    return join_splittable(usable.where("full_hash = ''"), collisions(usable, "size"), ["size"], "left_semi")
 
 
 def needs_sample(reuse_partial: bool) -> Column:
@@ -39,16 +40,16 @@ def half_hashed(files: DataFrame) -> DataFrame:
     """
     usable = present(files)
     waiting = usable.where("full_hash = ''").select("size").distinct()
-    return usable.where("full_hash <> '' AND partial_hash = ''").join(waiting, "size", "left_semi")
+    return join_splittable(usable.where("full_hash <> '' AND partial_hash = ''"), waiting, ["size"], "left_semi")
 
 
 def partial_candidates(files: DataFrame) -> DataFrame:
     """Present files without a full hash whose size and sampled hash another present file has."""
     usable = present(files).where("partial_hash <> ''")
-    return usable.where("full_hash = ''").join(collisions(usable, "size", "partial_hash"), ["size", "partial_hash"], "left_semi")
+    return join_splittable(usable.where("full_hash = ''"), collisions(usable, "size", "partial_hash"), ["size", "partial_hash"], "left_semi")
 
 
 def size_singletons(files: DataFrame) -> DataFrame:
     """Present files whose size no other present file has."""
     usable = present(files)
-    return usable.join(collisions(usable, "size"), "size", "left_anti")
+    return join_splittable(usable, collisions(usable, "size"), ["size"], "left_anti")

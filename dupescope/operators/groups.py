@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .candidates import present
+from .skew import join_splittable
 
 KEY = ["size", "full_hash"]
 
@@ -26,13 +27,13 @@ def duplicate_groups(files: DataFrame) -> DataFrame:
 
 def members(files: DataFrame, groups: DataFrame) -> DataFrame:
     """Files of the groups."""
-    return hashed(files).join(groups.select(*KEY), KEY, "left_semi")
+    return join_splittable(hashed(files), groups.select(*KEY), KEY, "left_semi")
 
 
 def with_shared_inode(member_files: DataFrame) -> DataFrame:
     """Adds ``shares_inode``: another path of the group is the same instance on disk."""
     shared = member_files.groupBy(*KEY, "device", "inode").agg((F.count("*") > 1).alias("shares_inode"))
-    return member_files.join(shared, [*KEY, "device", "inode"])
+    return join_splittable(member_files, shared, [*KEY, "device", "inode"])
 
 
 def cross_root(files: DataFrame, groups: DataFrame) -> DataFrame:

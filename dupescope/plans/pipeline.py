@@ -6,19 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.candidates import collisions, present
+from ..operators.skew import join_splittable
 from ..operators.hashing import full_hash, partial_hash, sampled_bytes
 
 
 def size_stage(files: DataFrame) -> DataFrame:
     """Stage 1: files (id, size, text, status) whose size collides."""
     usable = present(files)
-    return usable.join(collisions(usable, "size"), "size", "left_semi")
+    return join_splittable(usable, collisions(usable, "size"), ["size"], "left_semi")
 
 
 def sample_stage(files: DataFrame, sample: int) -> DataFrame:
     """Stages 2 and 3: sampled hash of the survivors, and those whose hash collides."""
     hashed = size_stage(files).withColumn("partial_hash", partial_hash(F.col("text"), F.col("size"), sample))
-    return hashed.join(collisions(hashed, "size", "partial_hash"), ["size", "partial_hash"], "left_semi")
+    return join_splittable(hashed, collisions(hashed, "size", "partial_hash"), ["size", "partial_hash"], "left_semi")
 
 
 def content_groups(files: DataFrame, sample: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.hashing import partial_hash
+from ..operators.skew import join_splittable
 
 #: Sample size of corpus queries: small enough that texts of some kilobytes have three samples.
 SAMPLE = 1024
@@ -26,7 +27,7 @@ def files(documents: DataFrame, sample: int = SAMPLE, with_text: bool = False) -
     )
     # the least id per content and parity, aggregated on the map side; only real copies are joined
     linked = documents.groupBy(F.sha2("text", 256).alias("full_hash"), (F.col("doc_id") % 2).alias("parity")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return base.join(linked, ["full_hash", "parity"], "left").withColumn("inode", F.coalesce("first_id", "id")).drop("first_id", "parity")
+    return join_splittable(base, linked, ["full_hash", "parity"], "left").withColumn("inode", F.coalesce("first_id", "id")).drop("first_id", "parity")
 
 
 def plain_files(documents: DataFrame) -> DataFrame:
