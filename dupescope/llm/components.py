@@ -1,8 +1,8 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 Edges live in tables of the shared folder, never on the driver.  Groupings pre-aggregate
-before they shuffle, and the joins are plain equi-joins, which adaptive execution splits
-where a node has very many edges.
+before they shuffle, and adaptive execution splits the joins where a node has very many
+edges.
 """
 
 from __future__ import annotations
@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_splittable
 from . import common
 
 
 def _star(pairs: DataFrame, larger_only: bool) -> DataFrame:
     """Each node's neighbours are linked to the least of the node and its neighbours."""
     least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = pairs.join(least, "u")
+    joined = join_splittable(pairs, least, ["u"])
     if larger_only:
         return joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     ends = F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("e")

@@ -38,6 +38,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_splittable
 from . import common
 from .components import components
 
@@ -354,7 +355,7 @@ def linked(docs: DataFrame) -> DataFrame:
     # equal sets: the least doc_id stands for all
     usable = every.where("doc_id is not null and n > 0")
     reps = usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    copies = usable.select("doc_id", "d1", "d2").join(reps.where("copies > 1"), ["d1", "d2"]).where("doc_id <> rep").distinct()
+    copies = join_splittable(usable.select("doc_id", "d1", "d2"), reps.where("copies > 1"), ["d1", "d2"]).where("doc_id <> rep").distinct()
     copies = common.written(copies, "jaccard-copies")
     # only rows that a filter of fixed size takes for copies are compared with them
     key = F.xxhash64("doc_id", "d1", "d2").alias("h")
@@ -384,7 +385,7 @@ def linked(docs: DataFrame) -> DataFrame:
     # hubs: one comparison for each set
     degree = members.groupBy("rep").agg(F.count("*").alias("degree"))
     hubs = members.join(degree, "rep").groupBy("h").agg(F.max(F.struct("degree", (-F.col("rep")).alias("r"))).alias("top")).select("h", (-F.col("top.r")).alias("hub"))
-    best = members.join(hubs, "h").where("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("c")).groupBy("rep").agg(F.max_by("hub", F.struct("c", (-F.col("hub")).alias("r"))).alias("hub"))
+    best = join_splittable(members, hubs, ["h"]).where("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("c")).groupBy("rep").agg(F.max_by("hub", F.struct("c", (-F.col("hub")).alias("r"))).alias("hub"))
     first = verified(best.select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct(), sets("n", "sig"), docs, bounded=False)
     groups = common.written(components(first, "jaccard-first"), "jaccard-groups")
 
@@ -392,7 +393,7 @@ def linked(docs: DataFrame) -> DataFrame:
     now = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("h", "rep", F.coalesce("component", "rep").alias("component"))
     now = common.written(now, "jaccard-now")
     mixed = now.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c")).where("low < high and c > 2").select("h", F.ceil(F.col("c") / SPLIT).cast("int").alias("parts"))
-    rows = now.join(mixed, "h").join(sets("n", "sig").withColumnRenamed("doc_id", "rep"), "rep")
+    rows = join_splittable(now, mixed, ["h"]).join(sets("n", "sig").withColumnRenamed("doc_id", "rep"), "rep")
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     # a large block is dealt out: every pair of its buckets is a key of its own
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("p", F.least("bucket", "o")).withColumn("q", F.greatest("bucket", "o"))

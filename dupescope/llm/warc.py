@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_splittable
 from . import common
 
 VERSION = b"WARC/1.1"
@@ -204,13 +205,13 @@ def member_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def with_reference(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, html and ``ref``: the page to revisit, null for responses.
 
-    The largest id per payload digest is aggregated on the map side; the join back is an
-    ordinary equi-join whose hot digests adaptive execution splits.
+    The largest id per payload digest is aggregated on the map side; hot digests are split
+    when it is joined back.
     """
     pages = pages.select("page_id", "url", "html").withColumn("digest", F.sha1(F.coalesce("html", F.lit(""))))
     last = pages.groupBy("digest").agg(F.max("page_id").alias("last_id"), F.count("*").alias("copies")).where("copies > 1").select("digest", "last_id")
     shared = (F.octet_length(F.coalesce("html", F.lit(""))) >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("last_id"))
-    return pages.join(last, "digest", "left").select("page_id", "url", "html", F.when(shared, F.col("last_id")).alias("ref"))
+    return join_splittable(pages, last, ["digest"], "left").select("page_id", "url", "html", F.when(shared, F.col("last_id")).alias("ref"))
 
 
 def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
