@@ -45,43 +45,43 @@ NUMBERS = frozenset(
     """zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen
     nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion""".split()
 )
+MARKS = frozenset(".!?\n")
 LITERAL, NUMBER, UNIT, TITLE, MARK = range(5)
 #: Hashes of the placeholders; no word has a space.
 SLOTS = {kind: xxhash.xxh3_64_intdigest(b" slot %d" % kind) for kind in (NUMBER, UNIT, TITLE)}
 U64 = np.uint64
 
 
-class Tokens:
-    """Kind and hash of each token; remembers words up to a fixed number."""
+class Tokens(dict):
+    """Token -> row of its kind and hash; remembers tokens up to a fixed number."""
 
-    LIMIT = 300_000
+    LIMIT = 500_000
 
     def __init__(self) -> None:
-        self.clear()
-
-    def clear(self) -> None:
-        self.rows: dict[str, int] = {}
         self.kinds, self.hashes = np.zeros(1024, np.int8), np.zeros(1024, U64)
 
-    def add(self, token: str) -> None:
-        at = self.rows[token] = len(self.rows)
+    def __missing__(self, token: str) -> int:
+        at = self[token] = len(self)
         if at == len(self.kinds):
             self.kinds, self.hashes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.kinds, self.hashes))
         low = token.lower()
-        kind = MARK if token in ".!?\n" else NUMBER if token[0].isdigit() or low in NUMBERS else UNIT if low in UNITS else TITLE if token.istitle() and len(token) > 1 else LITERAL
+        if token in MARKS:
+            kind = MARK
+        elif low in NUMBERS or token[0].isdigit():
+            kind = NUMBER
+        elif low in UNITS:
+            kind = UNIT
+        else:
+            kind = TITLE if low != token and len(token) > 1 and token.istitle() else LITERAL
         self.kinds[at], self.hashes[at] = kind, xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass"))
-
-    def numbers(self, tokens: list[str]) -> np.ndarray:
-        """Row of each token in ``kinds`` and ``hashes``."""
-        for t in set(tokens).difference(self.rows):
-            self.add(t)
-        return np.fromiter(map(self.rows.__getitem__, tokens), np.int64, len(tokens))
+        return at
 
     def of_many(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Hashes, kinds, sentence starts and text numbers of all words (not marks) of the texts, one after the other."""
-        if len(self.rows) > self.LIMIT:
+        if len(self) > self.LIMIT:
             self.clear()
-        parts = [self.numbers(TOKEN.findall(t)) if t else np.empty(0, np.int64) for t in texts]
+        row = self.__getitem__
+        parts = [np.fromiter(map(row, found := TOKEN.findall(t)), np.int64, len(found)) if t else np.empty(0, np.int64) for t in texts]
         at = np.concatenate(parts) if parts else np.empty(0, np.int64)
         sizes = np.array([len(p) for p in parts], np.int64)
         kinds, hashes = self.kinds[at], self.hashes[at]
@@ -93,7 +93,7 @@ class Tokens:
 
     def of(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """The words of one text, their hashes, kinds and sentence starts."""
-        words = [t for t in TOKEN.findall(text) if t not in ".!?\n"] if text else []
+        words = [t for t in TOKEN.findall(text) if t not in MARKS] if text else []
         return (words, *self.of_many([text])[:3])
 
 

@@ -46,6 +46,14 @@ def segments(word: str) -> list[bytes]:
     return [raw[i : i + SEGMENT] for i in range(0, len(raw), SEGMENT)]
 
 
+def has_letter(text: str | None) -> bool:
+    """Numerals such as one half are word characters too, but no letters."""
+    found = LETTER.search(text) if text else None
+    while found and not found[0].isalpha():
+        found = LETTER.search(text, found.end())
+    return found is not None
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -210,7 +218,7 @@ def predict_batches(batches: Iterator[pa.RecordBatch], model: BiGru | None) -> I
     known = np.zeros((0, len(model.languages) + 1 if model else 1))
     for batch in common.gathered(batches, "text", 24 << 20):
         for ids, texts in common.rows([batch], "doc_id", "text"):
-            lowered = [t.lower() if t and LETTER.search(t) else None for t in texts]
+            lowered = [t.lower() if has_letter(t) else None for t in texts]
             if model:
                 if len(at) > CACHE_WORDS:
                     at.clear()

@@ -31,7 +31,7 @@ def test_held_out_accuracy(spark):
 
 def test_special_texts(spark):
     rows = [(i, t, lang, i) for i, (t, lang) in enumerate([("the and of to in " * 3, "en"), ("der die und das ist " * 3, "de")] * 30)]
-    rows += [(100, None, "en", 1), (101, "", "en", 1), (102, "123 !!", None, 1), (103, "é" * 5000, None, 1), (None, "the and", "en", 1)]
+    rows += [(100, None, "en", 1), (101, "", "en", 1), (102, "123 ½ !!", None, 1), (103, "é" * 5000, None, 1), (None, "the and", "en", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
     model = language.fit(docs)
     got = {r.doc_id: r for r in language.predict(docs, model).collect()}
