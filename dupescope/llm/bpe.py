@@ -16,8 +16,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import os
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +30,9 @@ from tokenizers import Tokenizer
 from . import common
 
 #: Words remembered between batches of a task.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 #: Text bytes of one batch whose distinct words share an index.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 4 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -46,17 +48,19 @@ class PairIndexBpe:
     #: Below this character all Unicode versions agree on letters, numbers and lower case.
     SETTLED = "\u0530"
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str, pattern: str, specials: dict[str, int], library: Tokenizer | None = None):
-        self.library = library
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str, pattern: str, specials: dict[str, int], path: str | None = None):
+        self.path = path
         self.names = {i: t for t, i in vocab.items()} | {i: t for t, i in specials.items()}
         self.specials = specials
+        self.special_ids = set(specials.values())
+        self.opening = os.path.commonprefix(list(specials))  # a text without it has no special token
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
         # the six ASCII and the other white-space characters, by property: \s of some engines has more
         self.words = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
         signs = byte_symbols()
         self.bytes = {s: b for b, s in enumerate(signs)}
-        self.inner = np.array([vocab.get(s, -1) for s in signs], dtype=np.int64)
-        self.last = np.array([vocab.get(s + suffix, -1) for s in signs], dtype=np.int64)
+        self.inner = np.array([vocab.get(s, -1) for s in signs], dtype=np.int32)
+        self.last = np.array([vocab.get(s + suffix, -1) for s in signs], dtype=np.int32)
         self.base = max(self.names) + 2
         self.left = np.array([vocab[a] for a, _ in merges], dtype=np.int64)
         self.right = np.array([vocab[b] for _, b in merges], dtype=np.int64)
@@ -78,11 +82,16 @@ class PairIndexBpe:
         model = spec["model"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        return cls(model["vocab"], merges, model["end_of_word_suffix"] or "", pattern, {t["content"]: t["id"] for t in spec["added_tokens"]}, Tokenizer.from_file(path))
+        return cls(model["vocab"], merges, model["end_of_word_suffix"] or "", pattern, {t["content"]: t["id"] for t in spec["added_tokens"]}, path)
+
+    @cached_property
+    def library(self) -> Tokenizer:
+        """The tokenizers library's reader of the same file; loaded when a text needs its tables of Unicode."""
+        return Tokenizer.from_file(self.path)
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair; the number of rules where there is none."""
-        key = a * self.base + b
+        key = a.astype(np.int64) * self.base + b
         at = np.searchsorted(self.keys, key)
         found = self.keys[at] == key
         return np.where(found, self.order[np.minimum(at, len(self.order) - 1)], len(self.order))
@@ -92,7 +101,7 @@ class PairIndexBpe:
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         sizes = np.array([len(x) for x in raw], dtype=np.int64)
         text = np.frombuffer(b"".join(raw), dtype=np.uint8)
-        owner = np.repeat(np.arange(len(words)), sizes)
+        owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         sym = self.inner[text]
         ends = np.cumsum(sizes)[sizes > 0] - 1
         sym[ends] = self.last[text[ends]]
@@ -103,11 +112,13 @@ class PairIndexBpe:
         if not n:
             return out
         # position n stands for "none": its symbol is in no rule
-        sym = np.append(sym, self.base - 1)
+        sym = np.append(sym, np.int32(self.base - 1))
         same = owner[1:] == owner[:-1]
-        after, before = np.full(n + 1, n), np.full(n + 1, n)
-        after[: n - 1][same] = np.arange(1, n)[same]
-        before[1:n][same] = np.arange(n - 1)[same]
+        place = np.arange(n + 1, dtype=np.int32)
+        after, before = (np.full(n + 1, n, np.int32) for _ in range(2))
+        after[: n - 1][same] = place[1:n][same]
+        before[1:n][same] = place[: n - 1][same]
+        del text, known, same, raw
         index: dict[int, list[np.ndarray]] = {}
         active: list[int] = []
 
@@ -128,7 +139,8 @@ class PairIndexBpe:
                 index[r].append(at[begin:end])
                 begin = end
 
-        add(np.arange(n))
+        for begin in range(0, n, 1 << 18):
+            add(place[begin : min(begin + (1 << 18), n)])
         while active:
             r = heapq.heappop(active)
             lists = index.pop(r)
@@ -141,7 +153,7 @@ class PairIndexBpe:
                     if p != used:
                         kept.append(p)
                         used = q
-                at = np.array(kept)
+                at = np.array(kept, np.int32)
             if not len(at):
                 continue
             gone = after[at]
@@ -160,12 +172,12 @@ class PairIndexBpe:
 
     def pieces(self, text: str) -> list[str | int]:
         """Special ids and words of a text, in order, after NFC and lower-casing."""
-        parts = self.special.split(text) if self.special else [text]
+        parts = self.special.split(text) if self.special and self.opening in text else [text]
         out: list[str | int] = []
         for i, part in enumerate(parts):
             if i % 2:
                 out.append(self.specials[part])
-            elif part and self.library and max(part) >= self.SETTLED:
+            elif part and self.path and max(part) >= self.SETTLED:
                 # its own tables of Unicode say what a letter is
                 plain = self.library.normalizer.normalize_str(part)
                 out += [bytes(map(self.bytes.__getitem__, w)).decode("utf-8", "surrogatepass") for w, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)]
@@ -195,29 +207,53 @@ def chunks(text: str | None) -> list[str]:
     return [c for c in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if c] if text else []
 
 
+def chunk_lines(model: PairIndexBpe, new: Iterable[str]) -> Iterator[tuple[str, str, str]]:
+    """(chunk, its ids, its decoded text) of each chunk; all their words share one index."""
+    cut = [(chunk, model.pieces(chunk)) for chunk in new]
+    words = list({p for _, pieces in cut for p in pieces}.difference(model.special_ids))
+    lines: dict[str | int, tuple[str, str]] = {i: (str(i), model.decode([i])) for i in model.special_ids}
+    for word, tokens in zip(words, model.encode_words(words), strict=True):
+        lines[word] = " ".join(map(str, tokens)), model.decode(tokens)
+    for chunk, pieces in cut:
+        if len(pieces) == 1:
+            yield chunk, *lines[pieces[0]]
+        else:
+            found = [lines[p] for p in pieces]
+            yield chunk, " ".join(filter(None, (x for x, _ in found))), " ".join(filter(None, (x for _, x in found)))
+
+
 def digest_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row.
+
+    A chunk that several texts of a batch hold is remembered for the next batches; the many
+    that one text holds are forgotten with the batch.
+    """
     model = PairIndexBpe.from_file(path)
     ids: dict[str, str] = {}
     decoded: dict[str, str] = {}
     for batch in common.gathered(batches, "text", BATCH_BYTES):
         texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
         new: set[str] = set()
+        again: set[str] = set()
         for text in texts:
-            new.update(c for c in set(chunks(text)) if c not in ids)
-        for chunk, tokens in zip(new, model.encode_many(list(new)), strict=True):
-            ids[chunk] = " ".join(map(str, tokens))
-            decoded[chunk] = model.decode(tokens)
+            found = set(chunks(text)).difference(ids)
+            again.update(found & new)
+            new |= found
+        for chunk, line, plain in chunk_lines(model, new):
+            ids[chunk], decoded[chunk] = line, plain
+        blank = {c for c in new if not ids[c]}  # chunks without a token
         counts, first, second = [], [], []
         for text in texts:
             cut = chunks(text)
-            line = " ".join(filter(None, map(ids.__getitem__, cut)))
+            if not blank.isdisjoint(cut):
+                cut = [c for c in cut if c not in blank]
+            line = " ".join(map(ids.__getitem__, cut))
             counts.append(line.count(" ") + 1 if line else 0)
             first.append(hashlib.sha256(line.encode()).hexdigest())
-            second.append(hashlib.sha256(" ".join(filter(None, map(decoded.__getitem__, cut))).encode()).hexdigest())
-        if len(ids) > CACHE_WORDS:
-            ids.clear()
-            decoded.clear()
+            second.append(hashlib.sha256(" ".join(map(decoded.__getitem__, cut)).encode()).hexdigest())
+        for chunk in blank.union(new if len(ids) - len(new) + len(again) > CACHE_WORDS else new - again):
+            del ids[chunk], decoded[chunk]
+        del texts, new, again
         yield pa.RecordBatch.from_arrays(
             [batch.column(batch.schema.get_field_index("doc_id")), pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())],
             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
@@ -231,7 +267,7 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
 
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     model = PairIndexBpe.from_file(path)
-    for batch in common.slices(batches, "text", BATCH_BYTES // 4):
+    for batch in common.slices(batches, "text", BATCH_BYTES):
         texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
         found = model.encode_many([t or "" for t in texts])
         yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "ids"])
