@@ -381,6 +381,7 @@ def linked(docs: DataFrame) -> DataFrame:
 
     members = sets("prefix").mapInArrow(prefix_rows, "h long, rep long").join(blocks, "h").distinct()
     members = common.written(members, "jaccard-members")
+    common.release(spark)
 
     # hubs: one comparison for each set
     degree = members.groupBy("rep").agg(F.count("*").alias("degree"))
@@ -388,6 +389,7 @@ def linked(docs: DataFrame) -> DataFrame:
     best = join_splittable(members, hubs, ["h"]).where("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("c")).groupBy("rep").agg(F.max_by("hub", F.struct("c", (-F.col("hub")).alias("r"))).alias("hub"))
     first = verified(best.select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct(), sets("n", "sig"), docs, bounded=False)
     groups = common.written(components(first, "jaccard-first"), "jaccard-groups")
+    common.release(spark)
 
     # trees over the blocks that still hold several components
     now = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("h", "rep", F.coalesce("component", "rep").alias("component"))
@@ -400,6 +402,7 @@ def linked(docs: DataFrame) -> DataFrame:
     rows = rows.repartition(common.partitions(spark), "h", "p", "q").sortWithinPartitions("h", "p", "q")
     pairs = rows.select("h", "p", "q", "rep", "n", "sig", "component", "bucket").mapInArrow(tree_batches, "a long, b long").distinct()
     second = verified(pairs, None, docs, bounded=True)
+    common.release(spark)
 
     final = components(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).union(first).union(second), "jaccard-components")
     return every.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
