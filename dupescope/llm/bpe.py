@@ -18,7 +18,7 @@ import heapq
 import json
 import os
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import cached_property
 
 import numpy as np
@@ -30,9 +30,9 @@ from tokenizers import Tokenizer
 from . import common
 
 #: Words remembered between batches of a task.
-CACHE_WORDS = 120_000
+CACHE_WORDS = 200_000
 #: Text bytes of one batch whose distinct words share an index.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 12 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -184,7 +184,7 @@ class PairIndexBpe:
             elif part:
                 # letter by letter: no rule for a final sigma
                 plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                out += self.words.findall(plain)
+                out += (plain,) if plain.isalpha() else self.words.findall(plain)
         return out
 
     def encode_many(self, texts: list[str]) -> list[list[int]]:
@@ -209,7 +209,16 @@ def chunks(text: str | None) -> list[str]:
 
 def chunk_lines(model: PairIndexBpe, new: Iterable[str]) -> Iterator[tuple[str, str, str]]:
     """(chunk, its ids, its decoded text) of each chunk; all their words share one index."""
-    cut = [(chunk, model.pieces(chunk)) for chunk in new]
+    cut: list[tuple[str, Sequence[str | int]]] = []
+    for chunk in new:
+        if not chunk.isascii():
+            cut.append((chunk, model.pieces(chunk)))
+        elif chunk.isalpha():  # one word
+            cut.append((chunk, (chunk.lower(),)))
+        elif chunk[-1] in ".,!?;:" and chunk[:-1].isalpha():  # a word and a mark
+            cut.append((chunk, (chunk[:-1].lower(), chunk[-1])))
+        else:
+            cut.append((chunk, model.pieces(chunk)))
     words = list({p for _, pieces in cut for p in pieces}.difference(model.special_ids))
     lines: dict[str | int, tuple[str, str]] = {i: (str(i), model.decode([i])) for i in model.special_ids}
     for word, tokens in zip(words, model.encode_words(words), strict=True):

@@ -213,30 +213,43 @@ def sample(docs: DataFrame, per_language: int, words_per_doc: int) -> list[tuple
     return [(w, lang) for _, _, lang, w in sorted(zip(*(got[c].to_pylist() for c in ("doc_id", "at", "lang", "word")), strict=True))]
 
 
+class Pooler:
+    """Pools texts under a model; remembers the sums of words up to a fixed number."""
+
+    def __init__(self, model: BiGru | None):
+        self.model = model
+        self.at: dict[str, int] = {}
+        self.known = np.zeros((0, len(model.languages) + 1 if model else 1))
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Language and score of each text."""
+        lowered = [t.lower() if has_letter(t) else None for t in texts]
+        if self.model:
+            if len(self.at) > CACHE_WORDS:
+                self.at.clear()
+                self.known = self.known[:0]
+            new = list({w for t in lowered if t for w in t.split()}.difference(self.at))
+            self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+            self.known = np.concatenate([self.known, self.model.sums(new)])
+        langs, scores = [], []
+        for text in lowered:
+            if text is None or self.model is None:
+                langs.append(UNKNOWN)
+                scores.append(0.0)
+                continue
+            words = text.split()
+            pooled = self.known[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))].sum(axis=0)
+            best = int(pooled[:-1].argmax())
+            langs.append(self.model.languages[best])
+            scores.append(min(1.0, float(pooled[best] / pooled[-1])))
+        return langs, scores
+
+
 def predict_batches(batches: Iterator[pa.RecordBatch], model: BiGru | None) -> Iterator[pa.RecordBatch]:
-    at: dict[str, int] = {}
-    known = np.zeros((0, len(model.languages) + 1 if model else 1))
+    pooler = Pooler(model)
     for batch in common.gathered(batches, "text", 24 << 20):
         for ids, texts in common.rows([batch], "doc_id", "text"):
-            lowered = [t.lower() if has_letter(t) else None for t in texts]
-            if model:
-                if len(at) > CACHE_WORDS:
-                    at.clear()
-                    known = known[:0]
-                new = list({w for t in lowered if t for w in t.split()}.difference(at))
-                at.update(zip(new, range(len(at), len(at) + len(new)), strict=True))
-                known = np.concatenate([known, model.sums(new)])
-            langs, scores = [], []
-            for text in lowered:
-                if text is None or model is None:
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                words = text.split()
-                pooled = known[np.fromiter(map(at.__getitem__, words), np.int64, len(words))].sum(axis=0)
-                best = int(pooled[:-1].argmax())
-                langs.append(model.languages[best])
-                scores.append(min(1.0, float(pooled[best] / pooled[-1])))
+            langs, scores = pooler.predict(texts)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
 
@@ -256,12 +269,10 @@ def keep_known(docs: DataFrame, model: BiGru | None, least: float = 0.3) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            bare = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(at)], names=["doc_id", "text"])
-            found = pa.Table.from_batches(predict_batches([bare], shared.value))
-            good = [p != UNKNOWN and s >= least for p, s in zip(found["lang_pred"].to_pylist(), found["score"].to_pylist(), strict=True)]
-            yield batch.filter(pa.array(good, pa.bool_()))
+        pooler = Pooler(shared.value)
+        for batch in common.gathered(batches, "text", 24 << 20):
+            langs, scores = pooler.predict(batch.column(batch.schema.get_field_index("text")).to_pylist())
+            yield batch.filter(pa.array([p != UNKNOWN and s >= least for p, s in zip(langs, scores, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
 
