@@ -154,15 +154,30 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator
 
 
 def filter_of(hashes: DataFrame) -> np.ndarray:
-    """A bit set of FILTER_BITS bits over the column ``h``; at most FILTER_BITS / 64 rows reach the driver."""
-    at = hashes.select(F.col("h").bitwiseAND(FILTER_BITS - 1).alias("at"))
+    """A bit set of FILTER_BITS bits over the column ``h``, two bits for each; at most FILTER_BITS / 64 rows reach the driver."""
+    low, high = F.col("h").bitwiseAND(FILTER_BITS - 1), F.shiftright("h", 32).bitwiseAND(FILTER_BITS - 1)
+    at = hashes.select(F.explode(F.array(low, high)).alias("at"))
     word = at.selectExpr("shiftright(at, 6) AS w", "shiftleft(1L, CAST(at & 63 AS INT)) AS b").groupBy("w").agg(F.bit_or("b").alias("b"))
-    got = word.toArrow()
+    return bitset_of(word)
+
+
+def bitset_of(words: DataFrame) -> np.ndarray:
+    """The bit set whose 64-bit words are the rows (w, b)."""
+    got = words.toArrow()
     out = np.zeros(FILTER_BITS // 64, np.int64)
     out[got["w"].to_numpy()] = got["b"].to_numpy()
     return out.view(U64)
 
 
+def bits_of(x: np.ndarray) -> np.ndarray:
+    """The places of both bits of each hash."""
+    return np.concatenate([x & U64(FILTER_BITS - 1), (x >> U64(32)) & U64(FILTER_BITS - 1)])
+
+
 def in_filter(bitset: np.ndarray, x: np.ndarray) -> np.ndarray:
-    at = x & U64(FILTER_BITS - 1)
-    return (bitset[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) != 0
+    """Which hashes have both their bits set."""
+    out = np.ones(len(x), bool)
+    for shift in (0, 32):
+        at = (x >> U64(shift)) & U64(FILTER_BITS - 1)
+        out &= (bitset[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) != 0
+    return out

@@ -169,7 +169,7 @@ def document_batches(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, size
     looked up only in texts with a hit.
     """
     tokens = Tokens()
-    for batch in common.gathered(batches, "text", 8 << 20):
+    for batch in common.gathered(batches, "text", 1 << 19):
         for ids, texts in common.rows([batch], "doc_id", "text"):
             hashes, kinds, starts, owner = tokens.of_many(texts)
             template, literal, begin, _ = canonical(hashes, kinds, starts)

@@ -226,7 +226,7 @@ SET_TYPES = "doc_id long, n long, d1 long, d2 long, sig binary, prefix array<lon
 def set_batches(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Size, digest, bitmap and prefix of each document's set."""
     hashes = common.WordHashes()
-    for batch in common.gathered(batches, "text", 8 << 20):
+    for batch in common.gathered(batches, "text", 1 << 20):
         for ids, texts in common.rows([batch], "doc_id", "text"):
             out: list[list] = [[] for _ in range(5)]
             for x in shingle_sets(texts, hashes):

@@ -363,7 +363,7 @@ def held_words(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.Rec
     """Distinct contexts of held-out documents, as bits of a filter of fixed size."""
     for _, _, _, flat, lengths, train in block_batches(batches):
         block = Block(flat, lengths, train, order)
-        at = np.unique(np.concatenate([block.keys[k] for k in range(1, max(2, order))]) & U64(common.FILTER_BITS - 1)).astype(np.int64)
+        at = np.unique(common.bits_of(np.concatenate([block.keys[k] for k in range(1, max(2, order))]))).astype(np.int64)
         words, cuts = np.unique(at >> 6, return_index=True)
         values = np.bitwise_or.reduceat(U64(1) << (at & 63).astype(U64), cuts) if len(cuts) else np.empty(0, U64)
         yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(values.view(np.int64))], names=["w", "b"])
@@ -386,10 +386,8 @@ def score(docs: DataFrame, order: int = 2, tables: str | None = None) -> DataFra
     stored = spark.read.schema(TABLE_TYPES).parquet(path)
     rows = stored.where("kind = 'table'").select("k", "keys", "counts").mapInArrow(count_batches, "k int, r int, n long, tokens long").groupBy("k", "r").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).collect()
     model = Discounts([tuple(r) for r in rows], order)
-    got = docs.where("held_out").mapInArrow(lambda b: held_words(b, order), "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bitset = np.zeros(common.FILTER_BITS // 64, np.int64)
-    bitset[got["w"].to_numpy()] = got["b"].to_numpy()
-    needed = spark.sparkContext.broadcast(bitset.view(U64))
+    bits = docs.where("held_out").mapInArrow(lambda b: held_words(b, order), "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b"))
+    needed = spark.sparkContext.broadcast(common.bitset_of(bits))
 
     texts = docs.mapInArrow(text_batches, BLOCK_TYPES)
     answers = stored.where("kind = 'answer'").select("block", "k", "part", "counts", "owned")
