@@ -11,7 +11,8 @@ components of these links.  No link between different sets is lost:
 3. Hubs.  Equal sets count once.  Of each block the member that is in most blocks is its
    hub; every set is compared with the hub that it shares most blocks with.  True links
    are contracted to components, so large groups of near copies don't become pairs.
-4. Signature trees.  In blocks that still hold several components, nodes keep the OR of
+4. Signature trees.  Blocks of two that still hold two components are pairs as they are, and
+   go to the check if the hub step didn't compare them.  In larger ones, nodes keep the OR of
    their members' token bitmaps and their range of sizes.  Two trees are traversed at
    once, and a pair of nodes is left as soon as the overlap that its bitmaps and sizes
    allow is too small.  What remains between different components is checked exactly.
@@ -290,11 +291,14 @@ def exact_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame | None, docs: DataFrame, bounded: bool) -> DataFrame:
+def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps allow to be similar."""
+    side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("n").alias("n" + k), F.col("sig").alias("s" + k))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(bound_batches, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar; sets come from the texts of the documents concerned only."""
-    if not bounded:
-        side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("n").alias("n" + k), F.col("sig").alias("s" + k))
-        pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(bound_batches, "a long, b long").distinct()
     pairs = common.written(pairs, "jaccard-pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     wanted = docs.sparkSession.sparkContext.broadcast(common.filter_of(ids.select(F.xxhash64("id").alias("h"))))
@@ -387,21 +391,26 @@ def linked(docs: DataFrame) -> DataFrame:
     degree = members.groupBy("rep").agg(F.count("*").alias("degree"))
     hubs = members.join(degree, "rep").groupBy("h").agg(F.max(F.struct("degree", (-F.col("rep")).alias("r"))).alias("top")).select("h", (-F.col("top.r")).alias("hub"))
     best = join_splittable(members, hubs, ["h"]).where("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("c")).groupBy("rep").agg(F.max_by("hub", F.struct("c", (-F.col("hub")).alias("r"))).alias("hub"))
-    first = verified(best.select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct(), sets("n", "sig"), docs, bounded=False)
+    compared = common.written(best.select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct(), "jaccard-compared")
+    first = verified(bounded(compared, sets("n", "sig")), docs)
     groups = common.written(components(first, "jaccard-first"), "jaccard-groups")
     common.release(spark)
 
     # trees over the blocks that still hold several components
     now = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("h", "rep", F.coalesce("component", "rep").alias("component"))
     now = common.written(now, "jaccard-now")
-    mixed = now.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c")).where("low < high and c > 2").select("h", F.ceil(F.col("c") / SPLIT).cast("int").alias("parts"))
+    several = now.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c"), F.max("rep").alias("a"), F.min("rep").alias("b")).where("low < high")
+    # a block of two is one pair and needs no tree; the hub step may have compared it
+    twos = several.where("c = 2").select("a", "b").distinct().join(compared, ["a", "b"], "left_anti")
+    mixed = several.where("c > 2").select("h", F.ceil(F.col("c") / SPLIT).cast("int").alias("parts"))
     rows = join_splittable(now, mixed, ["h"]).join(sets("n", "sig").withColumnRenamed("doc_id", "rep"), "rep")
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     # a large block is dealt out: every pair of its buckets is a key of its own
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("p", F.least("bucket", "o")).withColumn("q", F.greatest("bucket", "o"))
     rows = rows.repartition(common.partitions(spark), "h", "p", "q").sortWithinPartitions("h", "p", "q")
-    pairs = rows.select("h", "p", "q", "rep", "n", "sig", "component", "bucket").mapInArrow(tree_batches, "a long, b long").distinct()
-    second = verified(pairs, None, docs, bounded=True)
+    pairs = rows.select("h", "p", "q", "rep", "n", "sig", "component", "bucket").mapInArrow(tree_batches, "a long, b long")
+    pairs = pairs.union(bounded(twos, sets("n", "sig")).select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
+    second = verified(pairs, docs)
     common.release(spark)
 
     final = components(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).union(first).union(second), "jaccard-components")

@@ -57,6 +57,29 @@ def test_components(spark, seed, monkeypatch):
     assert {r.doc_id: r.n_shingles for r in got} == sizes
 
 
+def triples(n=40):
+    """C is a frequent passage and 10 own shingles, A is C and 20 shingles that E quotes: A and C are linked, by blocks of two only."""
+    rows = []
+    frequent, other = [f"f{i}" for i in range(74)], [f"g{i}" for i in range(74)]
+    for k in range(n):
+        c = frequent + [f"c{k}x{i}" for i in range(10)]
+        quoted = [f"q{k}x{i}" for i in range(20)]
+        rows += [(3 * k, " ".join(c)), (3 * k + 1, " ".join(c + quoted)), (3 * k + 2, " ".join(other + c[-4:] + quoted))]
+    return rows
+
+
+def windows_of_one_sequence(seed=5):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(500)]
+    return [(i, " ".join(words[b : b + rng.randint(40, 110)])) for i, b in enumerate(rng.randrange(400) for _ in range(70))]
+
+
+@pytest.mark.parametrize("rows", [triples(), windows_of_one_sequence()])
+def test_links_by_blocks_of_two(spark, rows):
+    expected, _ = brute(rows)
+    assert {r.doc_id: r.component_id for r in jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == expected
+
+
 def test_repeated_and_null_ids(spark):
     text = " ".join(f"a{i}" for i in range(30))
     rows = [(1, text, 5), (1, text, 5), (2, text, 5), (None, text, 5), (7, "b c d e f g", 5), (7, text, 5)]
