@@ -5,10 +5,10 @@ puts the members one after the other into files on any store it can reach.  Of r
 with equal payloads the one with the largest page_id is the response; the others are
 revisits that name it.
 
-Reading: each file is parsed member by member.  A member or record that fails a check
-(magic, CRC, length, version line, block digest) is not trusted: the reader searches the
-next place where a valid one starts, goes on there, and logs the bytes between as a
-quarantined gap.
+Reading: each file is parsed member by member, or record by record where it is plain.  A
+member or record that fails a check (magic, CRC, length, version line, block digest) is
+not trusted: the reader searches the next place where a valid one of either kind starts,
+goes on there, and logs the bytes between as a quarantined gap.
 
 Defined results: a null html is the empty payload.  Records are told apart by page_id:
 rows that repeat the largest page_id of a payload are all responses.  A null page_id
@@ -41,6 +41,8 @@ DATE = "2000-01-01T00:00:00Z"
 RECORDS_PER_FILE = 2000
 END = b"\r\n\r\n"
 START = re.compile(rb"WARC/\d\.\d\r?\n")
+#: Where a gzip member or a plain record may start.
+PLACE = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r?\n")
 #: A gzip member of no bytes; its last byte is zero.
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 
@@ -159,31 +161,46 @@ def inflate(data: bytes, at: int) -> tuple[bytes, int] | str:
     return b"".join(parts), min(i, len(data)) - len(work.unused_data)
 
 
+def unit(data: bytes, at: int, searched: bool) -> tuple[list[Record], list[tuple[int, int, str]], int] | str:
+    """Records and gaps of the member or plain record at ``at`` and the place behind it, or what is wrong.
+
+    A place that a search found may be a gzip payload, so its member must hold a version line or nothing.
+    """
+    if not data.startswith(GZIP, at):
+        found = parse_plain(data, at)
+        return found if isinstance(found, str) else ([found[0]], [], found[1])
+    found = inflate(data, at)
+    if isinstance(found, str):
+        return found
+    plain, end = found
+    if searched and plain and not START.search(plain):
+        return "member without version line"
+    inner = salvage_plain(plain)
+    for record in inner.records:
+        record.offset = at  # of the member
+    return inner.records, [(at, end, f"in a member: {reason}") for _, _, reason in inner.gaps], end
+
+
 def salvage(data: bytes) -> Parsed:
-    """Records and gaps of an archive, gzip members or plain."""
-    if not data.startswith(GZIP) and START.search(data[:65536]):
-        return salvage_plain(data)
+    """Records and gaps of an archive of gzip members, plain records or both."""
     out, at = Parsed(), 0
     while at < len(data):
-        found = inflate(data, at)
+        found = unit(data, at, False)
         if isinstance(found, str):
             begin, reason = at, found
-            while isinstance(found, str):
-                at = data.find(GZIP, at + 1)
-                if at < 0:
-                    at = len(data)
+            for place in PLACE.finditer(data, at + 1):
+                at = place.start()
+                found = unit(data, at, True)
+                if not isinstance(found, str):
                     break
-                found = inflate(data, at)
+            else:
+                at = len(data)
             out.gaps.append((begin, at, reason))
             if isinstance(found, str):
                 break
-        begin = at
-        plain, at = found
-        inner = salvage_plain(plain)
-        for record in inner.records:
-            record.offset = begin  # of the member
-        out.records += inner.records
-        out.gaps += [(begin, at, f"in a member: {reason}") for _, _, reason in inner.gaps]
+        records, gaps, at = found
+        out.records += records
+        out.gaps += gaps
     return out
 
 

@@ -46,6 +46,33 @@ def test_plain_salvage():
     assert warc.salvage(b"").records == [] and warc.salvage(b"").gaps == []
 
 
+def test_plain_salvage_behind_a_long_damaged_start():
+    long = warc.record_bytes(9, "u", b"x" * 70_000, warc.base32_sha1(b"x" * 70_000), None)
+    for begin in (b"XARC" + long[4:], b"rubbish " * 10_000):
+        found = warc.salvage(begin + b"".join(made(3)))
+        assert [warc.page_of(r.headers["warc-record-id"]) for r in found.records] == [0, 1, 2]
+        assert found.gaps == [(0, len(begin), "no version line")] and found.records[0].offset == len(begin)
+
+
+def test_plain_records_between_members():
+    parts = made(6)
+    pieces = [gzip.compress(parts[0], mtime=0), parts[1], b"junk", parts[2], gzip.compress(parts[3], mtime=0)[:-9], parts[4], gzip.compress(parts[5], mtime=0)]
+    found = warc.salvage(b"".join(pieces))
+    assert [warc.page_of(r.headers["warc-record-id"]) for r in found.records] == [0, 1, 2, 4, 5]
+    places = [sum(map(len, pieces[:i])) for i in range(len(pieces) + 1)]
+    assert [r.offset for r in found.records] == [places[i] for i in (0, 1, 3, 5, 6)]
+    assert [(b, e) for b, e, _ in found.gaps] == [(places[2], places[3]), (places[4], places[5])]
+
+
+def test_gzip_payload_of_a_damaged_record_is_no_member():
+    zipped = gzip.compress(b"<p>page</p>", mtime=0)
+    parts = [warc.record_bytes(i, "u", zipped, warc.base32_sha1(zipped), None) for i in range(3)]
+    bad = parts[1].replace(b"Content-Type: text", b"Content-Type: tex_")
+    found = warc.salvage(parts[0] + bad + parts[2])
+    assert [warc.page_of(r.headers["warc-record-id"]) for r in found.records] == [0, 2]
+    assert found.gaps == [(len(parts[0]), len(parts[0]) + len(bad), "block digest differs")]
+
+
 def test_round_trip(spark, tmp_path):
     rows = [(i, None if i == 1 else f"http://h/{i}", h, 1) for i, h in enumerate(HTML)] + [(None, "u", "<p>a</p>", 1)]
     spark.createDataFrame(rows, "page_id long, url string, html string, digest int").write.parquet(f"{tmp_path}/pages.parquet")
