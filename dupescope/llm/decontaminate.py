@@ -1,10 +1,12 @@
 """Operator 9: benchmark decontamination by template canonicalisation.
 
-Words become lower-case literals; numbers, names (title-case words that don't begin a
-sentence; a run of them is one) and units become typed placeholders.  Windows of
-``WINDOW`` tokens of the benchmark, once as templates and once as plain words, are hashed
-and equi-joined with the windows of all documents.  A filter of fixed size keeps windows
-that can't match out of the shuffle; the join decides.
+Words become lower-case literals; numbers, names (title-case words; a run of them is one)
+and units become typed placeholders.  Whether a title-case word that begins a sentence is a
+name can't be seen, so there are two templates: one has it as a literal, the other as a
+name of its own, which joins the names behind it if the text has it title-case within a
+sentence, too.  Windows of ``WINDOW`` tokens of the benchmark, as either template and as
+plain words, are hashed and equi-joined with the windows of all documents.  A filter of
+fixed size keeps windows that can't match out of the shuffle; the join decides.
 
 Matches of a document and an item on one alignment must fill the slots consistently: equal
 values of the item stand for equal values in the document.  So a question whose numbers and
@@ -50,6 +52,8 @@ LITERAL, NUMBER, UNIT, TITLE, MARK = range(5)
 #: Hashes of the placeholders; no word has a space.
 SLOTS = {kind: xxhash.xxh3_64_intdigest(b" slot %d" % kind) for kind in (NUMBER, UNIT, TITLE)}
 U64 = np.uint64
+#: What windows are made of: templates with literal or with named sentence starts, and plain words.
+TEMPLATE, PLAIN, NAMED = FAMILIES = range(3)
 
 
 class Tokens(dict):
@@ -97,11 +101,22 @@ class Tokens(dict):
         return (words, *self.of_many([text])[:3])
 
 
-def canonical(hashes: np.ndarray, kinds: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template tokens: hashes, whether literal, first word and the word behind the last of each."""
-    kinds = np.where((kinds == TITLE) & starts, LITERAL, kinds)
+def canonical(hashes: np.ndarray, kinds: np.ndarray, starts: np.ndarray, owner: np.ndarray, named: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template tokens: hashes, whether literal, first word and the word behind the last of each.
+
+    ``named``: title-case words that begin a sentence are names, otherwise literals.
+    """
+    title = kinds == TITLE
+    opening = title & starts
+    if not named:
+        kinds, title = np.where(opening, LITERAL, kinds), title & ~starts
     first = np.ones(len(kinds), bool)
-    first[1:] = (kinds[1:] != TITLE) | (kinds[:-1] != TITLE)
+    first[1:] = ~title[1:] | ~title[:-1] | starts[1:]
+    if named:  # does a sentence's first word belong to the name behind it?
+        lead = np.flatnonzero(opening[:-1] & ~first[1:])
+        if len(lead):
+            key = common.mix(hashes + owner.astype(U64) * U64(0x9E3779B97F4A7C15))
+            first[lead[~np.isin(key[lead], key[title & ~starts])] + 1] = True
     begin = np.flatnonzero(first)
     out = hashes[begin].copy()
     for kind, h in SLOTS.items():
@@ -117,13 +132,18 @@ def hashed(tokens: np.ndarray, literal: np.ndarray, size: int, family: int) -> t
 
 
 def windows_of(parts: tuple, sizes: list[int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None, np.ndarray | None]]:
-    """(family, size, hashes, good, literal, begin, end): templates are family 0, plain words family 1."""
-    _, hashes, kinds, starts = parts
-    tokens, literal, begin, end = canonical(hashes, kinds, starts)
+    """(family, size, hashes, good, literal, begin, end) of each family."""
+    hashes = parts[1]
     plain = np.ones(len(hashes), bool)
-    for size in sizes:
-        yield (0, size, *hashed(tokens, literal, size, 0), literal, begin, end)
-        yield (1, size, *hashed(hashes, plain, size, 1), None, None, None)
+    for family in FAMILIES:
+        tokens, literal, *places = (hashes, plain, None, None) if family == PLAIN else template(parts, family)
+        for size in sizes:
+            yield (family, size, *hashed(tokens, literal, size, family), None if family == PLAIN else literal, *places)
+
+
+def template(parts: tuple, family: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A template of the one text of ``parts``."""
+    return canonical(*parts[1:], np.zeros(len(parts[1]), np.int64), family == NAMED)
 
 
 def slot_values(words: list[str], at: int, size: int, literal: np.ndarray | None, begin: np.ndarray | None, end: np.ndarray | None) -> list[str]:
@@ -142,7 +162,7 @@ def item_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for item, text in zip(ids, texts, strict=True):
             parts = tokens.of(text)
-            sizes = {0: len(canonical(*parts[1:])[0]), 1: len(parts[0])}
+            sizes = {PLAIN: len(parts[0])} | {f: len(template(parts, f)[0]) for f in (TEMPLATE, NAMED)}
             for family, n in sizes.items():
                 if item is None or n < LEAST:
                     continue
@@ -172,21 +192,25 @@ def document_batches(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, size
     for batch in common.gathered(batches, "text", 1 << 19):
         for ids, texts in common.rows([batch], "doc_id", "text"):
             hashes, kinds, starts, owner = tokens.of_many(texts)
-            template, literal, begin, _ = canonical(hashes, kinds, starts)
             found: list[tuple[int, int, int, int, int]] = []
-            for family, h, is_literal, own in ((0, template, literal, owner[begin]), (1, hashes, np.ones(len(hashes), bool), owner)):
+            for family in FAMILIES:
+                h, is_literal, begin = (hashes, np.ones(len(hashes), bool), slice(None)) if family == PLAIN else canonical(hashes, kinds, starts, owner, family == NAMED)[:3]
+                own = owner[begin]
                 first = np.searchsorted(own, np.arange(len(texts)))
                 for size in sizes:
                     keys, good = hashed(h, is_literal, size, family)
                     hit = np.flatnonzero(good & (own[: len(keys)] == own[size - 1 :]) & common.in_filter(wanted, keys)) if len(keys) else []
                     found += [(int(own[i]), family, int(keys[i : i + 1].view(np.int64)[0]), int(i - first[own[i]]), size) for i in hit]
             out: list[tuple] = []
-            last, parts, slots = -1, None, ()
+            last, parts, slots = (-1, 0), None, {}
             for text, family, key, at, size in sorted(found):
-                if text != last:
-                    last, parts = text, tokens.of(texts[text])
-                    slots = canonical(*parts[1:])[1:]
-                out.append((ids[text], family, key, at, slot_values(parts[0], at, size, *slots) if family == 0 else []))
+                if (text, family) != last:
+                    if text != last[0]:
+                        parts, slots = tokens.of(texts[text]), {}
+                    last = text, family
+                    if family != PLAIN:
+                        slots = template(parts, family)[1:]
+                out.append((ids[text], family, key, at, slot_values(parts[0], at, size, *slots) if family != PLAIN else []))
             yield batch_of(out, HIT_TYPES)
 
 
@@ -207,7 +231,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     good = aligned.where(consistent).select("doc_id", "item_id", "family", "total", F.size("places").alias("run"), same.alias("exact"), F.explode("places").alias("at"))
     family = good.groupBy("doc_id", "item_id", "family").agg(F.count_distinct("at").alias("windows"), F.max("run").alias("run"), F.max("total").alias("total"), F.bool_or("exact").alias("exact"))
     best = family.withColumn("coverage", F.col("windows") / F.col("total")).where((F.col("coverage") >= MIN_COVER) | (F.col("run") >= MIN_RUN))
-    return best.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.max("windows").alias("windows"), F.max("run").alias("run"), F.bool_or((F.col("family") == 1) | F.col("exact")).alias("exact"))
+    return best.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.max("windows").alias("windows"), F.max("run").alias("run"), F.bool_or((F.col("family") == PLAIN) | F.col("exact")).alias("exact"))
 
 
 def short_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +240,7 @@ def short_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = set()
         for text in texts:
             parts = tokens.of(text)
-            found |= {n for n in (len(parts[0]), len(canonical(*parts[1:])[0])) if LEAST <= n < WINDOW}
+            found |= {n for n in (len(parts[0]), *(len(template(parts, f)[0]) for f in (TEMPLATE, NAMED))) if LEAST <= n < WINDOW}
         yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int32())], names=["n"])
 
 

@@ -33,6 +33,21 @@ def test_parts_and_short_items(spark):
     assert set(got) == {(2, 1), (3, 2), (5, 1)}
 
 
+STARTS = "Maria has 12 red apples. Maria gives 5 apples to Jonas. Maria then buys 7 more apples. How many apples does Maria have now?"
+SPEAKERS = "Mr. Smith has 4 boats.\nSmith sells 2 boats to Ann Lee.\nLee paints her boats. How many boats do Mr. Smith and Ann Lee own?"
+
+
+def test_names_that_begin_sentences(spark):
+    other = lambda t, a, b: t.replace("Maria", a).replace("Jonas", b).replace("12", "40").replace("5", "9").replace("7", "eight")
+    docs = [
+        (1, other(STARTS, "Anna", "Peter"), 0), (2, "Question: " + other(STARTS, "Anna", "Peter Pan") + " Anna left.", 0), (3, other(STARTS, "Anna Lee", "Peter"), 0), (4, other(STARTS, "Anna", "Peter").replace("Anna then", "Peter then"), 0),
+        (5, SPEAKERS.replace("Smith", "Jones").replace("Ann Lee", "Bob Ray").replace("Lee", "Ray").replace("4", "6"), 0),
+    ]
+    got, *_ = run(spark, docs, [(1, STARTS), (2, SPEAKERS)])
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (5, 2)}
+    assert got[1, 1].coverage == 1 and not got[1, 1].exact
+
+
 def test_empty_tables(spark):
     assert run(spark, [], [(1, QUESTION)])[0] == {} and run(spark, [(1, QUESTION, 0)], [])[0] == {}
 
