@@ -16,8 +16,9 @@ windows, or ``MIN_RUN`` windows of one alignment.
 
 Defined results: items of fewer than ``WINDOW`` tokens match as a whole if they have at
 least ``LEAST`` tokens, and never otherwise; windows with fewer than ``LITERALS`` literals
-(half the tokens of a short item) aren't indexed.  Null or empty texts match nothing, rows
-with a null id are left out.  Repeated document rows give one pair.
+(half the tokens of a short item) are weak: they count only on an alignment that has
+another window.  Null or empty texts match nothing, rows with a null id are left out.
+Repeated document rows give one pair.
 """
 
 from __future__ import annotations
@@ -167,23 +168,28 @@ def item_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if item is None or n < LEAST:
                     continue
                 for f, size, h, good, *slots in windows_of(parts, [min(WINDOW, n)]):
-                    if f == family:
-                        out += [(item, f, int(x), i, len(h), slot_values(parts[0], i, size, *slots)) for i, (x, g) in enumerate(zip(h.view(np.int64), good, strict=True)) if g]
+                    if f == family and good.any():
+                        out += [(item, f, int(x), i, len(h), slot_values(parts[0], i, size, *slots)) for i, x in enumerate(h.view(np.int64))]
         yield batch_of(out, WINDOW_TYPES)
 
 
 def batch_of(made: list[tuple], types: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
     fields = [x.split() for x in types.split(", ")]
     columns = zip(*made, strict=True) if made else [()] * len(fields)
     return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-HIT_TYPES = "doc_id long, family int, h long, doc_at long, doc_slots array<string>"
+HIT_TYPES = "doc_id long, family int, h long, doc_at long, strong boolean, doc_slots array<string>"
 
 
-def document_batches(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, sizes: list[int]) -> Iterator[pa.RecordBatch]:
-    """The windows of documents that the filter lets through.
+def near(places: np.ndarray, strong: np.ndarray, reach: int) -> np.ndarray:
+    """Which places are less than ``reach`` from one of ``strong`` (both in order)."""
+    return np.searchsorted(strong, places - reach, "right") < np.searchsorted(strong, places + reach)
+
+
+def document_batches(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, sizes: list[int], reach: int) -> Iterator[pa.RecordBatch]:
+    """The windows of documents that the filter lets through, weak ones within an item's length of another.
 
     Windows of a whole batch are hashed at once, those across two texts left out.  Slots are
     looked up only in texts with a hit.
@@ -192,25 +198,29 @@ def document_batches(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, size
     for batch in common.gathered(batches, "text", 1 << 19):
         for ids, texts in common.rows([batch], "doc_id", "text"):
             hashes, kinds, starts, owner = tokens.of_many(texts)
-            found: list[tuple[int, int, int, int, int]] = []
+            found: list[tuple[int, int, int, int, int, bool]] = []
             for family in FAMILIES:
                 h, is_literal, begin = (hashes, np.ones(len(hashes), bool), slice(None)) if family == PLAIN else canonical(hashes, kinds, starts, owner, family == NAMED)[:3]
                 own = owner[begin]
                 first = np.searchsorted(own, np.arange(len(texts)))
                 for size in sizes:
                     keys, good = hashed(h, is_literal, size, family)
-                    hit = np.flatnonzero(good & (own[: len(keys)] == own[size - 1 :]) & common.in_filter(wanted, keys)) if len(keys) else []
-                    found += [(int(own[i]), family, int(keys[i : i + 1].view(np.int64)[0]), int(i - first[own[i]]), size) for i in hit]
+                    if not len(keys):
+                        continue
+                    hit = np.flatnonzero((own[: len(keys)] == own[size - 1 :]) & common.in_filter(wanted, keys))
+                    strong = hit[good[hit]]
+                    hit = hit[good[hit] | near(hit, strong, reach)]
+                    found += [(int(own[i]), family, int(keys[i : i + 1].view(np.int64)[0]), int(i - first[own[i]]), size, bool(good[i])) for i in hit]
             out: list[tuple] = []
             last, parts, slots = (-1, 0), None, {}
-            for text, family, key, at, size in sorted(found):
+            for text, family, key, at, size, strong in sorted(found):
                 if (text, family) != last:
                     if text != last[0]:
                         parts, slots = tokens.of(texts[text]), {}
                     last = text, family
                     if family != PLAIN:
                         slots = template(parts, family)[1:]
-                out.append((ids[text], family, key, at, slot_values(parts[0], at, size, *slots) if family != PLAIN else []))
+                out.append((ids[text], family, key, at, strong, slot_values(parts[0], at, size, *slots) if family != PLAIN else []))
             yield batch_of(out, HIT_TYPES)
 
 
@@ -222,13 +232,21 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     short = benchmark.select("text").mapInArrow(short_sizes, "n int").distinct().collect()  # three sizes at most
     sizes = [WINDOW, *sorted(r.n for r in short)]
     wanted = spark.sparkContext.broadcast(common.filter_of(items.select("h")))
-    hits = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(lambda b: document_batches(b, wanted.value, sizes), HIT_TYPES)
-    joined = hits.join(items, ["h", "family"]).select("doc_id", "item_id", "family", (F.col("doc_at") - F.col("at")).alias("shift"), "at", "total", F.arrays_zip("slots", "doc_slots").alias("pairs"))
+    reach = items.agg(F.max("total")).first()[0] or 0
+    hits = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(lambda b: document_batches(b, wanted.value, sizes, reach), HIT_TYPES)
+    joined = hits.join(items, ["h", "family"]).select("doc_id", "item_id", "family", (F.col("doc_at") - F.col("at")).alias("shift"), "at", "total", "strong", F.arrays_zip("slots", "doc_slots").alias("pairs"))
     # one alignment holds at most the item's windows, so its sets are bounded by the item
-    aligned = joined.groupBy("doc_id", "item_id", "family", "shift").agg(F.collect_set("at").alias("places"), F.max("total").alias("total"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p["slots"]))) == F.size("pairs")
+    strong = lambda c: F.when(F.col("strong"), F.col(c))
+    aligned = joined.groupBy("doc_id", "item_id", "family", "shift").agg(
+        F.collect_set("at").alias("places"), F.collect_set(strong("at")).alias("strong_places"), F.max("total").alias("total"),
+        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.array_distinct(F.flatten(F.collect_set(strong("pairs")))).alias("strong_pairs"),
+    ).where(F.size("strong_places") > 0)
+    consistent = lambda c: F.size(F.array_distinct(F.transform(c, lambda p: p["slots"]))) == F.size(c)
+    # weak windows add to an alignment, but don't spoil one that is consistent without them
+    aligned = aligned.where(consistent("strong_pairs")).withColumn("whole", consistent("pairs"))
+    aligned = aligned.select("doc_id", "item_id", "family", "total", F.when(F.col("whole"), F.col("places")).otherwise(F.col("strong_places")).alias("places"), F.when(F.col("whole"), F.col("pairs")).otherwise(F.col("strong_pairs")).alias("pairs"))
     same = F.forall("pairs", lambda p: p["slots"] == p["doc_slots"])
-    good = aligned.where(consistent).select("doc_id", "item_id", "family", "total", F.size("places").alias("run"), same.alias("exact"), F.explode("places").alias("at"))
+    good = aligned.select("doc_id", "item_id", "family", "total", F.size("places").alias("run"), same.alias("exact"), F.explode("places").alias("at"))
     family = good.groupBy("doc_id", "item_id", "family").agg(F.count_distinct("at").alias("windows"), F.max("run").alias("run"), F.max("total").alias("total"), F.bool_or("exact").alias("exact"))
     best = family.withColumn("coverage", F.col("windows") / F.col("total")).where((F.col("coverage") >= MIN_COVER) | (F.col("run") >= MIN_RUN))
     return best.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.max("windows").alias("windows"), F.max("run").alias("run"), F.bool_or((F.col("family") == PLAIN) | F.col("exact")).alias("exact"))

@@ -48,6 +48,14 @@ def test_names_that_begin_sentences(spark):
     assert got[1, 1].coverage == 1 and not got[1, 1].exact
 
 
+def test_items_of_many_slots(spark):
+    item = "Add 3 kg, 5 kg, 7 kg and 9 kg, then divide by 4."
+    other = item.replace("3", "13").replace("5", "21").replace("7", "6.5").replace("9", "30").replace("4", "2")
+    docs = [(1, f"Task: {other} Done.", 0), (2, "1 kg 2 kg 3 kg 4 kg 5 kg 6 kg", 0), (3, "It holds 21 kg and 30 kg, then divide by 2 again.", 0), (4, other.replace("kg and", "g and"), 0), (5, item, 0)]
+    got, *_ = run(spark, docs, [(1, item), (2, "3 kg 5 kg 7 kg 9 kg 4 kg")])
+    assert set(got) == {(1, 1), (5, 1)} and got[1, 1].coverage == 1
+
+
 def test_empty_tables(spark):
     assert run(spark, [], [(1, QUESTION)])[0] == {} and run(spark, [(1, QUESTION, 0)], [])[0] == {}
 
