@@ -11,9 +11,6 @@ from ..functions.matching import contains_like
 from .candidates import present
 from .groups import KEY, members, with_shared_inode
 
-#: Largest gain first; the hash breaks ties so that pages are stable.
-ORDER = [F.desc, F.desc, F.asc]
-
 
 @dataclass(frozen=True)
 class DuplicateFilter:
@@ -37,6 +34,7 @@ class DuplicateFilter:
 
 
 def ordered(groups: DataFrame) -> DataFrame:
+    """Largest gain first; the hash breaks ties so that pages are stable."""
     return groups.orderBy(F.desc("reclaimable_bytes"), F.desc("size"), F.asc("full_hash"))
 
 

@@ -21,11 +21,11 @@ def full_hash(data: Column) -> Column:
 
 
 def partial_hash(data: Column, size: Column, sample: int) -> Column:
-    """Sampled hash of a string or binary column of ``size`` bytes, over its hexadecimal digits."""
-    hx = F.hex(data)
-    piece = lambda begin: F.substring(hx, (begin * 2 + 1).cast("int"), F.lit(2 * sample))
+    """Sampled hash of a string or binary column of ``size`` bytes, over the hexadecimal digits of the samples."""
+    raw = data.cast("binary")
+    piece = lambda begin: F.hex(F.substring(raw, (begin + 1).cast("int"), F.lit(sample)))
     middle = F.floor(size / 2).cast("long") - sample // 2
-    return F.when(size <= 3 * sample, F.md5(hx)).otherwise(F.md5(F.concat(piece(F.lit(0)), piece(middle), piece(size - sample))))
+    return F.when(size <= 3 * sample, F.md5(F.hex(raw))).otherwise(F.md5(F.concat(piece(F.lit(0)), piece(middle), piece(size - sample))))
 
 
 def sampled_bytes(size: Column, sample: int) -> Column:

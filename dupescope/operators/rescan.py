@@ -7,7 +7,7 @@ import stat
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import MISSING
@@ -56,10 +56,11 @@ def outcome_counts(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(F.count("*").alias("checked"), of("missing"), of("changed"), F.count_if(F.col("outcome") == "error").alias("errors"), of("unchanged"))
 
 
-def patched(files: DataFrame, outcomes: DataFrame) -> DataFrame:
+def patched(files: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
     """The files after a recheck: missing ones are marked, changed ones take their new state.
 
-    The sampled hash of a changed file is cleared, its full hash kept; errors leave the row.
+    Either gets ``now`` as updated_at.  The sampled hash of a changed file is cleared, its
+    full hash is the new one; errors and unchanged members leave the row as it is.
     """
     o = outcomes.select("id", "outcome", *(F.col(c).alias(f"new_{c}") for c in (*STAT, "full_hash")))
     changed = F.col("outcome") == "changed"
@@ -67,6 +68,7 @@ def patched(files: DataFrame, outcomes: DataFrame) -> DataFrame:
     for c in (*STAT, "full_hash"):
         out = out.withColumn(c, F.when(changed, F.col(f"new_{c}")).otherwise(F.col(c)))
     out = out.withColumn("partial_hash", F.when(changed, "").otherwise(F.col("partial_hash")))
+    out = out.withColumn("updated_at", F.when(F.col("outcome").isin("missing", "changed"), now).otherwise(F.col("updated_at")))
     return out.withColumn("status", F.when(F.col("outcome") == "missing", MISSING).otherwise(F.col("status"))).select(files.columns)
 
 

@@ -15,7 +15,10 @@ def join_splittable(left: DataFrame, right: DataFrame, keys: list[str], how: str
     aggregated side, and leaves both free to be split or broadcast.  Null keys match each
     other, as they do in a grouping.
     """
-    key = F.struct(*keys).alias("_key")
+    name = "_key"
+    while name in (*left.columns, *right.columns):
+        name += "_"
+    key = F.struct(*keys).alias(name)
     rest = [c for c in right.columns if c not in keys]
-    joined = left.select("*", key).join(right.select(key, *rest), "_key", how)
-    return joined.drop("_key")
+    joined = left.select("*", key).join(right.select(key, *rest), name, how)
+    return joined.drop(name)

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import os
 import time
-from collections.abc import Iterable
+from datetime import datetime
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import paths
 from ..operators import browse, candidates, diff, groups, hashing, rescan
 from ..schema import COUNTERS, FILES, GROUPS, ROOTS, SCANS, EngineConfig
 from ..sources import fswalk
 from ..streaming import progress
 from . import lifecycle
-from .store import Busy, Store
+from .store import Parts, Store
 
 NOW = F.current_timestamp
 
@@ -45,16 +48,40 @@ class Engine:
     def groups(self) -> DataFrame:
         return self.store.read("groups", GROUPS)
 
+    def scan_of(self, scan_id: int) -> DataFrame:
+        """One scan, or no row."""
+        return lifecycle.by_id(self.scans(), scan_id)
+
+    def scan_roots(self, scan_id: int) -> DataFrame:
+        """The roots that a scan covered."""
+        return lifecycle.scan_roots(self.scan_of(scan_id), self.store.read("roots", ROOTS))
+
+    def root_of(self, root_id: int) -> DataFrame:
+        """One root, or no row."""
+        return lifecycle.by_id(lifecycle.migrated_roots(self.store.read("roots", ROOTS)), root_id)
+
+    def _change(self, name: str, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Replaces a small table by what ``change`` makes of its current version."""
+        schema = {"roots": ROOTS, "scans": SCANS}[name]
+        self.store.update(lambda base: {name: change(self.store.read(name, schema, base))})
+
     # -- roots
 
     def _append_roots(self, rows: Iterable[tuple[str, str]], source: str) -> list[int]:
-        now = self.store.read("roots", ROOTS)
-        taken = {r.path for r in now.select("path").collect()}  # a handful of roots
-        first = (now.agg(F.max("id")).first()[0] or 0) + 1
-        new = [(first + k, path, label) for k, (path, label) in enumerate(dict.fromkeys(rows)) if path not in taken]
-        if new:
+        new: list[tuple[int, str, str]] = []
+
+        def build(base: dict[str, str]) -> dict[str, DataFrame]:
+            now = self.store.read("roots", ROOTS, base)
+            taken = {r.path for r in now.select("path").collect()}  # a handful of roots
+            first = (now.agg(F.max("id")).first()[0] or 0) + 1
+            new[:] = [(first + k, path, label) for k, (path, label) in enumerate(r for r in dict.fromkeys(rows) if r[0] not in taken)]
+            if not new:
+                return {}
             added = self.spark.createDataFrame(new, "id long, path string, label string").select("id", "path", "label", NOW().alias("added_at"), F.lit(True).alias("enabled"), F.lit(source).alias("source"))
-            self.store.write(roots=now.unionByName(added))
+            return {"roots": now.unionByName(added)}
+
+        rows = list(rows)
+        self.store.update(build)
         return [i for i, _, _ in new]
 
     def add_root(self, path: str, label: str = "") -> int:
@@ -76,20 +103,28 @@ class Engine:
         return self._append_roots([(p, os.path.basename(p)) for p in new], "auto")
 
     def toggle_root(self, root_id: int, enabled: bool | None = None) -> None:
-        self.store.write(roots=lifecycle.toggled(self.store.read("roots", ROOTS), root_id, enabled))
+        self._change("roots", lambda roots: lifecycle.toggled(roots, root_id, enabled))
 
     def delete_root(self, root_id: int) -> None:
-        """Removes a root with its files at once and rebuilds the groups; refused during a scan."""
-        if self.store.locked():
-            raise Busy("a scan is running")
-        self.store.write(roots=lifecycle.without_root(self.store.read("roots", ROOTS), root_id, "id"), files=lifecycle.without_root(self.files(), root_id))
-        self.store.write(groups=groups.duplicate_groups(self.files()))
+        """Removes a root with its files and rebuilds the groups, all published at once; refused during a scan or recheck."""
+        self.store.lock()
+        try:
+            self.store.update(lambda base: {
+                "roots": lifecycle.without_root(self.store.read("roots", ROOTS, base), root_id, "id"),
+                "files": Parts(None, "root_id", [], gone=[root_id]),
+                "groups": groups.duplicate_groups(lifecycle.without_root(self.store.read("files", FILES, base), root_id)),
+            })
+        finally:
+            self.store.unlock()
 
     # -- scans
 
     def recover(self) -> None:
-        """At start-up: marks what was running as interrupted and frees the lock."""
-        self.store.write(scans=lifecycle.interrupted(self.scans(), NOW()))
+        """At start-up: marks what was running as interrupted, tells its subscribers, and frees the lock."""
+        running = [r.id for r in self.scans().where("status = 'running'").select("id").collect()]  # one at most, in practice
+        self._change("scans", lambda scans: lifecycle.interrupted(scans, NOW()))
+        for event in progress.terminal_events(self.scans().where(F.col("id").isin(running))).collect() if running else []:
+            progress.emit(self.spark, self.event_path, event.asDict())
         self.store.unlock()
 
     def current_scan(self) -> DataFrame:
@@ -116,36 +151,38 @@ class Engine:
     def _scan(self, targets: list[tuple[int, str]]) -> int:
         scans, began = self.scans(), time.monotonic()
         scan_id = (scans.agg(F.max("id")).first()[0] or 0) + 1
-        zero = [F.lit(0).cast("bigint").alias(c) for c in COUNTERS]
-        started = self.spark.range(1).select(F.lit(scan_id).cast("bigint").alias("id"), NOW().alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"), F.lit("running").alias("status"), F.lit("walking").alias("phase"), *zero, F.lit("").alias("error"), F.array(*(F.lit(i).cast("bigint") for i, _ in targets)).alias("root_ids"))
-        self.store.write(scans=scans.unionByName(started))
+        started = lifecycle.started(self.spark, scan_id, [i for i, _ in targets], NOW())
+        self._change("scans", lambda now: now.unionByName(started))
         counts = dict.fromkeys(COUNTERS, 0)
+        state = {"phase": "walking", "current_path": ""}
 
-        def tell(kind: str, phase: str, error: str = "") -> None:
-            progress.emit(self.spark, self.event_path, {"type": kind, "scan_id": scan_id, "phase": phase, "error": error, "elapsed_ms": int((time.monotonic() - began) * 1000)} | counts)
+        def tell(kind: str, error: str = "") -> None:
+            progress.emit(self.spark, self.event_path, {"type": kind, "scan_id": scan_id, "error": error, "elapsed_ms": int((time.monotonic() - began) * 1000)} | state | counts)
 
-        tell("scan_started", "walking")
-        phase = "walking"
+        def enter(phase: str) -> None:
+            state.update(phase=phase, current_path="")
+            self._change("scans", lambda now: lifecycle.with_counters(now, scan_id, phase, counts))
+            tell("progress")
+
+        tell("scan_started")
         try:
-            for root_id, path in targets:
-                for name, n in self._walk(scan_id, root_id, path).items():
-                    counts[name] += n
-                tell("progress", "walking")
-            self.store.write(scans=lifecycle.with_counters(self.scans(), scan_id, "hashing", counts))
-            phase = "hashing"
-            tell("progress", phase)
-            counts["bytes_hashed"] += self._hash(hashing.sample_stage(self.config.sample_size))
-            counts["bytes_hashed"] += self._hash(hashing.whole_stage(self.config.hash_chunk))
-            phase = "finalizing"
-            self.store.write(scans=lifecycle.with_counters(self.scans(), scan_id, phase, counts))
-            tell("progress", phase)
-            self.store.write(groups=groups.duplicate_groups(self.files()))
+            with progress.Ticker(lambda: tell("progress"), self.config.tick_seconds):
+                for root_id, path in targets:
+                    state["current_path"] = path
+                    for name, n in self._walk(scan_id, root_id, path).items():
+                        counts[name] += n
+                enter("hashing")
+                for stage in (hashing.sample_stage(self.config.sample_size), hashing.whole_stage(self.config.hash_chunk)):
+                    counts["bytes_hashed"] += self._hash(stage)
+                enter("finalizing")
+                self.store.update(lambda base: {"groups": groups.duplicate_groups(self.store.read("files", FILES, base))})
         except Exception as e:
-            self.store.write(scans=lifecycle.finished(self.scans(), scan_id, "failed", str(e)[:500], NOW()))
-            tell("scan_failed", phase, str(e)[:500])
+            error = str(e)[:500]
+            self._change("scans", lambda now: lifecycle.finished(now, scan_id, "failed", error, NOW()))
+            tell("scan_failed", error)
             raise
-        self.store.write(scans=lifecycle.finished(self.scans(), scan_id, "completed", "", NOW()))
-        tell("scan_completed", phase)
+        self._change("scans", lambda now: lifecycle.finished(now, scan_id, "completed", "", NOW()))
+        tell("scan_completed")
         return scan_id
 
     def _walk(self, scan_id: int, root_id: int, path: str) -> dict[str, int]:
@@ -157,17 +194,21 @@ class Engine:
         found.write.mode("overwrite").parquet(walked)
         found = self.spark.read.schema(found.schema).parquet(walked)
         known = self.files()
-        mine, rest = known.where(F.col("root_id") == root_id), known.where(F.col("root_id") != root_id)
-        classified = diff.classify(mine, found)
-        counts = diff.counters(classified).first().asDict()
+        classified = diff.classify(known.where(F.col("root_id") == root_id), found)
+        # the join is read three times: by the counters, and by the new snapshot if anything changed
+        outcome = f"{self.store.home}/walk/scan={scan_id}/diff={root_id}"
+        classified.write.mode("overwrite").parquet(outcome)
+        classified = self.spark.read.schema(classified.schema).parquet(outcome)
+        row = diff.counters(classified).crossJoin(classified.agg(F.count_if(F.col("change_type") == "reappeared").alias("reappeared"))).first().asDict()  # one row by one row
+        reappeared, counts = row.pop("reappeared"), row
         counts["files_skipped"] = found.where("skipped").count()
-        if counts["files_new"] or counts["files_changed"] or counts["files_removed"] or classified.where("change_type = 'reappeared'").limit(1).count():
+        if counts["files_new"] or counts["files_changed"] or counts["files_removed"] or reappeared:
             next_id = (known.agg(F.max("id")).first()[0] or 0) + 1
-            self.store.write(files=rest.unionByName(diff.merged(classified, scan_id, NOW(), next_id).select(rest.columns)))
+            self.store.update(lambda _: {"files": Parts(diff.merged(classified, scan_id, NOW(), next_id).select(FILES.names), "root_id", [root_id])})
         return counts
 
     def _hash(self, stage: hashing.HashStage) -> int:
-        """One hashing stage over all roots: candidates, hashes in a table of their own, new snapshot; bytes read."""
+        """One hashing stage over all roots: candidates, hashes in a table of their own, new versions of the roots concerned; bytes read."""
         files = self.files()
         if stage.column == "partial_hash":
             due = candidates.size_candidates(files).where(candidates.needs_sample(self.config.reuse_partial))
@@ -175,13 +216,14 @@ class Engine:
         else:
             due = candidates.partial_candidates(files)
         roots = F.broadcast(self.store.read("roots", ROOTS).select(F.col("id").alias("root_id"), "path"))  # roots are entered by hand: a handful
-        due = due.join(roots, "root_id").select("id", F.concat(F.rtrim(F.col("path"), F.lit("/")), F.lit("/"), "rel_path").alias("abs_path"), "size")
+        due = due.join(roots, "root_id").select("id", "root_id", paths.absolute(F.col("path"), F.col("rel_path")).alias("abs_path"), "size")
         tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         path = f"{self.store.home}/hashes/{stage.column}"
         hashing.hash_files(due, stage, tasks).write.mode("overwrite").parquet(path)
         results = self.spark.read.parquet(path)
+        concerned = [r.root_id for r in files.join(results.where("hash IS NOT NULL").select("id"), "id", "left_semi").select("root_id").distinct().collect()]  # roots: a handful
         read = results.where("hash IS NOT NULL").agg(F.coalesce(F.sum(stage.cost(F.col("size"))), F.lit(0))).first()[0]
-        self.store.write(files=diff.persist_hashes(files, results, stage.column))
+        self.store.update(lambda base: {"files": Parts(diff.persist_hashes(self.store.read("files", FILES, base), results, stage.column), "root_id", concerned)})
         return int(read)
 
     # -- duplicates
@@ -198,26 +240,42 @@ class Engine:
 
     def rescan(self, size: int, full_hash: str) -> dict:
         """Rechecks one group: what became of its members, and the repaired groups."""
-        if self.store.locked():
-            raise Busy("a scan is running")
-        files, found = self.files(), self.groups()
+        self.store.lock()
+        try:
+            return self._rescan(size, full_hash)
+        finally:
+            self.store.unlock()
+
+    def _rescan(self, size: int, full_hash: str) -> dict:
+        files = self.files()
         key = (F.col("size") == size) & (F.col("full_hash") == full_hash)
-        if not found.where(key).limit(1).count():
+        if not self.groups().where(key).limit(1).count():
             return {"exists": False, "checked": 0, "missing": 0, "changed": 0, "errors": 0, "unchanged": 0}
-        roots = F.broadcast(self.store.read("roots", ROOTS).select(F.col("id").alias("root_id"), "path"))
-        mine = files.where(key & (F.col("status") == "present")).join(roots, "root_id").withColumn("abs_path", F.concat(F.rtrim(F.col("path"), F.lit("/")), F.lit("/"), "rel_path"))
+        roots = F.broadcast(self.store.read("roots", ROOTS).select(F.col("id").alias("root_id"), "path"))  # entered by hand: a handful
+        mine = files.where(key & (F.col("status") == "present")).join(roots, "root_id").withColumn("abs_path", paths.absolute(F.col("path"), F.col("rel_path")))
         path = f"{self.store.home}/hashes/rescan"
         rescan.check_files(mine, self.config.hash_chunk).write.mode("overwrite").parquet(path)
         outcomes = self.spark.read.parquet(path)
         counts = rescan.outcome_counts(outcomes).first().asDict()
-        self.store.write(files=rescan.patched(files, outcomes))
-        self.store.write(groups=rescan.repaired_groups(found, self.files(), size, full_hash))
+        touched = outcomes.where("outcome IN ('missing', 'changed')").select("id")
+        concerned = [r.root_id for r in files.join(touched, "id", "left_semi").select("root_id").distinct().collect()]
+        if concerned:
+
+            def build(base: dict[str, str]) -> dict[str, DataFrame | Parts]:
+                new = rescan.patched(self.store.read("files", FILES, base), outcomes, F.lit(self._now()))
+                return {"files": Parts(new, "root_id", concerned), "groups": rescan.repaired_groups(self.store.read("groups", GROUPS, base), new, size, full_hash)}
+
+            self.store.update(build)
         return {"exists": bool(self.groups().where(key).limit(1).count())} | counts
 
+    def _now(self) -> datetime:
+        """One time for frames that are evaluated more than once."""
+        return self.spark.range(1).select(NOW()).first()[0]
+
     def summary(self) -> dict:
         """Totals, remembered as long as the tables are the same."""
         at = self.store.versions()
-        version = (at.get("files"), at.get("groups"))
+        version = tuple(sorted((k, v) for k, v in at.items() if k.partition("/")[0] in ("files", "groups")))
         if self._summary is None or self._summary[0] != version:
             self._summary = version, browse.summary_files(self.files()).first().asDict() | browse.summary_groups(self.groups()).first().asDict()
         return self._summary[1]
@@ -226,5 +284,21 @@ class Engine:
         return {"roots": self.roots(), "summary": self.summary(), "scans": self.history(5), "current": self.current_scan()}
 
     def events(self, scan_id: int) -> DataFrame:
-        """Events of a scan so far, as a batch."""
-        return progress.of_scan(self.spark.read.schema(progress.EVENTS).json(self.event_path), scan_id)
+        """Events of a scan so far, as a batch; a finished scan always has its terminal event."""
+        return progress.of_scan(progress.with_terminal(self._log(), self.scans()), scan_id)
+
+    def _log(self) -> DataFrame:
+        return self.spark.read.schema(progress.EVENTS).json(self.event_path)
+
+    def subscribe(self, scan_id: int, sink: Callable[[DataFrame, int], None], checkpoint: str, interval: str = "1 second") -> StreamingQuery | None:
+        """Feeds a scan's events to ``sink``.
+
+        A scan that is over gets its terminal event at once and no stream, as does one that
+        isn't known, which has none.  The status is read before the log is followed, and the
+        log is followed from its start, so that an end in between isn't missed.
+        """
+        state = self.scan_of(scan_id).first()
+        if state is None or state.status != "running":
+            sink(progress.terminal_events(self.scan_of(scan_id)).select(progress.EVENTS.names), 0)
+            return None
+        return progress.subscribe(self.spark, self.event_path, scan_id, sink, checkpoint, interval)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import COUNTERS
@@ -14,6 +14,10 @@ def enabled_targets(roots: DataFrame, root_id: int | None = None) -> DataFrame:
     return out if root_id is None else out.where(F.col("id") == root_id)
 
 
+def by_id(table: DataFrame, row_id: int) -> DataFrame:
+    return table.where(F.col("id") == row_id)
+
+
 def toggled(roots: DataFrame, root_id: int, enabled: bool | None = None) -> DataFrame:
     new = ~F.col("enabled") if enabled is None else F.lit(enabled)
     return roots.withColumn("enabled", F.when(F.col("id") == root_id, new).otherwise(F.col("enabled")))
@@ -47,6 +51,19 @@ def current(scans: DataFrame) -> DataFrame:
     return history(scans.where("status = 'running'"), 1)
 
 
+def started(spark: SparkSession, scan_id: int, root_ids: list[int], now: Column) -> DataFrame:
+    """The row of a scan that begins, with the roots it covers."""
+    zero = [F.lit(0).cast("bigint").alias(c) for c in COUNTERS]
+    covered = F.array(*(F.lit(i).cast("bigint") for i in root_ids)).alias("root_ids")
+    return spark.range(1).select(F.lit(scan_id).cast("bigint").alias("id"), now.alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"), F.lit("running").alias("status"), F.lit("walking").alias("phase"), *zero, F.lit("").alias("error"), covered)
+
+
+def scan_roots(scans: DataFrame, roots: DataFrame) -> DataFrame:
+    """scan_id, root_id, path of the roots that scans covered; deleted ones have no row."""
+    links = scans.select(F.col("id").alias("scan_id"), F.explode("root_ids").alias("root_id"))
+    return links.join(roots.select(F.col("id").alias("root_id"), "path"), "root_id").select("scan_id", "root_id", "path")
+
+
 def interrupted(scans: DataFrame, now: Column) -> DataFrame:
     """What was running when the process ended is interrupted at its next start."""
     running = F.col("status") == "running"

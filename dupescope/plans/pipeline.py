@@ -17,14 +17,20 @@ def size_stage(files: DataFrame) -> DataFrame:
 
 
 def sample_stage(files: DataFrame, sample: int) -> DataFrame:
-    """Stages 2 and 3: sampled hash of the survivors, and those whose hash collides."""
-    hashed = size_stage(files).withColumn("partial_hash", partial_hash(F.col("text"), F.col("size"), sample))
-    return join_splittable(hashed, collisions(hashed, "size", "partial_hash"), ["size", "partial_hash"], "left_semi")
+    """Stages 2 and 3: sampled hash of the survivors, and those whose hash collides, without their texts.
+
+    Samples are taken beside the scan, so that only (id, size, hash) is shuffled.
+    """
+    usable = present(files)
+    narrow = usable.select("id", "size", partial_hash(F.col("text"), F.col("size"), sample).alias("partial_hash"))
+    # where size and sample collide the size does, so one grouping decides stages 1 to 3
+    return join_splittable(narrow, collisions(narrow, "size", "partial_hash"), ["size", "partial_hash"], "left_semi")
 
 
 def content_groups(files: DataFrame, sample: int) -> DataFrame:
     """Stages 1 to 5: size, full_hash, member_count of the duplicate groups."""
-    hashed = sample_stage(files, sample).select("id", "size", full_hash(F.col("text")).alias("full_hash"))
+    due = sample_stage(files, sample).select("id")
+    hashed = present(files).join(due, "id", "left_semi").select("size", full_hash(F.col("text")).alias("full_hash"))
     return hashed.groupBy("size", "full_hash").agg(F.count("*").alias("member_count")).where("member_count > 1")
 
 

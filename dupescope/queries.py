@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import formatting, matching, versioning
+from .functions import formatting, matching, paths, versioning
 from .operators import browse, candidates, diff, groups, hashing, rescan
 from .plans import lifecycle, pipeline
 from .sources import corpus
@@ -221,6 +221,7 @@ for _name, _run, _sql in (
     ("groups_filter_root", _filtered(browse.DuplicateFilter(root_id=3)), f"{GROUP_COLUMNS} WHERE {SOME_MEMBER.format('root_id = 3')}"),
     ("groups_filter_name", _filtered(browse.DuplicateFilter(name_like="N/%5_.TXT")), f"{GROUP_COLUMNS} WHERE {SOME_MEMBER.format(ASCII_LOWER + chr(32) + 'LIKE ' + repr('%n/%5_.txt%'))}"),
     ("groups_filter_minsize", _filtered(browse.DuplicateFilter(min_size=1500)), GROUP_COLUMNS + " WHERE size >= 1500"),
+    ("groups_filter_parsed", _filtered(browse.DuplicateFilter.parse(root_id=" 2 ", min_size="200", name_like="De/", page="x", page_size="-3")), f"{GROUP_COLUMNS} WHERE size >= 200 AND {SOME_MEMBER.format('root_id = 2 AND ' + ASCII_LOWER + ' LIKE ' + repr('%de/%'))}"),
     ("groups_filter_combined", _filtered(browse.DuplicateFilter(root_id=3, min_size=300, name_like="EN/")), f"{GROUP_COLUMNS} WHERE size >= 300 AND {SOME_MEMBER.format('root_id = 3 AND ' + ASCII_LOWER + ' LIKE ' + repr('%en/%'))}"),
 ):
     QUERIES[_name], ORACLE_SQL[_name] = _run, FILES + _sql
@@ -270,7 +271,14 @@ def name_match(spark, d):  # noqa: ANN001, ANN201
 
 @query(FILES + "SELECT id, CASE WHEN ends_with(root_path, '/') THEN root_path ELSE root_path || '/' END || rel_path AS abs_path FROM files")
 def absolute_path(spark, d):  # noqa: ANN001, ANN201
-    return files(spark, d).select("id", F.concat(F.rtrim(F.col("root_path"), F.lit("/")), F.lit("/"), "rel_path").alias("abs_path"))
+    return files(spark, d).select("id", paths.absolute(F.col("root_path"), F.col("rel_path")).alias("abs_path"))
+
+
+@query(FILES + "SELECT id, CASE WHEN id % 3 = 0 THEN NULL ELSE rel_path END AS rel_path FROM files")
+def relative_path(spark, d):  # noqa: ANN001, ANN201
+    """Every third root has another name that begins alike, so that its files aren't below it."""
+    root = F.when(F.col("id") % 3 == 0, F.concat("root_path", F.lit("x"))).otherwise(F.concat("root_path", F.lit("/")))
+    return files(spark, d).select("id", paths.relative(root, paths.absolute(F.col("root_path"), F.col("rel_path"))).alias("rel_path"))
 
 
 # ------------------------------------------------------------------ snapshots
@@ -320,18 +328,32 @@ FROM patched WHERE full_hash <> 'changed' GROUP BY size, full_hash HAVING count(
 )
 
 
-@query(RESCAN)
-def group_rescan_patch(spark, d):  # noqa: ANN001, ANN201
-    """Of the largest group thirds of the ids are missing or have another hash."""
-    all_files = files(spark, d).drop("root_path")
+def _rechecked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, tuple]:
+    """Files before and after, groups before, and the key of a recheck of the largest group, where thirds of the ids are missing or have another hash."""
+    all_files = files(spark, d).drop("root_path").withColumn("updated_at", F.lit(1).cast("bigint"))
     found = groups.duplicate_groups(all_files)
-    top = found.orderBy(F.desc("member_count"), F.desc("size"), "full_hash").select("size", "full_hash").first()
-    if top is None:
-        return found
-    mine = groups.members(all_files, found).where((F.col("size") == top.size) & (F.col("full_hash") == top.full_hash))
+    top = found.orderBy(F.desc("member_count"), F.desc("size"), "full_hash").select("size", "full_hash").first() or (0, "")
+    mine = groups.members(all_files, found).where((F.col("size") == top[0]) & (F.col("full_hash") == top[1]))
     outcome = F.when(F.col("id") % 3 == 0, "missing").when(F.col("id") % 3 == 1, "changed").otherwise("unchanged")
     outcomes = mine.select("id", outcome.alias("outcome"), *diff.STAT, F.when(F.col("id") % 3 == 1, "changed").otherwise(F.col("full_hash")).alias("full_hash"))
-    return rescan.repaired_groups(found, rescan.patched(all_files, outcomes), top.size, top.full_hash)
+    return all_files, rescan.patched(all_files, outcomes, F.lit(2).cast("bigint")), found, tuple(top)
+
+
+@query(RESCAN)
+def group_rescan_patch(spark, d):  # noqa: ANN001, ANN201
+    _, after, found, top = _rechecked(spark, d)
+    return rescan.repaired_groups(found, after, *top)
+
+
+@query(
+    FILES
+    + """, top AS (SELECT size, full_hash FROM groups ORDER BY member_count DESC, size DESC, full_hash LIMIT 1
+), marked AS (SELECT f.*, coalesce(f.status = 'present' AND (f.size, f.full_hash) = (t.size, t.full_hash), false) AS mine FROM files f LEFT JOIN top t ON true)
+SELECT id, CASE WHEN mine AND id % 3 = 0 THEN 'missing' ELSE status END AS status, CASE WHEN mine AND id % 3 = 1 THEN 'changed' ELSE full_hash END AS full_hash,
+  CASE WHEN mine AND id % 3 = 1 THEN '' ELSE partial_hash END AS partial_hash, CAST(CASE WHEN mine AND id % 3 < 2 THEN 2 ELSE 1 END AS BIGINT) AS updated_at FROM marked"""
+)
+def group_rescan_files(spark, d):  # noqa: ANN001, ANN201
+    return _rechecked(spark, d)[1].select("id", "status", "full_hash", "partial_hash", "updated_at")
 
 
 @query(FILES + "SELECT count(*) AS checked, count(*) FILTER (id % 5 = 0) AS missing, count(*) FILTER (id % 5 = 1) AS changed, count(*) FILTER (id % 5 = 2) AS errors, count(*) FILTER (id % 5 > 2) AS unchanged FROM members")
@@ -381,8 +403,48 @@ def interrupted_scans(spark, d):  # noqa: ANN001, ANN201
 
 @query(SCANS + "SELECT id AS scan_id, CASE status WHEN 'completed' THEN 'scan_completed' ELSE 'scan_failed' END AS type, CAST(epoch_ms(finished_at) - epoch_ms(started_at) AS BIGINT) AS elapsed_ms FROM scans WHERE finished_at IS NOT NULL")
 def terminal_events(spark, d):  # noqa: ANN001, ANN201
-    rows = scans(spark, d).select("*", F.lit("finalizing").alias("phase"), F.lit("").alias("error"), *(F.lit(0).cast("bigint").alias(c) for c in progress.COUNTERS))
-    return progress.terminal_events(rows).select("scan_id", "type", "elapsed_ms")
+    return progress.terminal_events(full_scans(spark, d)).select("scan_id", "type", "elapsed_ms")
+
+
+def full_scans(spark: SparkSession, d: str) -> DataFrame:
+    """The scans with a phase, no error, zero counters and two roots each."""
+    roots = F.array(F.col("id") % 4 + 1, F.col("id") % 3 + 5).alias("root_ids")
+    return scans(spark, d).select("*", F.lit("finalizing").alias("phase"), F.lit("").alias("error"), *(F.lit(0).cast("bigint").alias(c) for c in progress.COUNTERS), roots)
+
+
+@query(FILES.replace("WITH base", "WITH links AS (SELECT o_orderkey AS scan_id, unnest([o_orderkey % 4 + 1, o_orderkey % 3 + 5]) AS root_id FROM orders), base") + "SELECT scan_id, root_id, path FROM links JOIN roots ON roots.id = root_id")
+def scan_roots(spark, d):  # noqa: ANN001, ANN201
+    return lifecycle.scan_roots(full_scans(spark, d), corpus.roots(docs(spark, d)))
+
+
+@query(SCANS + "SELECT id, CASE id WHEN 7 THEN 'hashing' ELSE 'finalizing' END AS phase, CAST(CASE id WHEN 7 THEN 12 ELSE 0 END AS BIGINT) AS files_seen, CAST(CASE id WHEN 7 THEN 3 ELSE 0 END AS BIGINT) AS files_new, CAST(0 AS BIGINT) AS bytes_hashed FROM scans")
+def scan_counters_overwrite(spark, d):  # noqa: ANN001, ANN201
+    return lifecycle.with_counters(full_scans(spark, d), 7, "hashing", {"files_seen": 12, "files_new": 3}).select("id", "phase", "files_seen", "files_new", "bytes_hashed")
+
+
+@query(SCANS + "SELECT id, status FROM scans WHERE id = 7")
+def scan_by_id(spark, d):  # noqa: ANN001, ANN201
+    return lifecycle.by_id(scans(spark, d), 7).select("id", "status")
+
+
+@query(FILES + "SELECT id, path, TIMESTAMP '2024-01-01' + to_days(CAST(id * 7 % 5 AS INTEGER)) AS added_at FROM roots ORDER BY added_at, id")
+def roots_by_added(spark, d):  # noqa: ANN001, ANN201
+    added = F.timestamp_add("DAY", (F.col("id") * 7 % 5).cast("int"), F.lit("2024-01-01").cast("timestamp_ntz"))
+    return lifecycle.by_added(corpus.roots(docs(spark, d)).withColumn("added_at", added)).select("id", "path", "added_at")
+
+
+@query(
+    SCANS
+    + """, log AS (
+  SELECT CASE WHEN event_id % 50 = 0 THEN 'scan_completed' ELSE event_type END AS type, user_id AS scan_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'walking' END AS phase, event_id AS elapsed_ms FROM events
+)
+SELECT type, scan_id, phase, elapsed_ms FROM log UNION ALL
+SELECT CASE status WHEN 'completed' THEN 'scan_completed' ELSE 'scan_failed' END, id, 'finalizing', CAST(epoch_ms(finished_at) - epoch_ms(started_at) AS BIGINT)
+FROM scans WHERE finished_at IS NOT NULL AND id NOT IN (SELECT scan_id FROM log WHERE type = 'scan_completed')"""
+)
+def events_with_terminal(spark, d):  # noqa: ANN001, ANN201
+    log = events(spark, d).withColumn("type", F.when(F.col("elapsed_ms") % 50 == 0, "scan_completed").otherwise(F.col("type")))
+    return progress.with_terminal(log, full_scans(spark, d))
 
 
 # ------------------------------------------------------------------ progress and formats
@@ -450,6 +512,14 @@ def format_time(spark, d):  # noqa: ANN001, ANN201
 
 TAGS = """CASE p_partkey % 6 WHEN 0 THEN 'v2026.' || (p_partkey % 12 + 1) || '.' || (p_partkey % 28) WHEN 1 THEN '2026.' || (p_partkey % 7) || '.3.1' WHEN 2 THEN 'dev'
   WHEN 3 THEN ' v2026.5' WHEN 4 THEN 'v2026.5.0' ELSE 'v2026..1' END"""
+
+
+@query(f"SELECT id, tag FROM (SELECT p_partkey AS id, {TAGS} AS tag FROM part) WHERE len(list_filter(string_split(regexp_replace(trim(tag), '^v', ''), '.'), lambda x: NOT regexp_full_match(x, '[+-]?[0-9]{{1,18}}'))) = 0")
+def release_tags(spark, d):  # noqa: ANN001, ANN201
+    tags = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), F.expr(TAGS).alias("tag"))
+    return tags.where(versioning.is_release(F.col("tag")))
+
+
 PARSED = "CASE WHEN len(list_filter({p}, lambda x: NOT regexp_full_match(x, '[+-]?[0-9]{{1,18}}'))) = 0 THEN list_transform({p}, lambda x: CAST(x AS BIGINT)) ELSE CAST([] AS BIGINT[]) END"
 
 

@@ -47,6 +47,7 @@ class EngineConfig:
     ``sample_size``: bytes of each of the three samples; files of up to three samples are
     hashed whole.  ``reuse_partial``: don't sample a file again whose sample is known.
     ``walk_partitions``: least number of sub-trees that the walk is cut into.
+    ``tick_seconds``: time between two progress events of a running scan.
     """
 
     sample_size: int = 65536
@@ -54,6 +55,7 @@ class EngineConfig:
     walk_partitions: int = 64
     hash_chunk: int = 1 << 20
     page_size: int = 25
+    tick_seconds: int = 1
 
     @classmethod
     def from_env(cls, env: Mapping[str, str] | None = None) -> EngineConfig:

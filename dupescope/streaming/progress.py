@@ -1,7 +1,11 @@
-"""Progress events: terminal events, latest state, JSON, live streams."""
+"""Progress events: terminal events, latest state, JSON, live streams, one stream for many subscribers."""
 
 from __future__ import annotations
 
+import json
+import threading
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +41,13 @@ def of_scan(events: DataFrame, scan_id: int) -> DataFrame:
     return events.where(F.col("scan_id") == scan_id)
 
 
+def with_terminal(events: DataFrame, scans: DataFrame) -> DataFrame:
+    """The log, and for finished scans whose terminal event it lacks (as interrupted ones) that event from the scans table."""
+    last = terminal_events(scans).select(events.columns)
+    told = events.where(F.col("type").isin(*TERMINAL)).select("scan_id").distinct()
+    return events.unionByName(last.join(told, "scan_id", "left_anti").select(events.columns))
+
+
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
     """Events that are appended below ``path`` as JSON lines."""
     return spark.readStream.schema(EVENTS).json(path)
@@ -66,8 +77,70 @@ def latest_stream(events: DataFrame) -> DataFrame:
     return latest(events)
 
 
+class Hub:
+    """One stream over the log that feeds any number of subscribers; one ends behind its scan's terminal event."""
+
+    def __init__(self, spark: SparkSession, path: str, checkpoint: str, interval: str = "1 second"):
+        self.sinks: dict[int, tuple[int, Callable[[DataFrame, int], None]]] = {}
+        self.guard, self.number = threading.Lock(), 0
+        self.query = read_stream(spark, path).writeStream.foreachBatch(self._forward).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+
+    def subscribe(self, scan_id: int, sink: Callable[[DataFrame, int], None]) -> int:
+        """The subscriber's number; it gets the batches from now on that hold events of its scan."""
+        with self.guard:
+            self.number += 1
+            self.sinks[self.number] = scan_id, sink
+            return self.number
+
+    def leave(self, number: int) -> None:
+        with self.guard:
+            self.sinks.pop(number, None)
+
+    def _forward(self, batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            heard = {r.scan_id: r.ended for r in batch.groupBy("scan_id").agg(F.bool_or(F.col("type").isin(*TERMINAL)).alias("ended")).collect()}  # scans that run at once: a handful
+            with self.guard:
+                mine = [(n, i, sink) for n, (i, sink) in self.sinks.items() if i in heard]
+            for n, scan_id, sink in mine:
+                sink(of_scan(batch, scan_id), number)
+                if heard[scan_id]:
+                    self.leave(n)
+        finally:
+            batch.unpersist()
+
+    def stop(self) -> None:
+        self.query.stop()
+
+
+class Ticker:
+    """Calls ``tell`` at a steady pace while the block runs."""
+
+    def __init__(self, tell: Callable[[], None], seconds: float = 1.0):
+        self.tell, self.seconds, self.over = tell, seconds, threading.Event()
+        self.thread = threading.Thread(target=self._run, daemon=True)
+
+    def _run(self) -> None:
+        while not self.over.wait(self.seconds):
+            self.tell()
+
+    def __enter__(self) -> Ticker:
+        self.thread.start()
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.over.set()
+        self.thread.join()
+
+
 def emit(spark: SparkSession, path: str, event: dict) -> None:
-    """Appends one event to the log."""
+    """Appends one event to the log: a file of one line, renamed into place, without a Spark job."""
     row = {c: event.get(c, 0 if c in COUNTERS or c == "elapsed_ms" else "") for c in EVENTS.names}
-    frame = spark.createDataFrame([tuple(row[c] for c in EVENTS.names)], EVENTS)
-    frame.coalesce(1).write.mode("append").json(path)
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(make(path))
+    name = f"{time.time_ns()}-{uuid.uuid4().hex[:8]}.json"
+    stream = fs.create(make(f"{path}/_{name}"), True)  # names with an underscore aren't read
+    stream.write(bytearray((json.dumps(row) + "\n").encode()))
+    stream.close()
+    fs.rename(make(f"{path}/_{name}"), make(f"{path}/{name}"))

@@ -2,12 +2,15 @@
 
 import os
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from dupescope.plans import lifecycle
 from dupescope.plans.engine import Engine
-from dupescope.plans.store import Busy
+from dupescope.plans.store import Busy, Store
 from dupescope.schema import EngineConfig
 from dupescope.sources.fswalk import RootMissing
+from pyspark.sql import functions as F
 
 CONTENT = {
     "logs/app.log": "A" * 108, "logs/old/archived.log": "A" * 108, "logs/old/2024/backup.txt": "A" * 108,
@@ -82,6 +85,100 @@ def test_group_recheck(spark, tmp_path):
     assert e.rescan(g.size, g.full_hash)["checked"] == 0
 
 
+def test_recheck_sets_updated_at(spark, tmp_path):
+    put(tmp_path / "tree", dict.fromkeys("abcd", "same content") | {"other": "x"})
+    e = engine(spark, tmp_path)
+    e.scan()
+    before = {r.rel_path: r.updated_at for r in e.files().collect()}
+    (tmp_path / "tree" / "a").unlink()
+    (tmp_path / "tree" / "b").write_text("new")
+    g = e.duplicates().first()
+    published = e.store.versions()
+    e.rescan(g.size, g.full_hash)
+    after = {r.rel_path: (r.updated_at, r.status) for r in e.files().collect()}
+    assert after["a"][0] == after["b"][0] > before["a"] and after["a"][1] == "missing"
+    assert all(after[k] == (before[k], "present") for k in ("c", "d", "other"))
+    assert {k for k, v in e.store.versions().items() if published[k] != v} == {"files/1", "groups"}
+
+
+def test_root_added_during_a_scan_stays(spark, tmp_path, monkeypatch):
+    put(tmp_path / "tree", {"a": "1", "b": "1"})
+    put(tmp_path / "late", {"c": "1"})
+    e = engine(spark, tmp_path)
+    walk = Engine._walk
+
+    def meanwhile(self, scan_id, root_id, path):
+        e.add_root(str(tmp_path / "late"))
+        e.toggle_root(1, False)
+        return walk(self, scan_id, root_id, path)
+
+    monkeypatch.setattr(Engine, "_walk", meanwhile)
+    e.scan()
+    monkeypatch.undo()
+    assert {r.path: r.enabled for r in e.roots().collect()} == {str(tmp_path / "tree"): False, str(tmp_path / "late"): True}
+    assert e.files().count() == 2
+    e.scan()  # the late root only; the other one's files keep their version
+    assert e.files().count() == 3 and e.duplicates().first().member_count == 3
+
+
+def test_writers_at_the_same_time(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "home"))
+    with ThreadPoolExecutor(4) as pool:
+        ids = list(pool.map(lambda k: e.add_root(f"/data/{k}"), range(6)))
+    assert sorted(ids) == [1, 2, 3, 4, 5, 6] and {r.path for r in e.roots().collect()} == {f"/data/{k}" for k in range(6)}
+
+
+def test_publishing_is_refused_where_another_writer_was_faster(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "home"))
+    store.write(a=spark.range(1), b=spark.range(1))
+    seen = []
+
+    def build(base):
+        seen.append(base["a"])
+        if len(seen) == 1:
+            store.write(a=spark.range(5))
+        return {"a": store.read("a", spark.range(0).schema, base).union(spark.range(2))}
+
+    store.update(build)
+    assert len(set(seen)) == 2 and store.read("a", spark.range(0).schema).count() == 7
+
+    def only_b(base):
+        store.write(a=spark.range(3))
+        return {"b": spark.range(9)}
+
+    store.update(only_b)  # another table's change is no conflict, and isn't lost
+    assert (store.read("a", spark.range(0).schema).count(), store.read("b", spark.range(0).schema).count()) == (3, 9)
+
+
+def test_columns_that_an_older_version_lacks(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "home"))
+    store.write(roots=spark.createDataFrame([(1, "/x", "x", True)], "id long, path string, label string, enabled boolean"))
+    e = Engine(spark, str(tmp_path / "home"))
+    assert [(r.path, r.source, r.added_at) for r in e.roots().collect()] == [("/x", "manual", None)]
+    e.add_root("/y")
+    assert {r.path: r.source for r in e.roots().collect()} == {"/x": "manual", "/y": "manual"}
+
+
+def test_events_and_subscribers(spark, tmp_path):
+    put(tmp_path / "tree", {"a": "1", "b": "1"})
+    e = engine(spark, tmp_path)
+    e.scan()
+    told = []
+    assert e.subscribe(1, lambda batch, _: told.extend(batch.collect()), str(tmp_path / "c1")) is None
+    assert [(r.type, r.scan_id, r.files_seen) for r in told] == [("scan_completed", 1, 2)]
+    ticks = [r for r in e.events(1).collect() if r.type == "progress" and r.current_path == str(tmp_path / "tree")]
+    assert ticks  # a walk of a Spark job takes over a second
+    # a process that ended during a scan: the next start tells its subscribers
+    e._change("scans", lambda scans: scans.unionByName(lifecycle.started(spark, 2, [1], F.current_timestamp())))
+    live = []
+    query = e.subscribe(2, lambda batch, _: live.extend(r.type for r in batch.collect()), str(tmp_path / "c2"), "200 milliseconds")
+    e.recover()
+    query.awaitTermination(60)
+    assert live == ["scan_failed"] and e.history(1).first().status == "interrupted"
+    assert e.subscribe(2, lambda batch, _: live.extend(r.type for r in batch.collect()), str(tmp_path / "c3")) is None and live == ["scan_failed"] * 2
+    assert [r.type for r in e.events(2).collect()] == ["scan_failed"]
+
+
 def test_walk_rules(spark, tmp_path):
     at = tmp_path / "tree"
     put(at, {".hidden": "x", "_under": "x", "sub/empty": "", "sub/é%_\\A": "y"})
@@ -149,9 +246,14 @@ def test_changes_and_lifecycle(spark, tmp_path):
     e.store.lock()
     with pytest.raises(Busy):
         e.scan(gone)
+    with pytest.raises(Busy):
+        e.rescan(4, "no such group")
+    with pytest.raises(Busy):
+        e.delete_root(1)
     e.recover()
     e.store.vacuum()
-    assert e.files().count() == 5
+    assert e.files().count() == 5 and e.root_of(1).first().enabled is False and e.root_of(99).count() == 0
+    assert e.scan_of(4).first().status == "completed" and [r.root_id for r in e.scan_roots(5).collect()] == [1]
 
 
 def test_random_changes_equal_fresh_scan(spark, tmp_path):

@@ -42,3 +42,32 @@ def test_terminal_events(spark):
     scans = spark.createDataFrame(rows, "id long, status string, ms long").selectExpr("id", "status", "timestamp_millis(0) AS started_at", "timestamp_millis(ms) AS finished_at", "'walking' AS phase", "'' AS error", *(f"0L AS {c}" for c in progress.COUNTERS))
     got = {r.scan_id: (r.type, r.elapsed_ms) for r in progress.terminal_events(scans).collect()}
     assert got == {1: ("scan_completed", 0), 2: ("scan_failed", 5), 3: ("scan_failed", 7)}
+
+
+def test_hub_feeds_many_subscribers_from_one_stream(spark, tmp_path):
+    log = str(tmp_path / "log")
+    progress.emit(spark, log, {"type": "scan_started", "scan_id": 3})
+    hub = progress.Hub(spark, log, str(tmp_path / "c"), "100 milliseconds")
+    one, two, other = [], [], []
+    hub.subscribe(1, lambda batch, _: one.extend(r.elapsed_ms for r in batch.collect()))
+    hub.subscribe(1, lambda batch, _: two.extend(r.elapsed_ms for r in batch.collect()))
+    gone = hub.subscribe(1, lambda batch, _: other.append(0))
+    hub.subscribe(2, lambda batch, _: other.extend(r.scan_id for r in batch.collect()))
+    hub.leave(gone)
+    try:
+        for event in ({"type": "progress", "scan_id": 1, "elapsed_ms": 1}, {"type": "progress", "scan_id": 2}, {"type": "scan_completed", "scan_id": 1, "elapsed_ms": 2}):
+            progress.emit(spark, log, event)
+        end = time.time() + 60
+        while (2 not in one or 2 not in two or not other) and time.time() < end:
+            time.sleep(0.1)
+    finally:
+        hub.stop()
+    assert sorted(one) == sorted(two) == [1, 2] and other == [2]
+    assert [i for i, _ in hub.sinks.values()] == [2]  # those of a finished scan have left
+
+
+def test_with_terminal(spark):
+    events = spark.createDataFrame([("scan_completed", 1, 5), ("progress", 2, 1), ("progress", 4, 1)], "type string, scan_id long, elapsed_ms long")
+    rows = [(1, "completed", 9), (2, "interrupted", 7), (4, "running", None)]
+    scans = spark.createDataFrame(rows, "id long, status string, ms long").selectExpr("id", "status", "timestamp_millis(0) AS started_at", "timestamp_millis(ms) AS finished_at", "'walking' AS phase", "'' AS error", *(f"0L AS {c}" for c in progress.COUNTERS))
+    assert sorted(map(tuple, progress.with_terminal(events, scans).collect())) == [("progress", 2, 1), ("progress", 4, 1), ("scan_completed", 1, 5), ("scan_failed", 2, 7)]
