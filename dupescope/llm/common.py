@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-#: Bits of the filters that are broadcast: a fixed 2 MB whatever the input.
-FILTER_BITS = 1 << 24
+#: Bits of the filters that are broadcast: 16 for each entry, but 2 MB at least and 32 MB at most.
+FILTER_BITS, MOST_FILTER_BITS = 1 << 24, 1 << 28
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name below the folder that all executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; where it is unset
-    (tests on one machine) a folder below /tmp takes its place.
+    The cluster names that folder in ``spark.checkpoint.dir``.  Where it is unset, a folder
+    below /tmp takes its place, but only with a local master, whose driver and executors are
+    one machine.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/dupescope-shared"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "/tmp/dupescope-shared"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -52,18 +58,64 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Workspace:
+    """Tables of one run in the shared folder, each dropped as soon as no step needs it."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, shared_dir(spark, name)
+        self.number = 0
+        self.at: dict[int, str] = {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{self.number}-{name}"
+        self.number += 1
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.at[id(out)] = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that nothing reads any more, lazy frames included."""
+        for table in tables:
+            remove(self.spark, self.at.pop(id(table)))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bound_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
-    """Lets the session hand texts to Python in small batches, so that a task holds few of them."""
+def bound_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
+    """Lets the session hand texts to Python in small batches, so that a task holds few of them.
+
+    Every operator that runs Python calls this, so that none depends on what ran before.  The
+    limits stay with the session, since frames run after the call that made them; stricter
+    ones are left alone.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` that gives memory back to the system at its end: Spark keeps the worker for the next task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
+def give_back() -> None:
+    """Returns what this process has freed to the system, as far as its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def crc_fold(col: str | Column, folds: int) -> Column:
     """crc32(id as text) mod ``folds``: the fold rule that the queries fix."""
     return F.crc32(F.col(col).cast("string") if isinstance(col, str) else col.cast("string")) % folds
@@ -154,30 +206,24 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator
 
 
 def filter_of(hashes: DataFrame) -> np.ndarray:
-    """A bit set of FILTER_BITS bits over the column ``h``, two bits for each; at most FILTER_BITS / 64 rows reach the driver."""
-    low, high = F.col("h").bitwiseAND(FILTER_BITS - 1), F.shiftright("h", 32).bitwiseAND(FILTER_BITS - 1)
-    at = hashes.select(F.explode(F.array(low, high)).alias("at"))
-    word = at.selectExpr("shiftright(at, 6) AS w", "shiftleft(1L, CAST(at & 63 AS INT)) AS b").groupBy("w").agg(F.bit_or("b").alias("b"))
-    return bitset_of(word)
+    """A bit set over the column ``h`` of a written table, two bits for each; its size follows the count within fixed bounds.
 
-
-def bitset_of(words: DataFrame) -> np.ndarray:
-    """The bit set whose 64-bit words are the rows (w, b)."""
-    got = words.toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[got["w"].to_numpy()] = got["b"].to_numpy()
+    At most MOST_FILTER_BITS / 64 rows reach the driver.  Beyond that size more keys pass that
+    shouldn't: callers join behind the filter, so it saves work but decides nothing.
+    """
+    bits = min(max(FILTER_BITS, 1 << (16 * hashes.count()).bit_length()), MOST_FILTER_BITS)
+    low, high = F.col("h").bitwiseAND(bits - 1), F.shiftright("h", 32).bitwiseAND(bits - 1)
+    at = hashes.select(F.explode(F.array(low, high)).alias("at"))
+    words = at.selectExpr("shiftright(at, 6) AS w", "shiftleft(1L, CAST(at & 63 AS INT)) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words["w"].to_numpy()] = words["b"].to_numpy()
     return out.view(U64)
 
 
-def bits_of(x: np.ndarray) -> np.ndarray:
-    """The places of both bits of each hash."""
-    return np.concatenate([x & U64(FILTER_BITS - 1), (x >> U64(32)) & U64(FILTER_BITS - 1)])
-
-
 def in_filter(bitset: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Which hashes have both their bits set."""
     out = np.ones(len(x), bool)
     for shift in (0, 32):
-        at = (x >> U64(shift)) & U64(FILTER_BITS - 1)
+        at = (x >> U64(shift)) & U64(64 * len(bitset) - 1)
         out &= (bitset[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) != 0
     return out

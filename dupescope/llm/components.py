@@ -24,19 +24,22 @@ def _star(pairs: DataFrame, larger_only: bool) -> DataFrame:
     return joined.select(ends).select("e.a", "e.b")
 
 
-def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component of every node of ``edges`` (a, b); the component is its least node.
 
-    Ends when a round changes nothing; raises if ``rounds`` don't suffice.
+    Ends when a round changes nothing; raises if ``rounds`` don't suffice.  The table of a
+    round is dropped when the next one stands.
     """
+    tables = common.Workspace(edges.sparkSession, "components")
     clean = lambda df: df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    state = common.written(clean(edges), name)
+    state = tables.write(clean(edges), "edges")
     seen = None
     for _ in range(rounds):
         both = state.select(F.col("a").alias("u"), F.col("b").alias("v")).union(state.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = clean(_star(both, True))
         small = clean(_star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), False))
-        state = common.written(small, name)
+        old, state = state, tables.write(small, "round")
+        tables.drop(old)
         now = tuple(state.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen:
             tops = state.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
