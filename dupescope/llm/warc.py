@@ -1,14 +1,16 @@
 """Operator 2: WARC archives, written once per payload and read with salvage.
 
-Writing: every record is one gzip member, made beside the row, and Spark's text writer
-puts the members one after the other into files on any store it can reach.  Of records
-with equal payloads the one with the largest page_id is the response; the others are
-revisits that name it.
+Writing: every record is one gzip member, made beside the row.  Members are put together
+to pieces of some ``PIECE_BYTES``, and Spark's text writer lays the pieces one after the
+other into files of ``PIECES_PER_FILE``, on any store it can reach: what bounds a file is its
+bytes, not its records.  Of records with equal payloads the one with the largest page_id is
+the response; the others are revisits that name it.
 
 Reading: each file is parsed member by member, or record by record where it is plain.  A
 member or record that fails a check (magic, CRC, length, version line, block digest) is
 not trusted: the reader searches the next place where a valid one of either kind starts,
-goes on there, and logs the bytes between as a quarantined gap.
+goes on there, and logs the bytes between as a quarantined gap.  One member is held at a
+time, and its block is dropped when its row is made.
 
 Defined results: a null html is the empty payload.  Records are told apart by page_id:
 rows that repeat the largest page_id of a payload are all responses.  A null page_id
@@ -37,8 +39,9 @@ GZIP = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: WARC-Date of records whose rows carry no time of their own.
 DATE = "2000-01-01T00:00:00Z"
-#: Pages of one archive file.
-RECORDS_PER_FILE = 2000
+#: Compressed bytes of a piece (more if one member is longer), and pieces of a file.  A file is
+#: read as one value, so with pages of up to 100 MB it stays below the 2 GB of a value.
+PIECE_BYTES, PIECES_PER_FILE = 1 << 20, 16
 END = b"\r\n\r\n"
 START = re.compile(rb"WARC/\d\.\d\r?\n")
 #: Where a gzip member or a plain record may start.
@@ -181,9 +184,9 @@ def unit(data: bytes, at: int, searched: bool) -> tuple[list[Record], list[tuple
     return inner.records, [(at, end, f"in a member: {reason}") for _, _, reason in inner.gaps], end
 
 
-def salvage(data: bytes) -> Parsed:
-    """Records and gaps of an archive of gzip members, plain records or both."""
-    out, at = Parsed(), 0
+def units(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
+    """Records and gaps of an archive of gzip members, plain records or both, as they are found."""
+    at = 0
     while at < len(data):
         found = unit(data, at, False)
         if isinstance(found, str):
@@ -195,12 +198,19 @@ def salvage(data: bytes) -> Parsed:
                     break
             else:
                 at = len(data)
-            out.gaps.append((begin, at, reason))
+            yield begin, at, reason
             if isinstance(found, str):
-                break
+                return
         records, gaps, at = found
-        out.records += records
-        out.gaps += gaps
+        yield from gaps
+        yield from records
+
+
+def salvage(data: bytes) -> Parsed:
+    """All records and gaps of an archive."""
+    out = Parsed()
+    for found in units(data):
+        (out.records if isinstance(found, Record) else out.gaps).append(found)
     return out
 
 
@@ -209,14 +219,25 @@ def page_of(urn: str) -> int | None:
     return int(found[1]) if found else None
 
 
-def member_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in common.slices(batches, "html", 16 << 20):
-        for ids, urls, htmls, refs in common.rows([batch], "page_id", "url", "html", "ref"):
-            made = []
-            for page_id, url, html, ref in zip(ids, urls, htmls, refs, strict=True):
-                payload = (html or "").encode("utf-8", "surrogatepass")
-                made.append(member_bytes(record_bytes(page_id, url, payload, base32_sha1(payload), ref))[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["member"])
+def member_batches(batches: Iterator[pa.RecordBatch], piece_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of whole members, each without its last byte, a zero."""
+    held: list[bytes] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], names=["piece"])
+
+    for batch in common.slices(batches, "html", 4 << 20):
+        for page_id, url, html, ref in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("page_id", "url", "html", "ref")), strict=True):
+            payload = html.as_buffer().to_pybytes() if html.is_valid else b""
+            member = member_bytes(record_bytes(page_id.as_py(), url.as_py(), payload, base32_sha1(payload), ref.as_py()))
+            if held and size + len(member) > piece_bytes:
+                yield flush()
+                held, size = [], 0
+            held.append(member)
+            size += len(member)
+    if held:
+        yield flush()
 
 
 def with_reference(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -231,14 +252,15 @@ def with_reference(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return join_splittable(pages, last, ["digest"], "left").select("page_id", "url", "html", F.when(shared, F.col("last_id")).alias("ref"))
 
 
-def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
+def write(pages: DataFrame, path: str, least_bytes: int = 0, piece_bytes: int = PIECE_BYTES, pieces_per_file: int = PIECES_PER_FILE) -> None:
     """The archives of ``pages`` (page_id, url, html) as files below ``path``.
 
-    The text writer puts raw bytes and then the separator; members lack their last byte,
+    The text writer puts raw bytes and then the separator; pieces lack their last byte,
     which is zero, and the separator is that byte.
     """
-    members = with_reference(pages, least_bytes).mapInArrow(member_batches, "member binary")
-    members.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    common.bound_batches(pages.sparkSession)
+    pieces = with_reference(pages, least_bytes).mapInArrow(common.tidy(lambda b: member_batches(b, piece_bytes)), "piece binary")
+    pieces.select(F.col("piece").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", pieces_per_file).text(path)
 
 
 RECORD_TYPES = "file string, offset long, gap_end long, gap string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -248,25 +270,42 @@ def parse_batches(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator
     names = [x.split()[0] for x in RECORD_TYPES.split(", ")]
     kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
     types = [kinds[x.split()[1]] for x in RECORD_TYPES.split(", ")]
+
+    def flush(made: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)], names=names)
+
     for batch in batches:
-        for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
-            parsed = salvage(content.as_py())
-            made = [(path.as_py(), begin, end, reason, *[None] * 7) for begin, end, reason in parsed.gaps]
-            for r in parsed.records:
-                http, _, payload = r.block.partition(END)
-                kind = r.headers.get("warc-type")
-                full = re.search(rb"(?im)^content-length:\s*(\d+)", http)
-                digest = base32_sha1(payload) if kind == "response" else r.headers.get("warc-payload-digest", "").removeprefix("sha1:")
-                size = len(payload) if kind == "response" else int(full[1]) if full else None
-                made.append((path.as_py(), r.offset, None, None, page_of(r.headers.get("warc-record-id", "")), r.headers.get("warc-target-uri"), size, digest, kind, page_of(r.headers.get("warc-refers-to", "")), payload if payloads and kind == "response" else None))
-            for begin in range(0, len(made), 500):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made[begin : begin + 500], strict=True), types, strict=True)], names=names)
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            made: list[tuple] = []
+            size = 0
+            for found in units(content.as_buffer().to_pybytes()):
+                made.append(row_of(path, found, payloads))
+                size += len(made[-1][-1] or b"")
+                if len(made) >= 500 or size > 4 << 20:
+                    yield flush(made)
+                    made, size = [], 0
+            if made:
+                yield flush(made)
+
+
+def row_of(path: str, found: Record | tuple[int, int, str], payloads: bool) -> tuple:
+    """A record or gap as a row of RECORD_TYPES."""
+    if not isinstance(found, Record):
+        return path, *found, *[None] * 7
+    headers, (http, _, payload) = found.headers, found.block.partition(END)
+    kind = headers.get("warc-type")
+    full = re.search(rb"(?im)^content-length:\s*(\d+)", http)
+    response = kind == "response"
+    digest = base32_sha1(payload) if response else headers.get("warc-payload-digest", "").removeprefix("sha1:")
+    size = len(payload) if response else int(full[1]) if full else None
+    return path, found.offset, None, None, page_of(headers.get("warc-record-id", "")), headers.get("warc-target-uri"), size, digest, kind, page_of(headers.get("warc-refers-to", "")), payload if payloads and response else None
 
 
 def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """Records and gaps (rows with ``gap`` set) of all archives below ``path``."""
+    common.bound_batches(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(lambda b: parse_batches(b, payloads), RECORD_TYPES)
+    return files.mapInArrow(common.tidy(lambda b: parse_batches(b, payloads)), RECORD_TYPES)
 
 
 def records(found: DataFrame) -> DataFrame:

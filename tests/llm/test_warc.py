@@ -1,6 +1,8 @@
 """Operator 2: archives round-trip, equal payloads, salvage."""
 
 import gzip
+import random
+import re
 
 import pytest
 from dupescope.llm import common, warc
@@ -96,6 +98,38 @@ def test_minimum_size_and_payloads(spark, tmp_path):
     assert warc.quarantine(found).count() == 0
 
 
+def test_long_pages_repeated_rows_and_files_by_bytes(spark, tmp_path):
+    rng = random.Random(2)
+    noise = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=1 << 20))
+    rows = [(i, "u", noise[i:] + noise[:i]) for i in range(6)]  # a megabyte each, hardly compressed
+    rows += [(9, "u", "<p>" + noise * 18), (10, "u", "x" * (17 << 20)), (10, "u", "x" * (17 << 20)), (8, "v", "same"), (8, "w", "same"), (7, "v", "same")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)
+    warc.write(pages, str(tmp_path / "w"), piece_bytes=1 << 20, pieces_per_file=2)
+    sizes = [f.stat().st_size for f in (tmp_path / "w").glob("part-*")]
+    assert len(sizes) >= 4 and sorted(sizes)[-2] < 4 << 20
+    found = warc.read(spark, str(tmp_path / "w"))
+    assert warc.quarantine(found).count() == 0
+    got = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to or 0) for r in found.collect())
+    last = {h: max(i for i, _, g in rows if g == h) for _, _, h in rows}
+    assert got == sorted((i, len(h), warc.base32_sha1(h.encode()), "response" if i == last[h] else "revisit", 0 if i == last[h] else last[h]) for i, _, h in rows)
+
+
+def test_damaged_archives_are_read_through_spark(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>page {i}</p>" * 20) for i in range(50)], "page_id long, url string, html string").repartition(1)
+    warc.write(pages, str(tmp_path / "w"))
+    (file,) = (tmp_path / "w").glob("part-*")
+    data = bytearray(file.read_bytes())
+    at = [m.start() for m in re.finditer(re.escape(warc.GZIP), bytes(data))]
+    for k in (3, 20):
+        data[at[k] + 40] ^= 0xFF
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.warc.gz").write_bytes(data)
+    found = warc.read(spark, str(tmp_path / "d"))
+    order = [warc.page_of(r.headers["warc-record-id"]) for r in warc.salvage(file.read_bytes()).records]
+    assert sorted(r.page_id for r in warc.records(found).collect()) == sorted(set(range(50)) - {order[3], order[20]})
+    assert sorted((r.first_byte, r.end_byte) for r in warc.quarantine(found).collect()) == [(at[3], at[4]), (at[20], at[21])]
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert warc.op2_warc(spark, str(tmp_path)).count() == 0
