@@ -16,6 +16,10 @@ components of these links.  No link between different sets is lost:
    their members' token bitmaps and their range of sizes.  Two trees are traversed at
    once, and a pair of nodes is left as soon as the overlap that its bitmaps and sizes
    allow is too small.  What remains between different components is checked exactly.
+5. Second prefixes.  A block that still holds more than ``SPLIT`` sets of several components
+   belongs to a shingle that is frequent after all.  Its members get new prefixes, in an order
+   that has all such shingles last, and new blocks among themselves.  Sets that had none in
+   their prefix keep it in the new order, too, so links to those were found before.
 
 Bitmaps count tokens to two per bucket ("one or more" and "two or more", ORed apart) and
 the rest as overflow, so the overlap of two nodes is at most the common bits plus the
@@ -48,7 +52,7 @@ WORDS = 5
 NUM, DEN = 4, 5
 #: Documents from which a shingle counts as frequent.
 FREQUENT = 32
-#: Members from which a block is dealt out over several tasks.
+#: Members from which a block of several components gets second prefixes; what is as large even then is dealt out over several tasks.
 SPLIT = 1000
 LEAF, FAN = 16, 4
 U64 = np.uint64
@@ -213,7 +217,7 @@ def block_pairs(ids: np.ndarray, sizes: np.ndarray, planes: list[np.ndarray], gr
 def frequent_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, n) of shingles that several documents of a task's batch hold."""
     hashes = common.WordHashes()
-    for batch in common.gathered(batches, "text", 12 << 20):
+    for batch in common.gathered(batches, "text", 8 << 20):
         grams, _ = all_shingles(batch.column(batch.schema.get_field_index("text")).to_pylist(), hashes)
         if len(grams):
             h, n = np.unique(grams, return_counts=True)
@@ -224,29 +228,36 @@ def frequent_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 SET_TYPES = "doc_id long, n long, d1 long, d2 long, sig binary, prefix array<long>"
 
 
-def set_batches(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Size, digest, bitmap and prefix of each document's set."""
+def set_batches(batches: Iterator[pa.RecordBatch], *frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Size, digest, bitmap and prefix of each document's set; shingles of the filters ``frequent`` come last in the order."""
     hashes = common.WordHashes()
     for batch in common.gathered(batches, "text", 1 << 20):
         for ids, texts in common.rows([batch], "doc_id", "text"):
             out: list[list] = [[] for _ in range(5)]
             for x in shingle_sets(texts, hashes):
                 d = np.frombuffer(hashlib.md5(x.tobytes()).digest(), np.int64)
-                common_ones = common.in_filter(frequent, x)
-                order = np.concatenate([x[~common_ones], x[common_ones]])
+                late = np.zeros(len(x), bool)
+                for bits_ in frequent:
+                    late |= common.in_filter(bits_, x)
+                order = np.concatenate([x[~late], x[late]])
                 for column, value in zip(out, (len(x), int(d[0]), int(d[1]), signature(x).tobytes(), order[: prefix_length(len(x))].view(np.int64)), strict=True):
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["doc_id", "n", "d1", "d2", "sig", "prefix"])
 
 
+def kept_batches(batches: Iterator[pa.RecordBatch], bitset: np.ndarray, inside: bool) -> Iterator[pa.RecordBatch]:
+    """Rows whose ``h`` is in the filter, or those where it isn't."""
+    for batch in batches:
+        h = batch.column(batch.schema.get_field_index("h")).to_numpy(zero_copy_only=False).view(U64)
+        yield batch.filter(pa.array(common.in_filter(bitset, h) == inside))
+
+
 def shingle_batches(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(id, x): sets of the documents that the filter wants."""
     hashes = common.WordHashes()
-    for batch in batches:
-        keys = batch.column(batch.schema.get_field_index("h")).to_numpy(zero_copy_only=False).view(U64)
-        batch = batch.filter(pa.array(common.in_filter(wanted, keys)))
-        for piece in common.slices([batch], "text", 8 << 20):
+    for batch in kept_batches(batches, wanted, True):
+        for piece in common.slices([batch], "text", 2 << 20):
             for ids, texts in common.rows([piece], "doc_id", "text"):
                 found = [x.tobytes() for x in shingle_sets(texts, hashes)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], names=["id", "x"])
@@ -294,18 +305,24 @@ def exact_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that sizes and bitmaps allow to be similar."""
     side = lambda k: sets.select(F.col("doc_id").alias(k), F.col("n").alias("n" + k), F.col("sig").alias("s" + k))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(bound_batches, "a long, b long").distinct()
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(common.tidy(bound_batches), "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar; sets come from the texts of the documents concerned only."""
-    pairs = common.written(pairs, "jaccard-pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+def of_ids(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """doc_id, text, h of ``docs``, and a filter over ``h`` that the documents of the written table ``ids`` (id) pass."""
     wanted = docs.sparkSession.sparkContext.broadcast(common.filter_of(ids.select(F.xxhash64("id").alias("h"))))
-    x = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(lambda b: shingle_batches(b, wanted.value), "id long, x binary")
-    x = common.written(x, "jaccard-sets")
+    return docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h")), wanted
+
+
+def verified(pairs: DataFrame, docs: DataFrame, tables: common.Workspace) -> DataFrame:
+    """The pairs (a, b) whose sets are similar; sets come from the texts of the documents concerned only."""
+    pairs = tables.write(pairs, "pairs")
+    rows, wanted = of_ids(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
+    x = tables.write(rows.mapInArrow(common.tidy(lambda b: shingle_batches(b, wanted.value)), "id long, x binary"), "pair-sets")
     both = pairs.join(x.select(F.col("id").alias("a"), F.col("x").alias("xa")), "a").join(x.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b")
-    return common.written(both.select("a", "b", "xa", "xb").mapInArrow(exact_batches, "a long, b long"), "jaccard-links")
+    out = tables.write(both.select("a", "b", "xa", "xb").mapInArrow(common.tidy(exact_batches), "a long, b long"), "links")
+    tables.drop(pairs, x)
+    return out
 
 
 def tree_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,85 +353,107 @@ def tree_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- the join
 
 
-def keep_rows(rows: DataFrame, bitset: Broadcast, inside: bool) -> DataFrame:
-    """Rows whose ``h`` is in the filter, or those where it isn't."""
+def distinct_sets(every: DataFrame, copies: DataFrame) -> DataFrame:
+    """doc_id, n, sig, prefix of the sets that aren't copies; only rows that a filter takes for copies are compared with them."""
+    key = F.xxhash64("doc_id", "d1", "d2").alias("h")
+    copied = every.sparkSession.sparkContext.broadcast(common.filter_of(copies.select(key)))
+    rows = every.where("doc_id is not null and n > 0").withColumn("h", key)
+    side = lambda inside: rows.mapInArrow(common.tidy(lambda b: kept_batches(b, copied.value, inside)), rows.schema)
+    doubtful = side(True).join(copies.select("doc_id", "d1", "d2"), ["doc_id", "d1", "d2"], "left_anti")
+    return side(False).unionByName(doubtful).select("doc_id", "n", "sig", "prefix")
+
+
+def in_blocks(sets: DataFrame, tables: common.Workspace) -> DataFrame:
+    """(h, rep): the members of each prefix shingle that two or more sets hold."""
+    blocks = tables.write(sets.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "blocks")
+    shared = sets.sparkSession.sparkContext.broadcast(common.filter_of(blocks))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = batch.column(batch.schema.get_field_index("h")).to_numpy(zero_copy_only=False).view(U64)
-            yield batch.filter(pa.array(common.in_filter(bitset.value, h) == inside))
+            lists = batch.column("prefix")
+            h = lists.flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))
+            good = common.in_filter(shared.value, h.view(U64))
+            yield pa.RecordBatch.from_arrays([pa.array(h[good]), pa.array(owner[good])], names=["h", "rep"])
+
+    members = tables.write(sets.select("doc_id", "prefix").mapInArrow(common.tidy(work), "h long, rep long").join(blocks, "h").distinct(), "members")
+    tables.drop(blocks)
+    return members
+
 
-    return rows.mapInArrow(work, rows.schema)
+def mixed_blocks(members: DataFrame, groups: DataFrame, tables: common.Workspace) -> tuple[DataFrame, DataFrame]:
+    """(h, rep, component) of all members, and (h, c, a, b) of the blocks with several components; of two members a > b."""
+    now = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("h", "rep", F.coalesce("component", "rep").alias("component"))
+    now = tables.write(now, "now")
+    several = now.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c"), F.max("rep").alias("a"), F.min("rep").alias("b")).where("low < high")
+    return now, tables.write(several.select("h", "c", "a", "b"), "several")
+
+
+def tree_pairs(now: DataFrame, mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the blocks ``mixed`` (h, c) that trees can't rule out."""
+    mixed = mixed.select("h", F.ceil(F.col("c") / SPLIT).cast("int").alias("parts"))
+    rows = join_splittable(now, mixed, ["h"]).join(sets.select(F.col("doc_id").alias("rep"), "n", "sig"), "rep")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    # a large block is dealt out: every pair of its buckets is a key of its own
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("p", F.least("bucket", "o")).withColumn("q", F.greatest("bucket", "o"))
+    rows = rows.repartition(common.partitions(now.sparkSession), "h", "p", "q").sortWithinPartitions("h", "p", "q")
+    return rows.select("h", "p", "q", "rep", "n", "sig", "component", "bucket").mapInArrow(common.tidy(tree_batches), "a long, b long")
 
 
 def linked(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     spark = docs.sparkSession
     common.bound_batches(spark)
+    tables = common.Workspace(spark, "jaccard")
     docs = docs.select("doc_id", "text")
-    counts = docs.where("doc_id is not null").mapInArrow(frequent_batches, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    frequent = spark.sparkContext.broadcast(common.filter_of(counts.select("h")))
-    every = common.written(docs.mapInArrow(lambda b: set_batches(b, frequent.value), SET_TYPES), "jaccard-docs")
+    counts = docs.where("doc_id is not null").mapInArrow(common.tidy(frequent_batches), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    counts = tables.write(counts.select("h"), "frequent")
+    frequent = spark.sparkContext.broadcast(common.filter_of(counts))
+    every = tables.write(docs.mapInArrow(common.tidy(lambda b: set_batches(b, frequent.value)), SET_TYPES), "every")
 
     # equal sets: the least doc_id stands for all
     usable = every.where("doc_id is not null and n > 0")
     reps = usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     copies = join_splittable(usable.select("doc_id", "d1", "d2"), reps.where("copies > 1"), ["d1", "d2"]).where("doc_id <> rep").distinct()
-    copies = common.written(copies, "jaccard-copies")
-    # only rows that a filter of fixed size takes for copies are compared with them
-    key = F.xxhash64("doc_id", "d1", "d2").alias("h")
-    copied = spark.sparkContext.broadcast(common.filter_of(copies.select(key)))
-
-    def sets(*columns: str) -> DataFrame:
-        rows = usable.select("doc_id", "d1", "d2", *columns).withColumn("h", key)
-        doubtful = keep_rows(rows, copied, True).join(copies.select("doc_id", "d1", "d2"), ["doc_id", "d1", "d2"], "left_anti")
-        return keep_rows(rows, copied, False).unionByName(doubtful).select("doc_id", *columns)
-
-    # blocks: prefix shingles of two or more sets
-    blocks = sets("prefix").select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    blocks = common.written(blocks, "jaccard-blocks")
-    shared = spark.sparkContext.broadcast(common.filter_of(blocks))
-
-    def prefix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("prefix")
-            h = lists.flatten().to_numpy(zero_copy_only=False)
-            owner = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))
-            good = common.in_filter(shared.value, h.view(U64))
-            yield pa.RecordBatch.from_arrays([pa.array(h[good]), pa.array(owner[good])], names=["h", "rep"])
-
-    members = sets("prefix").mapInArrow(prefix_rows, "h long, rep long").join(blocks, "h").distinct()
-    members = common.written(members, "jaccard-members")
+    copies = tables.write(copies, "copies")
+    sets = tables.write(distinct_sets(every, copies), "sets")
+    sizes = tables.write(every.select("doc_id", "n"), "sizes")
+    tables.drop(counts, every)
+    members = in_blocks(sets, tables)
     common.release(spark)
 
     # hubs: one comparison for each set
     degree = members.groupBy("rep").agg(F.count("*").alias("degree"))
     hubs = members.join(degree, "rep").groupBy("h").agg(F.max(F.struct("degree", (-F.col("rep")).alias("r"))).alias("top")).select("h", (-F.col("top.r")).alias("hub"))
     best = join_splittable(members, hubs, ["h"]).where("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("c")).groupBy("rep").agg(F.max_by("hub", F.struct("c", (-F.col("hub")).alias("r"))).alias("hub"))
-    compared = common.written(best.select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct(), "jaccard-compared")
-    first = verified(bounded(compared, sets("n", "sig")), docs)
-    groups = common.written(components(first, "jaccard-first"), "jaccard-groups")
+    compared = tables.write(best.select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct(), "compared")
+    first = verified(bounded(compared, sets), docs, tables)
+    groups = tables.write(components(first), "groups")
     common.release(spark)
 
     # trees over the blocks that still hold several components
-    now = members.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("h", "rep", F.coalesce("component", "rep").alias("component"))
-    now = common.written(now, "jaccard-now")
-    several = now.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c"), F.max("rep").alias("a"), F.min("rep").alias("b")).where("low < high")
+    now, several = mixed_blocks(members, groups, tables)
+    tables.drop(members)
     # a block of two is one pair and needs no tree; the hub step may have compared it
-    twos = several.where("c = 2").select("a", "b").distinct().join(compared, ["a", "b"], "left_anti")
-    mixed = several.where("c > 2").select("h", F.ceil(F.col("c") / SPLIT).cast("int").alias("parts"))
-    rows = join_splittable(now, mixed, ["h"]).join(sets("n", "sig").withColumnRenamed("doc_id", "rep"), "rep")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    # a large block is dealt out: every pair of its buckets is a key of its own
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("p", F.least("bucket", "o")).withColumn("q", F.greatest("bucket", "o"))
-    rows = rows.repartition(common.partitions(spark), "h", "p", "q").sortWithinPartitions("h", "p", "q")
-    pairs = rows.select("h", "p", "q", "rep", "n", "sig", "component", "bucket").mapInArrow(tree_batches, "a long, b long")
-    pairs = pairs.union(bounded(twos, sets("n", "sig")).select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
-    second = verified(pairs, docs)
+    twos = several.where("c = 2").select("a", "b")
+    found = tables.write(tree_pairs(now, several.where(f"c > 2 and c <= {SPLIT}"), sets), "tree-pairs")
+    large = several.where(f"c > {SPLIT}").select("h")
+    if large.limit(1).count():
+        # second prefixes for the members of large blocks
+        ids = tables.write(now.join(large, "h").select(F.col("rep").alias("id")).distinct(), "large-ids")
+        rows, wanted = of_ids(docs, ids)
+        late = spark.sparkContext.broadcast(common.filter_of(large))
+        again = rows.mapInArrow(common.tidy(lambda b: set_batches(kept_batches(b, wanted.value, True), frequent.value, late.value)), SET_TYPES)
+        again = tables.write(again.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "prefix"), "second")
+        now, more = mixed_blocks(in_blocks(again, tables), groups, tables)
+        twos = twos.union(more.where("c = 2").select("a", "b"))
+        found = found.union(tree_pairs(now, more.where("c > 2"), sets))
+    pairs = found.union(bounded(twos.distinct().join(compared, ["a", "b"], "left_anti"), sets).select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
+    second = verified(pairs, docs, tables)
     common.release(spark)
 
-    final = components(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).union(first).union(second), "jaccard-components")
-    return every.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    final = components(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).union(first).union(second))
+    return sizes.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
