@@ -50,8 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``; a stage's table goes when the next one stands."""
+    tables = common.Workspace(spark, "pipeline")
     docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for k, (name, stage) in enumerate(STAGES):
+        before, docs = docs, tables.write(stage(spark, docs, sf_dir), name)
+        if k:
+            tables.drop(before)
     return docs
