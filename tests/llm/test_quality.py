@@ -1,5 +1,6 @@
 """Operator 8: statistics by brute force, learned lists."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -70,3 +71,37 @@ def test_nothing_to_learn_from(spark, labels):
     docs = spark.createDataFrame([(1, "a " * 60), (2, None)], "doc_id long, text string")
     frame = spark.createDataFrame(labels, "doc_id long, quality int")
     assert {r.doc_id: r.kept for r in quality.judged(docs, quality.learn(quality.labelled(docs, frame, 10))).collect()} == {1: False, 2: False}
+
+
+def test_grown_conditions_have_the_most_gain():
+    """FOIL gain of each candidate by its formula: covered bad rows times the rise of log2 of the (smoothed) share of bad ones."""
+    rng = random.Random(5)
+    rows = [({n: rng.random() for n in quality.FEATURES}, False) for _ in range(240)]
+    rows = [(r, r["mean_chars"] < 0.35 and r["upper_share"] > 0.5 or rng.random() < 0.05) for r, _ in rows]
+    covered = rows
+    for c in quality.grow(rows, 3):
+        share = lambda part: (sum(y for _, y in part) + 0.5) / (len(part) + 1)
+        gains = []
+        for other in quality.candidates(covered):
+            part = [x for x in covered if (x[0][other.feature] >= other.threshold) == other.above]
+            gains.append((sum(y for _, y in part) * (math.log2(share(part)) - math.log2(share(covered))), str(other)))
+        mine = next(g for g, name in gains if name == str(c))
+        assert mine == pytest.approx(max(gains)[0]) and mine > 0
+        covered = [x for x in covered if c.holds(x[0])]
+
+
+def test_the_conditional_expression_equals_the_rules(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["a", "Bcd", "#", "é|", "long-word-here", "\n"]) for _ in range(rng.randint(0, 40))) for _ in range(200)]
+    features = quality.statistics(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("n_words > 0")
+    rows = features.select("doc_id", *(F.expr(e).alias(n) for n, e in quality.FEATURES.items())).collect()
+    rules = []
+    for k in range(6):
+        r = rng.choice(rows)
+        names = rng.sample(list(quality.FEATURES), 2)
+        rules.append(quality.Rule(tuple(quality.Condition(n, rng.random() < 0.5, float(r[n])) for n in names), bad=k % 2 == 0))
+    got = {r.doc_id: r.k for r in features.select("doc_id", quality.verdict(rules).alias("k")).collect()}
+    for r in rows:
+        values = {n: float(r[n]) for n in quality.FEATURES}
+        first = next((rule for rule in rules if rule.holds(values)), None)
+        assert got[r.doc_id] == (first is None or not first.bad)
