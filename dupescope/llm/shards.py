@@ -6,15 +6,20 @@ sequence has an ordinal; a keyed Feistel permutation with cycle-walking maps ord
 of slots: a record's place in its file follows from its slot alone, so a reader resumes at
 any slot by one seek, and reading shards in order is reading the training order.
 
-Passes: the first counts the tokens of each block of documents, whose running sum gives
-the ordinals; the second cuts the blocks again and sends each record to its shard's range
-partition, which sorts by slot and writes.  Every block ends in a padded sequence at most.
+Passes: the first counts the sequences of each block of documents.  A running sum over that
+table gives each block its first ordinal: within each of 4096 ranges of block names by a
+window, across them on the driver.  The second pass cuts the blocks again; a join with the
+table, which Spark broadcasts only while it is small, turns a sequence's place in its block
+into its ordinal and slot.  Each task of the write takes one range of slots, named by
+partition id, sorts it and writes its shards.  Every block ends in a padded sequence at most.
 
 A record is a header (magic, number of tokens, slot, ordinal, doc_id at its start), the
 ids, a CRC-32 and a line end, always of the same size: ids take 1, 2 or 4 bytes by the
 size of the vocabulary.  Spark's text writer writes the records, whatever store it is.
 
-The query's ids are UTF-8 bytes, with 0xFF, which UTF-8 never uses, behind each document.
+``encode`` gives a batch of texts their ids: ``byte_tokens`` (UTF-8 bytes, with 0xFF, which
+UTF-8 never uses, behind each document) or ``BpeTokens`` (ids of the BPE operator).  The
+query takes bytes; the README says why.
 
 Defined results: a null or empty text is its end token alone.  Repeated rows are separate
 documents.  A null doc_id is written as the least long.  An empty table has no shards.
@@ -31,17 +36,19 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import bpe, common
 
 MAGIC = b"TSEQ"
 HEADER = struct.Struct("<4sIqqq")
 END_OF_DOCUMENT = 0xFF
 NULL_ID = -(1 << 63)
-#: Text bytes of a block; one pair of numbers per block reaches the driver.
-BLOCK_BYTES = 24 << 20
+#: Token bytes of a block.
+BLOCK_BYTES = 8 << 20
+#: Bits of a block's name that say its range: at most 4096 sums reach the driver.
+RANGE_BITS = 12
 U64 = np.uint64
 
 
@@ -120,11 +127,30 @@ class Layout:
         return slot, ordinal, doc_id, record[HEADER.size : HEADER.size + n * self.width]
 
 
-def byte_tokens(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass") + bytes([END_OF_DOCUMENT])
+Encoder = Callable[[list[str | None]], list[bytes]]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], encode: Callable[[str | None], bytes]) -> Iterator[tuple[int, list[int], list[bytes]]]:
+def byte_tokens(texts: list[str | None]) -> list[bytes]:
+    return [(t or "").encode("utf-8", "surrogatepass") + bytes([END_OF_DOCUMENT]) for t in texts]
+
+
+@dataclass
+class BpeTokens:
+    """Ids of the BPE operator, little-endian in 2 or 4 bytes, with an end token behind each document."""
+
+    path: str
+    end: str = "<|endoftext|>"
+    width: int = 2
+    model: bpe.PairIndexBpe | None = None
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        if self.model is None:
+            self.model = bpe.PairIndexBpe.from_file(self.path)
+        found = self.model.encode_many([t or "" for t in texts])
+        return [np.array([*ids, self.model.specials[self.end]], f"<u{self.width}").tobytes() for ids in found]
+
+
+def blocks(batches: Iterator[pa.RecordBatch], encode: Encoder) -> Iterator[tuple[int, list[int], list[bytes]]]:
     """(name, doc ids, encoded documents) of each block of a task; equal in every pass over the same table."""
     ids: list[int] = []
     held: list[bytes] = []
@@ -135,10 +161,9 @@ def blocks(batches: Iterator[pa.RecordBatch], encode: Callable[[str | None], byt
         name = xxhash.xxh3_64_intdigest(np.array([task, number, *ids, *map(len, held)], np.int64).tobytes() + b"".join(x[:16] for x in held[:64]))
         return int(U64(name).view(np.int64)), ids, held
 
-    for batch in common.slices(batches, "text", BLOCK_BYTES):
+    for batch in common.slices(batches, "text", 4 << 20):
         for names, texts in common.rows([batch], "doc_id", "text"):
-            for doc_id, text in zip(names, texts, strict=True):
-                data = encode(text)
+            for doc_id, data in zip(names, encode(texts), strict=True):
                 if held and size + len(data) > BLOCK_BYTES:
                     yield flush()
                     ids, held, size, number = [], [], 0, number + 1
@@ -149,9 +174,21 @@ def blocks(batches: Iterator[pa.RecordBatch], encode: Callable[[str | None], byt
         yield flush()
 
 
-def write(docs: DataFrame, path: str, key: int, layout: Layout = Layout(), encode: Callable[[str | None], bytes] = byte_tokens) -> int:
+def first_ordinals(counts: DataFrame) -> tuple[DataFrame, int]:
+    """(name, first) from the written table (name, n): how many sequences stand before each block, and how many there are."""
+    part = F.shiftrightunsigned("name", 64 - RANGE_BITS).cast("int")
+    sums = sorted((r.part, r.n) for r in counts.groupBy(part.alias("part")).agg(F.sum("n").alias("n")).collect())  # at most 2^RANGE_BITS rows
+    ends = np.cumsum([n for _, n in sums], dtype=np.int64).tolist()
+    starts = counts.sparkSession.createDataFrame([(p, e - n) for (p, n), e in zip(sums, ends, strict=True)], "part int, start long")
+    before = F.sum("n").over(Window.partitionBy("part").orderBy("name").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    out = counts.withColumn("part", part).join(F.broadcast(starts), "part").select("name", (F.col("start") + before).alias("first"))
+    return out, ends[-1] if ends else 0
+
+
+def write(docs: DataFrame, path: str, key: int, layout: Layout = Layout(), encode: Encoder = byte_tokens) -> int:
     """Shards of ``docs`` (doc_id, text; a table that reads alike each time) below ``path``; the number of sequences."""
     spark = docs.sparkSession
+    common.bound_batches(spark)
     docs = docs.select("doc_id", "text")
     span = layout.length * layout.width
 
@@ -159,42 +196,46 @@ def write(docs: DataFrame, path: str, key: int, layout: Layout = Layout(), encod
         for name, _, held in blocks(batches, encode):
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([-(-sum(map(len, held)) // span)])], names=["name", "n"])
 
-    # one row per 24 MB of text
-    counts = sorted((r.name, r.n) for r in docs.mapInArrow(count, "name long, n long").collect())
-    total = sum(n for _, n in counts)
-    begins: dict[int, int] = {}
-    at = 0
-    for name, n in counts:
-        begins[name] = at
-        at += n
+    tables = common.Workspace(spark, "shard-blocks")
+    counts = tables.write(docs.mapInArrow(common.tidy(count), "name long, n long"), "counts")
+    firsts, total = first_ordinals(counts)
+    firsts = tables.write(firsts, "firsts")
     order = Permutation(total, key)
-    shared = spark.sparkContext.broadcast(begins)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, ids, held in blocks(batches, encode):
-            if name not in shared.value:
-                raise RuntimeError("the documents changed between two passes; write them to a table first")
             stream = b"".join(held)
             ends = np.cumsum([len(x) for x in held])
-            first = np.searchsorted(ends, np.arange(0, len(stream), span), side="right")
-            ordinals = shared.value[name] + np.arange(len(first))
+            starts = np.array(ids, np.int64)[np.searchsorted(ends, np.arange(0, len(stream), span), side="right")]
+            del held
+            for i in range(0, len(starts), 512):
+                n = min(512, len(starts) - i)
+                tokens = [stream[j * span : (j + 1) * span] for j in range(i, i + n)]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(i, i + n)), pa.array(starts[i : i + n]), pa.array(tokens, pa.binary())], names=["name", "place", "doc_id", "tokens"])
+
+    def seal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.column("first").null_count:
+                raise RuntimeError("the documents changed between two passes; write them to a table first")
+            ordinals = batch.column("first").to_numpy() + batch.column("place").to_numpy()
             slots = order.slots(ordinals)
-            for i in range(0, len(first), 1024):
-                made = [layout.record(int(slots[j]), int(ordinals[j]), ids[first[j]], stream[j * span : (j + 1) * span]) for j in range(i, min(i + 1024, len(first)))]
-                part = slots[i : i + 1024]
-                yield pa.RecordBatch.from_arrays([pa.array(part // layout.per_shard), pa.array(part), pa.array(made, pa.binary())], names=["shard", "slot", "record"])
+            made = [layout.record(*row) for row in zip(slots.tolist(), ordinals.tolist(), batch.column("doc_id").to_pylist(), batch.column("tokens").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(slots // layout.per_shard), pa.array(slots), pa.array(made, pa.binary())], names=["shard", "slot", "record"])
 
-    cutting = docs.mapInArrow(cut, "shard long, slot long, record binary")
+    cutting = docs.mapInArrow(common.tidy(cut), "name long, place long, doc_id long, tokens binary")
+    sealed = cutting.join(firsts, "name", "left").select("first", "place", "doc_id", "tokens").mapInArrow(common.tidy(seal), "shard long, slot long, record binary")
     shards = max(1, -(-total // layout.per_shard))
-    # slots are uniform by construction: a range of shards per task needs no sampling
+    # slots are uniform by construction: each task takes a range of shards, and no sampling is needed
     tasks = min(shards, common.partitions(spark))
-    dealt = cutting.withColumn("task", (F.col("shard") * tasks / shards).cast("int")).repartition(tasks, "task").sortWithinPartitions("shard", "slot")
+    dealt = sealed.repartitionById(tasks, F.expr(f"CAST(shard * {tasks} DIV {shards} AS INT)")).sortWithinPartitions("shard", "slot")
     dealt.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
+    tables.drop(counts, firsts)
     return total
 
 
 def read(spark: SparkSession, path: str, layout: Layout = Layout(), from_slot: int = 0, to_slot: int | None = None) -> DataFrame:
     """slot, ordinal, doc_id, ids of the records from ``from_slot`` up to before ``to_slot``; only their shards are opened."""
+    common.bound_batches(spark)
     to = (1 << 62) if to_slot is None else to_slot
     files = spark.read.format("binaryFile").load(path).where(f"shard >= {from_slot // layout.per_shard} and shard <= {(to - 1) // layout.per_shard}")
 
@@ -208,7 +249,7 @@ def read(spark: SparkSession, path: str, layout: Layout = Layout(), from_slot: i
                     found = [layout.parse(bytes(data[j * layout.stride : (j + 1) * layout.stride])) for j in range(i, min(i + 512, end))]
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["slot", "ordinal", "doc_id", "ids"])
 
-    return files.select(F.col("shard").cast("long").alias("shard"), "content").mapInArrow(parse, "slot long, ordinal long, doc_id long, ids binary")
+    return files.select(F.col("shard").cast("long").alias("shard"), "content").mapInArrow(common.tidy(parse), "slot long, ordinal long, doc_id long, ids binary")
 
 
 def op4_training_order(spark: SparkSession, sf_dir: str, key: int = 20240229) -> DataFrame:

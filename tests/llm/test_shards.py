@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from dupescope.llm import shards
+from dupescope.llm import common, shards
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -39,6 +39,54 @@ def test_round_trip_and_resume(spark, tmp_path, parts):
     assert len(files) == -(-total // 8) and all(f.stat().st_size % layout.stride == 0 for f in files)
 
 
+@pytest.mark.parametrize("width", [2, 4])
+def test_wide_ids_of_the_bpe_operator(spark, tmp_path, width):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    layout = shards.Layout(length=16, width=width, per_shard=4)
+    rows = [(i, t, 7) for i, t in enumerate(TEXTS)] + [(0, TEXTS[0], 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int")  # a column by the name of the shards' folder
+    shards.write(docs, str(tmp_path / "s"), 9, layout, shards.BpeTokens(path, width=width))
+    got = sorted(shards.read(spark, str(tmp_path / "s"), layout).collect(), key=lambda r: r.ordinal)
+    ids = np.frombuffer(b"".join(r.ids for r in got), f"<u{width}").tolist()
+    expected = [[*library.encode(t or "", add_special_tokens=False).ids, 49407] for _, t, _ in rows]
+    found, doc = [], []
+    for i in ids:
+        doc.append(i)
+        if i == 49407:
+            found.append(doc)
+            doc = []
+    assert not doc and sorted(found) == sorted(expected)
+
+
+def test_first_ordinals(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(n), int(c)) for n, c in zip(rng.integers(-(1 << 63), 1 << 63, 500), rng.integers(1, 9, 500), strict=True)]
+    firsts, total = shards.first_ordinals(spark.createDataFrame(rows, "name long, n long"))
+    first, count = {r.name: r.first for r in firsts.collect()}, dict(rows)
+    at = 0
+    for name in sorted(first, key=first.get):
+        assert first[name] == at
+        at += count[name]
+    assert at == total and len(first) == 500
+
+
+def test_each_task_writes_a_range_of_shards(spark, tmp_path):
+    layout = shards.Layout(length=8, per_shard=4)
+    docs = spark.createDataFrame([(i, f"some text of document {i}") for i in range(100)], "doc_id long, text string")
+    total = shards.write(docs, str(tmp_path / "s"), 3, layout)
+    by_task = {}
+    for f in (tmp_path / "s").rglob("part-*"):
+        if not f.name.endswith(".crc"):
+            by_task.setdefault(f.name[:10], []).append(int(f.parent.name.removeprefix("shard=")))
+    ranges = sorted((min(x), max(x), len(x)) for x in by_task.values())
+    assert all(high - low + 1 == n for low, high, n in ranges) and sum(n for *_, n in ranges) == -(-total // 4)
+    assert len(ranges) == common.partitions(spark) and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert shards.op4_training_order(spark, str(tmp_path)).count() == 0
