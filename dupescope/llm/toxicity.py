@@ -7,8 +7,10 @@ rate and an L1 threshold below which its weight is exactly zero, so the weights
 sent to the executors are few.
 
 Learning uses a bounded sample of labelled rows: of each label the ``per_label`` rows
-that come first by a hash of doc_id, with texts of up to ``max_train_bytes``.  Every text
-is scored whole.
+that come first by a hash of doc_id, with texts of up to ``max_train_bytes``.  Features that
+fewer than ``LEAST`` of them have are dropped in Spark, so the driver gets at most
+2 * per_label * max_train_bytes / 2 coordinates of 4 bytes, and in practice a fifth of that.
+Every text is scored whole.
 
 Defined results: a null or empty text has the intercept's score.  Rows with a null label
 or null doc_id are not learnt from; a document labelled both ways counts as toxic.
@@ -33,6 +35,8 @@ BITS = 22
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7)
 THRESHOLD = 0.7
+#: Sampled texts that must have a feature.
+LEAST = 3
 U64 = np.uint64
 
 
@@ -91,17 +95,13 @@ def sigmoid(x: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -35, 35))))
 
 
-def train(samples: list[tuple[np.ndarray, int]], alpha: float = 0.6, beta: float = 1.0, l1: float | None = None, l2: float = 0.0, epochs: int = 6, bits: int = BITS, least: int = 3) -> Weights:
+def train(samples: list[tuple[np.ndarray, int]], alpha: float = 0.6, beta: float = 1.0, l1: float | None = None, l2: float = 0.0, epochs: int = 6, bits: int = BITS) -> Weights:
     """FTRL-proximal over (distinct coordinates, label); the rarer label weighs more.
 
-    A coordinate takes part if ``least`` texts have it.  ``l1`` is 0.3 times the root of
-    the number of samples unless given: what pure noise adds up to grows as that root.
+    ``l1`` is 0.3 times the root of the number of samples unless given: what pure noise adds
+    up to grows as that root.
     """
     l1 = 0.3 * len(samples) ** 0.5 if l1 is None else l1
-    seen = np.zeros(1 << bits, np.int32)
-    for x, _ in samples:
-        seen[x] += 1
-    samples = [(x[seen[x] >= least], y) for x, y in samples]
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     zb = nb = 0.0
     toxic = sum(y for _, y in samples)
@@ -131,8 +131,9 @@ def train(samples: list[tuple[np.ndarray, int]], alpha: float = 0.6, beta: float
     return Weights(index, w[index].astype(np.float32), float(-zb / ((beta + np.sqrt(nb)) / alpha)), bits)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, per_label: int, max_train_bytes: int) -> list[tuple[np.ndarray, int]]:
-    """The bounded sample, as coordinates."""
+def labelled(docs: DataFrame, labels: DataFrame, per_label: int, max_train_bytes: int, least: int = LEAST) -> list[tuple[np.ndarray, int]]:
+    """The bounded sample, as coordinates of 32 bits that ``least`` of its texts have."""
+    common.bound_batches(docs.sparkSession)
     known = labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic").where(common.crc_fold("doc_id", 3) != 1)
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
     parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label).collect() for y in (0, 1)]
@@ -143,17 +144,35 @@ def labelled(docs: DataFrame, labels: DataFrame, per_label: int, max_train_bytes
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for ids, ys, bodies in common.rows(batches, "doc_id", "y", "text"):
-            found = [np.unique(features.of(t)).astype(np.int32).tobytes() for t in bodies]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(found, pa.binary())], names=["doc_id", "y", "x"])
-
-    got = texts.mapInArrow(work, "doc_id long, y int, x binary").toArrow()
+            found = [np.unique(features.of(t)).astype(np.int32) for t in bodies]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "y", "x"])
+
+    tables = common.Workspace(spark, "toxicity")
+    every = tables.write(texts.mapInArrow(common.tidy(work), "doc_id long, y int, x array<int>"), "features")
+    often = every.select(F.explode("x").alias("f")).groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    words = often.select(F.shiftright("f", 6).alias("w"), F.expr("shiftleft(1L, f & 63)").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    wanted = np.zeros(max(1, (1 << BITS) // 64), np.int64)
+    got = words.toArrow()  # at most 2^BITS / 64 rows
+    wanted[got["w"].to_numpy()] = got["b"].to_numpy()
+    shared = spark.sparkContext.broadcast(wanted.view(U64))
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for x in batch.column("x"):
+                at = x.values.to_numpy()
+                found.append(at[(shared.value[at >> 6] >> (at & 63).astype(U64)) & U64(1) != 0].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(found, pa.binary())], names=["doc_id", "y", "x"])
+
+    got = every.mapInArrow(common.tidy(frequent), "doc_id long, y int, x binary").toArrow()
+    tables.drop(every)
     out = sorted(zip(got["doc_id"].to_pylist(), got["y"].to_pylist(), got["x"].to_pylist(), strict=True))
-    return [(np.frombuffer(x, np.int32).astype(np.int64), y) for _, y, x in out]
+    return [(np.frombuffer(x, np.int32), y) for _, y, x in out]
 
 
 def score_batches(batches: Iterator[pa.RecordBatch], weights: Weights) -> Iterator[pa.RecordBatch]:
     features, dense = Features(weights.bits), weights.dense()
-    for ids, texts in common.rows(batches, "doc_id", "text"):
+    for ids, texts in common.rows(common.slices(batches, "text", 4 << 20), "doc_id", "text"):
         sums = []
         for text in texts:
             x = features.of(text)
@@ -165,11 +184,12 @@ def score_batches(batches: Iterator[pa.RecordBatch], weights: Weights) -> Iterat
 
 def score(docs: DataFrame, weights: Weights) -> DataFrame:
     """doc_id, score of each document; the weights travel once to each executor."""
+    common.bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # at most 2^BITS pairs
-    return docs.select("doc_id", "text").mapInArrow(lambda b: score_batches(b, shared.value), "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(common.tidy(lambda b: score_batches(b, shared.value)), "doc_id long, score double")
 
 
-def op6_toxicity(spark: SparkSession, sf_dir: str, per_label: int = 4000, max_train_bytes: int = 32 << 10) -> DataFrame:
+def op6_toxicity(spark: SparkSession, sf_dir: str, per_label: int = 2000, max_train_bytes: int = 16 << 10) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     weights = train(labelled(docs, common.table(spark, sf_dir, "labels"), per_label, max_train_bytes))
     held_out = F.coalesce(common.crc_fold("doc_id", 3) == 1, F.lit(False))

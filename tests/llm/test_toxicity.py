@@ -1,5 +1,8 @@
 """Operator 6: held-out rows, sparsity, special cases."""
 
+import math
+import zlib
+
 import numpy as np
 import pytest
 from dupescope.llm import toxicity
@@ -33,3 +36,57 @@ def test_special_rows(spark):
     assert all(r.score < 0.1 for r in toxicity.score(docs, none).collect())
     assert 0 <= toxicity.sigmoid(toxicity.train([]).intercept) <= 1
     assert toxicity.score(docs.where("doc_id > 9999"), weights).count() == 0
+
+
+def brute_ftrl(samples, l1, alpha=0.6, beta=1.0, epochs=6):
+    """FTRL-proximal coordinate by coordinate, after the published update; the intercept has no L1."""
+    z, n = {}, {}
+    toxic = sum(y for _, y in samples)
+    gain = [min(8.0, max(1.0, toxic / (len(samples) - toxic))), min(8.0, max(1.0, (len(samples) - toxic) / toxic))]
+
+    def weight(i):
+        if i != "b" and abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        sign = math.copysign(l1 if i != "b" else 0.0, z.get(i, 0.0))
+        return -(z.get(i, 0.0) - sign) * alpha / (beta + math.sqrt(n.get(i, 0.0)))
+
+    order = np.random.default_rng(7)
+    for _ in range(epochs):
+        for k in order.permutation(len(samples)):
+            x, y = samples[k]
+            active = [*x.tolist(), "b"]
+            w = {i: weight(i) for i in active}
+            g = (1 / (1 + math.exp(-sum(w.values()))) - y) * gain[y]
+            for i in active:
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z}
+
+
+def test_training_equals_brute_force():
+    rng = np.random.default_rng(2)
+    samples = [(np.unique(rng.integers(0, 60, 12)).astype(np.int32), int(rng.random() < 0.3)) for _ in range(120)]
+    samples = [(np.unique(np.append(x, 60)).astype(np.int32) if y else x, y) for x, y in samples]
+    for l1 in (0.0, 0.5, 3.0):
+        w, expected = toxicity.train(samples, bits=6, l1=l1), brute_ftrl(samples, l1)
+        assert w.intercept == pytest.approx(expected.pop("b"), rel=1e-9)
+        dense = w.dense()
+        assert all(dense[i] == pytest.approx(x, rel=1e-5, abs=1e-7) for i, x in expected.items())
+        assert set(w.index.tolist()) == {i for i, x in expected.items() if x}
+
+
+def test_sample_keeps_frequent_features_and_long_texts_are_scored_whole(spark):
+    rows = [(i, "alpha beta gamma" if i % 2 else "delta beta") for i in range(9)] + [(50, "rare words " * 3), (51, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    got = toxicity.labelled(docs, labels, 100, 1000)
+    features = toxicity.Features()
+    fold = lambda i: zlib.crc32(str(i).encode()) % 3 != 1
+    sets = sorted((i, i % 2, set(features.of(t).tolist())) for i, t in rows if fold(i) and t)
+    often = {f for f in set().union(*(x for *_, x in sets)) if sum(f in x for *_, x in sets) >= toxicity.LEAST}
+    assert [(y, set(x.tolist())) for x, y in got] == [(y, x & often) for _, y, x in sets]
+    weights = toxicity.train(got, l1=0.01)
+    long = spark.createDataFrame([(1, "filler " * 300_000 + "alpha beta gamma"), (2, "filler " * 300_000)], "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in toxicity.score(long, weights).collect()}
+    assert scores[1] != scores[2]
