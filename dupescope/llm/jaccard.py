@@ -16,7 +16,7 @@ components of these links.  No link between different sets is lost:
    their members' token bitmaps and their range of sizes.  Two trees are traversed at
    once, and a pair of nodes is left as soon as the overlap that its bitmaps and sizes
    allow is too small.  What remains between different components is checked exactly.
-5. Second prefixes.  A block that still holds more than ``SPLIT`` sets of several components
+5. Second prefixes.  A block that still holds more than ``LARGE`` sets of several components
    belongs to a shingle that is frequent after all.  Its members get new prefixes, in an order
    that has all such shingles last, and new blocks among themselves.  Sets that had none in
    their prefix keep it in the new order, too, so links to those were found before.
@@ -52,7 +52,9 @@ WORDS = 5
 NUM, DEN = 4, 5
 #: Documents from which a shingle counts as frequent.
 FREQUENT = 32
-#: Members from which a block of several components gets second prefixes; what is as large even then is dealt out over several tasks.
+#: Members from which a block of several components gets second prefixes.
+LARGE = 1000
+#: Members of a block that meet in one task: larger blocks are dealt out, every pair of buckets to a key of its own.
 SPLIT = 1000
 LEAF, FAN = 16, 4
 U64 = np.uint64
@@ -436,8 +438,8 @@ def linked(docs: DataFrame) -> DataFrame:
     tables.drop(members)
     # a block of two is one pair and needs no tree; the hub step may have compared it
     twos = several.where("c = 2").select("a", "b")
-    found = tables.write(tree_pairs(now, several.where(f"c > 2 and c <= {SPLIT}"), sets), "tree-pairs")
-    large = several.where(f"c > {SPLIT}").select("h")
+    found = tables.write(tree_pairs(now, several.where(f"c > 2 and c <= {LARGE}"), sets), "tree-pairs")
+    large = several.where(f"c > {LARGE}").select("h")
     if large.limit(1).count():
         # second prefixes for the members of large blocks
         ids = tables.write(now.join(large, "h").select(F.col("rep").alias("id")).distinct(), "large-ids")

@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 import pytest
-from dupescope.llm import bpe, decontaminate, jaccard, secrets
+from dupescope.llm import bpe, decontaminate, jaccard, language, secrets
 from dupescope.llm.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -14,7 +14,11 @@ def test_stages(spark):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, DATA)
         if name == "language":
-            assert ids(out) == ids(docs.where("text rlike '[[:alpha:]]'")) or len(ids(out)) >= 0.99 * docs.count()
+            model = language.fit(docs)
+            rows = docs.select("doc_id", "text").collect()
+            langs, scores = language.predict_texts([r.text for r in rows], model)
+            assert ids(out) == sorted(r.doc_id for r, lang, s in zip(rows, langs, scores, strict=True) if lang != "und" and s >= 0.3)
+            assert all(any(c.isalpha() for c in r.text or "") for r in out.collect())
         elif name == "near_duplicates":
             assert ids(out) == ids(jaccard.linked(docs).where("doc_id = component_id"))
         elif name == "decontamination":
@@ -40,6 +44,18 @@ def test_stages_take_odd_rows(spark):
         assert frame.columns[0] == "doc_id"
 
 
+def test_stages_take_clashing_columns_and_repeated_rows(spark):
+    extra = {"lang_pred": "x", "score": "y", "h": "z", "component_id": "c", "item_id": "i", "family": "f", "ids_sha256": "s", "rep": "r"}
+    rows = [(i, f"the {w} of the house and the sea near {w}", "en", f"src{i}", 9, *extra.values()) for i, w in enumerate(("one", "two", "three"))]
+    docs = spark.createDataFrame([*rows, rows[0]], ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *(f"{c} string" for c in extra)]))
+    frame = docs
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        frame = stage(spark, frame, DATA)
+        assert frame.columns == docs.columns and frame.count() == 4
+    tokens = corpus_pipeline.STAGES[4][1](spark, frame, DATA).collect()
+    assert sorted(r.doc_id for r in tokens) == [0, 0, 1, 2] and len({r.ids_sha256 for r in tokens}) == 3
+
+
 @pytest.mark.parametrize("n", range(1, 11))
 def test_a_query_for_each_operator(n):
     assert sum(q.startswith(f"op{n}_") for q in QUERIES) == 1
