@@ -4,15 +4,20 @@ The text is cut into blocks of documents, and blocks and n-gram tables talk in m
 packed arrays, so that what is shuffled is each block's distinct n-grams, not its tokens:
 
 1. Every block sends its distinct n-grams (sorted 64-bit keys, with their counts in
-   training documents) of each order to the partition that a key's top bits name.
-2. Each partition sums its keys, stores its part of the n-gram table, and answers every
+   training documents) of each order to the part that a key's top bits name.  A part is what
+   ``PART_BYTES`` of text hold, and a task of its own, so its size doesn't grow with the input.
+2. Each part sums its keys, stores its share of the n-gram table, and answers every
    message with the total counts and with which keys the message *owns* (each key has one
-   owner).  Frequent n-grams come once a block, so no partition is hot.
+   owner).  Frequent n-grams come once a block, so no part is hot.
 3. Counts of counts give the Good-Turing discounts: a handful of numbers.
-4. Each block scores its documents from the answers, recursively from the highest order.
+4. Each block evaluates its documents from the answers, recursively from the highest order.
    For the n-grams it owns it sends, per context, the discounted mass and the lower-order
    mass; for backed-off tokens it asks for the weight of their context.
-5. Partitions sum these masses to backoff weights, exactly normalised, and answer.
+5. Parts sum these masses to the backoff weight of every context, exactly normalised, store
+   them beside the counts, and answer.  Documents' scores are finished from that table.
+
+A message holds one key at least, so there are never more messages than a plain grouping of
+the blocks' distinct n-grams would shuffle rows; up to some terabytes they are far fewer.
 
 Model.  c(ctx) counts ctx as a history.  A seen n-gram has d(c) * c / c(ctx); otherwise
 alpha(ctx) times the probability one order lower, with alpha(ctx) = (1 - sum of seen
@@ -30,7 +35,6 @@ than a block is a block of its own.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +50,8 @@ from . import common
 BEGIN, END = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b" begin", b" end"))  # no word has a space
 #: Text bytes of a block.
 BLOCK_BYTES = 6 << 20
+#: Text bytes whose n-grams make a part.
+PART_BYTES = 12 << 20
 #: Counts up to which Katz's discount holds.
 SMALL = 5
 U64 = np.uint64
@@ -54,23 +60,24 @@ U64 = np.uint64
 # ------------------------------------------------------------------ packed arrays
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte planes apart so that the empty high bytes vanish."""
-    steps = np.diff(keys, prepend=U64(0))
-    return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+def pack(values: np.ndarray) -> bytes:
+    """Byte planes apart, so that the empty high bytes vanish."""
+    values = np.ascontiguousarray(values)
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes(), 1)
 
 
-def unpack_keys(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(U64).reshape(-1), dtype=U64)
+def unpack(raw: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
-def pack(values: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(values).tobytes(), 1)
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences."""
+    return pack(np.diff(keys, prepend=U64(0)))
 
 
-def unpack(raw: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(raw), kind)
+def unpack_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack(raw, U64), dtype=U64)
 
 
 def parts_of(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
@@ -172,24 +179,42 @@ def arrow(made: list[tuple], types: str) -> pa.RecordBatch:
 TABLE_TYPES = "kind string, k int, part int, block long, keys binary, counts binary, owned binary"
 
 
-def sum_part(messages: pa.Table) -> pa.Table:
-    """Step 2: one part of one order: its table, and the answer to each message."""
-    rows = sorted(messages.to_pylist(), key=lambda r: r["block"])
-    k, part = rows[0]["k"], rows[0]["part"]
-    keys = [unpack_keys(r["keys"]) for r in rows]
-    every, first, which = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    counts = np.concatenate([unpack(r["counts"], np.uint32) for r in rows])
-    total = np.bincount(which, weights=counts, minlength=len(every)).astype(np.int64)
-    owner = np.zeros(len(which), bool)
-    owner[first] = total > 0
-    seen = total > 0
-    made = [("table", k, part, None, pack_keys(every[seen]), pack(total[seen]), None)]
-    begin = 0
-    for r, own in zip(rows, keys, strict=True):
-        end = begin + len(own)
-        made.append(("answer", k, part, r["block"], None, pack(total[which[begin:end]]), pack(np.packbits(owner[begin:end]))))
-        begin = end
-    return pa.Table.from_batches([arrow(made, TABLE_TYPES)])
+def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[list[dict]]:
+    """Rows that agree in ``keys`` and lie next to each other."""
+    now, held = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if (key := tuple(row[k] for k in keys)) != now:
+                if held:
+                    yield held
+                now, held = key, []
+            held.append(row)
+    if held:
+        yield held
+
+
+def in_parts(messages: DataFrame, parts: int, *order: str) -> DataFrame:
+    """The messages, one part a task, sorted."""
+    return messages.repartitionById(parts, "part").sortWithinPartitions("k", "part", *order)
+
+
+def sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Step 2: one part of one order at a time: its table, and the answer to each message."""
+    for rows in runs(batches, "k", "part"):
+        k, part = rows[0]["k"], rows[0]["part"]
+        keys = [unpack_keys(r["keys"]) for r in rows]
+        every, first, which = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        counts = np.concatenate([unpack(r["counts"], np.uint32) for r in rows])
+        total = np.bincount(which, weights=counts, minlength=len(every)).astype(np.int64)
+        owner = np.zeros(len(which), bool)
+        owner[first] = total > 0
+        seen = total > 0
+        yield arrow([("table", k, part, None, pack_keys(every[seen]), pack(total[seen]), None)], TABLE_TYPES)
+        begin = 0
+        for r, own in zip(rows, keys, strict=True):
+            end = begin + len(own)
+            yield arrow([("answer", k, part, r["block"], None, pack(total[which[begin:end]]), pack(np.packbits(owner[begin:end])))], TABLE_TYPES)
+            begin = end
 
 
 # ------------------------------------------------------------------ discounts
@@ -241,7 +266,9 @@ class Discounts:
 
 
 BLOCK_TYPES = "block long, n long, ids binary, has_id binary, out binary, tokens binary, words binary, lengths binary"
-SCORED_TYPES = "kind string, k int, part int, block long, keys binary, seen binary, lower binary, docs binary"
+#: Of documents: their columns, packed.  By order k: asked are the keys asked for, and for each backed-off token which of them and which document.
+DOC_COLUMNS = ("ids", "has_id", "out", "lengths", "known", "base", "score")
+SCORED_TYPES = "kind string, k int, part int, block long, keys binary, seen binary, lower binary, which binary, doc binary, " + ", ".join(f"{c} binary" for c in DOC_COLUMNS)
 
 
 def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,18 +276,19 @@ def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for name, ids, out, flat, lengths, _ in block_batches(batches):
         words, local = np.unique(flat, return_inverse=True)
         known = np.array([i is not None for i in ids])
-        yield arrow([(name, len(ids), pack(np.array([i or 0 for i in ids], np.int64)), pack(known), pack(out), pack(np.ascontiguousarray(local.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)), pack_keys(words), pack(lengths))], BLOCK_TYPES)
+        yield arrow([(name, len(ids), pack(np.array([i or 0 for i in ids], np.int64)), pack(known), pack(out), pack(local.astype(np.uint32)), pack_keys(words), pack(lengths))], BLOCK_TYPES)
 
 
-def score_block(left: pa.Table, right: pa.Table, order: int, parts: int, model: Discounts, needed: np.ndarray) -> pa.Table:
+def score_block(left: pa.Table, right: pa.Table, order: int, parts: int, model: Discounts) -> pa.Table:
     """Step 4 for one block: partial scores, masses, questions."""
     made: list[tuple] = []
+    row_of = lambda kind, k, part, block, **x: (kind, k, part, block, *(x.get(c) for c in ("keys", "seen", "lower", "which", "doc", *DOC_COLUMNS)))
     if not left.num_rows or not right.num_rows:
         raise RuntimeError("blocks and answers differ: the documents changed between two passes; write them to a table first")
     answers = sorted(right.to_pylist(), key=lambda r: (r["k"], r["part"]))
     for row in left.to_pylist():
         lengths = unpack(row["lengths"], np.int64)
-        local = np.ascontiguousarray(unpack(row["tokens"], np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1)
+        local = unpack(row["tokens"], np.uint32)
         out = unpack(row["out"], bool)
         block = Block(unpack_keys(row["words"])[local], lengths, ~out, order)
         total, owned = {}, {}
@@ -291,17 +319,14 @@ def score_block(left: pa.Table, right: pa.Table, order: int, parts: int, model:
                 open_ &= ~hit
             log_p[open_] += np.log10(low[open_])
         known = np.bincount(doc, weights=one > 0, minlength=docs).astype(np.int64)
-        answer = {"ids": row["ids"], "has_id": row["has_id"], "out": row["out"], "lengths": row["lengths"], "known": pack(known), "base": pack(base), "score": pack(adds(log_p))}
         for k, (keys, which, at) in asked.items():
-            answer |= {f"ask{k}": pack_keys(keys), f"which{k}": pack(which.astype(np.uint32)), f"doc{k}": pack(at.astype(np.uint32))}
-            made += [("ask", k, p, row["block"], pack_keys(keys[b:e]), None, None, None) for p, b, e in parts_of(keys, parts)]
-        made.append(("docs", None, None, row["block"], None, None, None, pickle.dumps(answer)))
+            made.append(row_of("asked", k, None, row["block"], which=pack(which.astype(np.uint32)), doc=pack(at.astype(np.uint32))))
+            made += [row_of("ask", k, p, row["block"], keys=pack_keys(keys[b:e])) for p, b, e in parts_of(keys, parts)]
+        made.append(row_of("docs", None, None, row["block"], ids=row["ids"], has_id=row["has_id"], out=row["out"], lengths=row["lengths"], known=pack(known), base=pack(base), score=pack(adds(log_p))))
         for k in range(2, order + 1):
-            own = np.flatnonzero(owned[k] & (total[k] > 0))
+            own = np.flatnonzero(owned[k] & (total[k] > 0) & (block.keys[k] != start_key(k)))  # start symbols follow nothing
             place = block.first[k][own]
             context = block.which[k - 1][block.index[k - 1][place - 1]]
-            wanted = common.in_filter(needed, block.keys[k - 1][context])
-            own, place, context = own[wanted], place[wanted], context[wanted]
             seen = model.mass(k, total[k][own]) / total[k - 1][context]
             if k == 2:
                 c = total[1][block.which[1][block.index[1][place]]]
@@ -313,89 +338,94 @@ def score_block(left: pa.Table, right: pa.Table, order: int, parts: int, model:
             contexts, inverse = np.unique(context, return_inverse=True)
             keys = block.keys[k - 1][contexts]
             s, q = (np.bincount(inverse, weights=x, minlength=len(contexts)) for x in (seen, lower))
-            made += [("mass", k, p, row["block"], pack_keys(keys[b:e]), pack(s[b:e]), pack(q[b:e]), None) for p, b, e in parts_of(keys, parts)]
+            made += [row_of("mass", k, p, row["block"], keys=pack_keys(keys[b:e]), seen=pack(s[b:e]), lower=pack(q[b:e])) for p, b, e in parts_of(keys, parts)]
     return pa.Table.from_batches([arrow(made, SCORED_TYPES)])
 
 
-def weigh_part(messages: pa.Table) -> pa.Table:
-    """Step 5: log10 backoff weights of the contexts asked for in one part of one order."""
-    rows = sorted(messages.to_pylist(), key=lambda r: (r["kind"], r["block"]))
-    masses = [r for r in rows if r["kind"] == "mass"]
-    made = []
-    if masses:
-        every, which = np.unique(np.concatenate([unpack_keys(r["keys"]) for r in masses]), return_inverse=True)
-        seen, lower = (np.bincount(which, weights=np.concatenate([unpack(r[c], np.float64) for r in masses])) for c in ("seen", "lower"))
-        weight = np.log10((1 - seen) / (1 - lower))
-    for r in rows:
-        if r["kind"] == "ask":
-            keys = unpack_keys(r["keys"])
-            value = np.zeros(len(keys))
-            if masses:
-                at = np.minimum(np.searchsorted(every, keys), len(every) - 1)
-                value = np.where(every[at] == keys, weight[at], 0.0)
-            made.append((r["k"], r["part"], r["block"], pack(value)))
-    return pa.Table.from_batches([arrow(made, "k int, part int, block long, weights binary")])
+WEIGHT_TYPES = "kind string, k int, part int, block long, keys binary, weights binary"
+
+
+def weigh_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Step 5: log10 backoff weights of all contexts of one part of one order, and of those that were asked for."""
+    for rows in runs(batches, "k", "part"):
+        k, part = rows[0]["k"], rows[0]["part"]
+        masses = [r for r in rows if r["kind"] == "mass"]
+        every, weight = np.empty(0, U64), np.empty(0)
+        if masses:
+            every, which = np.unique(np.concatenate([unpack_keys(r["keys"]) for r in masses]), return_inverse=True)
+            seen, lower = (np.bincount(which, weights=np.concatenate([unpack(r[c], np.float64) for r in masses])) for c in ("seen", "lower"))
+            weight = np.log10((1 - seen) / (1 - lower))
+            yield arrow([("weight", k, part, None, pack_keys(every), pack(weight))], WEIGHT_TYPES)
+        for r in rows:
+            if r["kind"] == "ask":
+                keys = unpack_keys(r["keys"])
+                value = np.zeros(len(keys))
+                if masses:
+                    at = np.minimum(np.searchsorted(every, keys), len(every) - 1)
+                    value = np.where(every[at] == keys, weight[at], 0.0)
+                yield arrow([("reply", k, part, r["block"], None, pack(value))], WEIGHT_TYPES)
 
 
 RESULT_TYPES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def finish_block(left: pa.Table, right: pa.Table, train_tokens: int) -> pa.Table:
+    """Adds the weights of backed-off tokens to their documents' scores."""
     made: list[tuple] = []
+    rows = left.to_pylist()
     answers = sorted(right.to_pylist(), key=lambda r: (r["k"], r["part"]))
-    for row in left.to_pylist():
-        a = pickle.loads(row["docs"])
-        score = unpack(a["score"], np.float64).copy()
-        for k in sorted({int(x[3:]) for x in a if x.startswith("ask")}):
-            which, doc = unpack(a[f"which{k}"], np.uint32), unpack(a[f"doc{k}"], np.uint32)
+    for row in (r for r in rows if r["kind"] == "docs"):
+        column = {c: unpack(row[c], kind) for c, kind in zip(DOC_COLUMNS, (np.int64, bool, bool, np.int64, np.int64, np.float64, np.float64), strict=True)}
+        score = column["score"].copy()
+        for asked in (r for r in rows if r["kind"] == "asked"):
+            which, doc = unpack(asked["which"], np.uint32), unpack(asked["doc"], np.uint32)
             if len(which):
-                by_part = {r["part"]: r["weights"] for r in answers if r["k"] == k}
-                weights = np.concatenate([unpack(by_part[p], np.float64) for p in sorted(by_part)])
+                weights = np.concatenate([unpack(r["weights"], np.float64) for r in answers if r["k"] == asked["k"]])
                 score += np.bincount(doc, weights=weights[which], minlength=len(score))
-        ids, has = unpack(a["ids"], np.int64).tolist(), unpack(a["has_id"], bool).tolist()
-        columns = (unpack(a["out"], bool), unpack(a["lengths"], np.int64), unpack(a["known"], np.int64))
-        n = len(ids)
-        made += zip([i if h else None for i, h in zip(ids, has, strict=True)], *(c.tolist() for c in columns), [train_tokens] * n, unpack(a["base"], np.float64).tolist(), score.tolist(), strict=True)
+        ids = [i if has else None for i, has in zip(column["ids"].tolist(), column["has_id"].tolist(), strict=True)]
+        made += zip(ids, *(column[c].tolist() for c in ("out", "lengths", "known")), [train_tokens] * len(ids), column["base"].tolist(), score.tolist(), strict=True)
     return pa.Table.from_batches([arrow(made, RESULT_TYPES)])
 
 
-def held_words(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    """Distinct contexts of held-out documents, as bits of a filter of fixed size."""
-    for _, _, _, flat, lengths, train in block_batches(batches):
-        block = Block(flat, lengths, train, order)
-        at = np.unique(common.bits_of(np.concatenate([block.keys[k] for k in range(1, max(2, order))]))).astype(np.int64)
-        words, cuts = np.unique(at >> 6, return_index=True)
-        values = np.bitwise_or.reduceat(U64(1) << (at & 63).astype(U64), cuts) if len(cuts) else np.empty(0, U64)
-        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(values.view(np.int64))], names=["w", "b"])
-
-
 def score(docs: DataFrame, order: int = 2, tables: str | None = None) -> DataFrame:
     """One row per document: its tokens and log10 probabilities under the base and the Katz model.
 
     ``docs``: doc_id, text, held_out (boolean); a table that reads alike each time.
-    ``tables``: folder for the n-gram tables, partitioned by kind and order.
+    ``tables``: folder for the model: n-gram counts in ``counts`` (kind = 'table') and log10
+    backoff weights of every context in ``backoff`` (kind = 'weight'), partitioned by order.
     """
     spark = docs.sparkSession
     common.bound_batches(spark)
-    # parts follow the size of the input, so that one part's keys stay a few million
-    parts = max(common.partitions(spark), 2 * docs._jdf.queryExecution().toRdd().getNumPartitions())
-    path = tables or common.shared_dir(spark, "katz-tables")
     docs = docs.select("doc_id", "text", "held_out")
-    asks = docs.mapInArrow(lambda b: ask_batches(b, order, parts), ASK_TYPES)
-    asks.groupBy("k", "part").applyInArrow(sum_part, TABLE_TYPES).write.partitionBy("kind", "k").parquet(path)
-    stored = spark.read.schema(TABLE_TYPES).parquet(path)
+    text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = -(-text_bytes // PART_BYTES) or 1
+    path = tables or common.shared_dir(spark, "katz-tables")
+    counts, backoff, scored = f"{path}/counts", f"{path}/backoff", f"{path}/scored"
+    asks = in_parts(docs.mapInArrow(common.tidy(lambda b: ask_batches(b, order, parts)), ASK_TYPES), parts, "block")
+    asks.mapInArrow(common.tidy(sum_batches), TABLE_TYPES).write.partitionBy("kind", "k").parquet(counts)
+    del asks
+    common.release(spark)
+    stored = spark.read.schema(TABLE_TYPES).parquet(counts)
     rows = stored.where("kind = 'table'").select("k", "keys", "counts").mapInArrow(count_batches, "k int, r int, n long, tokens long").groupBy("k", "r").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).collect()
     model = Discounts([tuple(r) for r in rows], order)
-    bits = docs.where("held_out").mapInArrow(lambda b: held_words(b, order), "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b"))
-    needed = spark.sparkContext.broadcast(common.bitset_of(bits))
 
-    texts = docs.mapInArrow(text_batches, BLOCK_TYPES)
+    texts = docs.mapInArrow(common.tidy(text_batches), BLOCK_TYPES)
     answers = stored.where("kind = 'answer'").select("block", "k", "part", "counts", "owned")
-    scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: score_block(a, b, order, parts, model, needed.value), SCORED_TYPES)
-    scored = common.written(scored, "katz-scored")
-    weights = scored.where("kind <> 'docs'").select("kind", "k", "part", "block", "keys", "seen", "lower").groupBy("k", "part").applyInArrow(weigh_part, "k int, part int, block long, weights binary")
-    finished = scored.where("kind = 'docs'").select("block", "docs").groupBy("block").cogroup(weights.groupBy("block"))
-    return finished.applyInArrow(lambda a, b: finish_block(a, b, model.tokens), RESULT_TYPES)
+    found = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: score_block(a, b, order, parts, model), SCORED_TYPES)
+    found.write.partitionBy("kind").parquet(scored)
+    common.remove(spark, f"{counts}/kind=answer")
+    del texts, answers, found
+    common.release(spark)
+    found = spark.read.schema(SCORED_TYPES).parquet(scored)
+    messages = in_parts(found.where("kind IN ('ask', 'mass')").select("kind", "k", "part", "block", "keys", "seen", "lower"), parts, "kind", "block")
+    messages.mapInArrow(common.tidy(weigh_batches), WEIGHT_TYPES).write.partitionBy("kind", "k").parquet(backoff)
+    for kind in ("ask", "mass"):
+        common.remove(spark, f"{scored}/kind={kind}")
+    del found, messages
+    common.release(spark)
+    replies = spark.read.schema(WEIGHT_TYPES).parquet(backoff).where("kind = 'reply'").select("k", "part", "block", "weights")
+    left = spark.read.schema(SCORED_TYPES).parquet(scored).select("kind", "k", "block", "which", "doc", *DOC_COLUMNS)
+    return left.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda a, b: finish_block(a, b, model.tokens), RESULT_TYPES)
 
 
 def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,20 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from dupescope.llm import katz
+import xxhash
+from dupescope.llm import common, katz
+
+
+def good_turing(n):
+    """Katz's discounts of counts 1 to 5 from the counts of counts 1 to 6: r* = (r + 1) n_(r + 1) / n_r, rescaled so that counts above 5 keep theirs."""
+    absolute = [(r - 0.5) / r for r in range(1, 6)]
+    if 0 in n:
+        return absolute
+    cut = 6 * n[5] / n[0]
+    if cut >= 1:
+        return absolute
+    d = [((r + 1) * n[r] / n[r - 1] / r - cut) / (1 - cut) for r in range(1, 6)]
+    return d if all(0 < x < 1 for x in d) else absolute
 
 
 def brute(docs, order):
@@ -26,8 +39,8 @@ def brute(docs, order):
     d = {}
     for k in range(1, order + 1):
         n = Counter(grams[k].values())
-        d[k] = katz.Discounts.katz([0] + [n[r] for r in range(1, katz.SMALL + 2)])
-    mass = lambda k, c: c - 0.1 if c > katz.SMALL else d[k][c - 1] * c
+        d[k] = good_turing([n[r] for r in range(1, 7)])
+    mass = lambda k, c: c - 0.1 if c > 5 else d[k][c - 1] * c
     followers = {k: defaultdict(list) for k in range(2, order + 1)}
     for k in followers:
         for g in grams[k]:
@@ -57,7 +70,7 @@ def brute(docs, order):
             base += math.log10((c + 0.5) / (n_all + 0.5 * (types + 1)))
             score += math.log10(p(order, tuple(s[q - order + 1 : q + 1])))
         out[i] = (len(s) - order + 1, known, n_all, base, score)
-    return out, p, grams, unknown
+    return out, p, grams, alpha
 
 
 def texts(n=160, seed=3):
@@ -71,7 +84,7 @@ def texts(n=160, seed=3):
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_matches_brute_force(spark, order):
     docs = texts()
-    expected, p, grams, unknown = brute(docs, order)
+    expected, p, grams, _ = brute(docs, order)
     got = katz.score(spark.createDataFrame(docs, "doc_id long, text string, held_out boolean").repartition(3, "doc_id").sortWithinPartitions("doc_id"), order).collect()
     assert len(got) == len(docs)
     for r in got:
@@ -84,6 +97,37 @@ def test_matches_brute_force(spark, order):
             assert sum(p(order, (*ctx, w)) for (w,) in grams[1]) + p(order, (*ctx, "?")) == pytest.approx(1)
 
 
+def test_good_turing():
+    # d(r) = (r*/r - cut) / (1 - cut) worked by hand: cut = 6 * 2 / 100
+    d = katz.Discounts.katz([0, 100, 40, 22, 14, 8, 2])
+    assert d == pytest.approx([(0.8 - 0.12) / 0.88, (0.825 - 0.12) / 0.88, (56 / 66 - 0.12) / 0.88, (40 / 56 - 0.12) / 0.88, (12 / 40 - 0.12) / 0.88])
+    assert d == pytest.approx(good_turing([100, 40, 22, 14, 8, 2]))
+    assert katz.Discounts.katz([0, 5, 0, 1, 1, 1, 1]) == pytest.approx([0.5, 0.75, 2.5 / 3, 3.5 / 4, 0.9])
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_stored_weights_of_all_contexts(spark, tmp_path, order, monkeypatch):
+    monkeypatch.setattr(katz, "PART_BYTES", 900)  # several parts
+    docs = texts(60)
+    _, _, grams, alpha = brute(docs, order)
+    katz.score(spark.createDataFrame(docs, "doc_id long, text string, held_out boolean"), order, str(tmp_path / "m")).collect()
+    stored, counted = {}, {}
+    for r in spark.read.schema(katz.WEIGHT_TYPES).parquet(str(tmp_path / "m" / "backoff")).where("kind = 'weight'").collect():
+        keys = katz.unpack_keys(r["keys"]).tolist()
+        assert not set(keys) & set(stored) or r.k != order
+        stored |= {(r.k, k): w for k, w in zip(keys, katz.unpack(r.weights, np.float64), strict=True)}
+    for r in spark.read.schema(katz.TABLE_TYPES).parquet(str(tmp_path / "m" / "counts")).where("kind = 'table'").collect():
+        counted |= {(r.k, k): int(c) for k, c in zip(katz.unpack_keys(r["keys"]).tolist(), katz.unpack(r.counts, np.int64), strict=True)}
+    hash_of = lambda w: katz.BEGIN if w == "<b>" else katz.END if w == "<e>" else np.uint64(xxhash.xxh3_64_intdigest(w.encode()))
+    key = lambda g: int(common.windows(np.array([hash_of(w) for w in g], np.uint64), len(g))[0])
+    for k in range(2, order + 1):
+        contexts = {g[:-1] for g in grams[k]}
+        assert len([x for x in stored if x[0] == k]) == len(contexts)
+        for ctx in contexts:
+            assert stored[k, key(ctx)] == pytest.approx(math.log10(alpha(k, ctx)), abs=1e-9)
+    assert all(counted[k, key(g)] == c for k in grams for g, c in grams[k].items())
+
+
 def test_no_training_rows_and_nulls(spark):
     rows = [(1, "a b", True), (None, None, False)]
     got = {r.doc_id: r for r in katz.score(spark.createDataFrame(rows[:1], "doc_id long, text string, held_out boolean")).collect()}
