@@ -227,13 +227,14 @@ def document_batches(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, size
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, coverage, windows, run, exact of each contaminated pair."""
     spark = docs.sparkSession
+    common.bound_batches(spark)
     items = common.written(benchmark.select("item_id", "text").mapInArrow(item_batches, WINDOW_TYPES).distinct(), "benchmark-windows")
     # items shorter than a window need windows of their own length
     short = benchmark.select("text").mapInArrow(short_sizes, "n int").distinct().collect()  # three sizes at most
     sizes = [WINDOW, *sorted(r.n for r in short)]
     wanted = spark.sparkContext.broadcast(common.filter_of(items.select("h")))
     reach = items.agg(F.max("total")).first()[0] or 0
-    hits = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(lambda b: document_batches(b, wanted.value, sizes, reach), HIT_TYPES)
+    hits = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(common.tidy(lambda b: document_batches(b, wanted.value, sizes, reach)), HIT_TYPES)
     joined = hits.join(items, ["h", "family"]).select("doc_id", "item_id", "family", (F.col("doc_at") - F.col("at")).alias("shift"), "at", "total", "strong", F.arrays_zip("slots", "doc_slots").alias("pairs"))
     # one alignment holds at most the item's windows, so its sets are bounded by the item
     strong = lambda c: F.when(F.col("strong"), F.col(c))

@@ -1,5 +1,8 @@
 """Operator 9: templates, slots, coverage, special rows."""
 
+import random
+import re
+
 import duckdb
 import pytest
 from dupescope.llm import decontaminate
@@ -56,6 +59,66 @@ def test_items_of_many_slots(spark):
     assert set(got) == {(1, 1), (5, 1)} and got[1, 1].coverage == 1
 
 
+def test_long_texts_ties_and_clashing_columns(spark):
+    filler = "plain words go on and on without any question at all " * 20_000
+    docs = [(1, filler + QUESTION + filler, 5), (2, filler, 5), (3, QUESTION, 5), (3, QUESTION, 5)]
+    got, d, b = run(spark, docs, [(1, QUESTION), (2, QUESTION), (2, QUESTION)])  # two items of one text tie
+    assert set(got) == {(i, j) for i in (1, 3) for j in (1, 2)} and all(r.exact and r.coverage == 1 for r in got.values())
+    clash = d.selectExpr("doc_id", "text", "item_id", "1 AS h", "2 AS family", "3 AS total")
+    kept = decontaminate.drop_contaminated(clash, b)
+    assert kept.columns == clash.columns and [r.doc_id for r in kept.collect()] == [2]
+
+
+def brute_template(text):
+    """Typed tokens of a text whose sentences begin with common words: names, numbers and units by rule."""
+    out = []
+    for w in re.findall(r"[A-Za-z]+|[.?!]|\d+", text):
+        if w in ".?!":
+            out.append(None)
+        elif w.isdigit():
+            out.append(("#", w))
+        elif w.lower() in decontaminate.UNITS:
+            out.append(("u", w.lower()))
+        elif w[0].isupper() and out and out[-1] is not None:
+            out.append(("@", w.lower()))
+        else:
+            out.append((w.lower(), ""))
+    return [t for t in out if t is not None]
+
+
+def test_template_windows_by_brute_force(spark):
+    """Every document against every item: all alignments, slots filled one to one, windows of eight with four literals."""
+    rng = random.Random(11)
+    names, units = ["Anna", "Bob", "Carl", "Dora", "Emil"], ["kg", "miles", "hours"]
+    verbs = "then quickly buys sells gives takes holds moves carries finds".split()
+
+    def question(r):
+        parts = [f"the clerk saw {r.choice(names)} who {r.choice(verbs)} {r.randint(2, 99)} {r.choice(units)} of {r.choice(verbs)} goods near the old town" for _ in range(r.randint(1, 2))]
+        return ". ".join(parts) + "?"
+
+    items = [(i, question(rng)) for i in range(12)]
+    docs = []
+    for i, q in items:
+        swap = dict(zip(names, rng.sample(names, 5), strict=True))
+        exchanged = re.sub("|".join(names), lambda m: swap[m[0]], re.sub(r"\d+", lambda m: str(int(m[0]) + 100), q))  # noqa: B023
+        docs += [(10 * i, exchanged, 0), (10 * i + 1, q.replace("clerk", "man").replace("goods", "cloth").replace("old", "new"), 0), (10 * i + 2, question(rng), 0)]
+    expected = set()
+    for d, text, _ in docs:
+        t = brute_template(text)
+        for i, q in items:
+            s = brute_template(q)
+            covered = set()
+            for shift in range(-len(s), len(t)):
+                hits = [a for a in range(len(s) - 7) if 0 <= a + shift <= len(t) - 8 and [x[0] for x in s[a : a + 8]] == [x[0] for x in t[a + shift : a + shift + 8]] and sum(x[0] not in "#u@" for x in s[a : a + 8]) >= 4]
+                pairs = {(s[a + k], t[a + shift + k]) for a in hits for k in range(8) if s[a + k][0] in "#u@"}
+                if len({x for x, _ in pairs}) == len(pairs):
+                    covered |= set(hits)
+            if 2 * len(covered) >= len(s) - 7:
+                expected.add((d, i))
+    got, *_ = run(spark, docs, items)
+    assert set(got) == expected and len(expected) >= 12
+
+
 def test_empty_tables(spark):
     assert run(spark, [], [(1, QUESTION)])[0] == {} and run(spark, [(1, QUESTION, 0)], [])[0] == {}
 
