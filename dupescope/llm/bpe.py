@@ -271,7 +271,8 @@ def digest_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
     """One row per document; no shuffle, memory bounded by a batch and the word cache."""
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: digest_batches(batches, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    common.bound_batches(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(common.tidy(lambda batches: digest_batches(batches, path)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -290,12 +291,14 @@ def decode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and the token ids of each text."""
-    return docs.select("doc_id", "text").mapInArrow(lambda b: encode_batches(b, path), "doc_id long, ids array<int>")
+    common.bound_batches(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(common.tidy(lambda b: encode_batches(b, path)), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and the decoded text of each row of ``encode``'s result."""
-    return encoded.select("doc_id", "ids").mapInArrow(lambda b: decode_batches(b, path), "doc_id long, text string")
+    common.bound_batches(encoded.sparkSession)
+    return encoded.select("doc_id", "ids").mapInArrow(common.tidy(lambda b: decode_batches(b, path)), "doc_id long, text string")
 
 
 def vocabulary_path() -> str:
