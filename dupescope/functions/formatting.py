@@ -9,7 +9,7 @@ UNITS = "KMGTPE"
 
 
 def format_bytes(size: Column) -> Column:
-    """``512 B``, ``1.2 KB``, ...: steps of 1024, one decimal, exact ties to even."""
+    """``512 B``, ``1.2 KB``, ...: steps of 1024, one decimal, exact ties to even; whole numbers of any type, EB being the last unit."""
     out = F.concat(size.cast("string"), F.lit(" B"))
     for k, unit in enumerate(UNITS, 1):
         scaled = F.format_string("%.1f", F.bround(size.cast("double") / float(1 << 10 * k), 1))

@@ -484,8 +484,8 @@ BYTES_SQL = "CASE " + " ".join(f"WHEN b >= {1 << 10 * k} THEN printf('%.1f {u}B'
 @query(f"SELECT id, {BYTES_SQL} AS size_text FROM (SELECT l_orderkey * 10 + l_linenumber AS id, CAST(l_orderkey * l_orderkey * l_partkey * (l_linenumber * l_linenumber - 3) AS BIGINT) AS v FROM lineitem) t, LATERAL (SELECT abs(v) AS b)")
 def format_bytes(spark, d):  # noqa: ANN001, ANN201
     items = spark.read.parquet(f"{d}/lineitem.parquet")
-    line = F.col("l_linenumber").cast("bigint")
-    size = F.abs(F.col("l_orderkey") * F.col("l_orderkey") * F.col("l_partkey") * (line * line - 3))
+    line, order = F.col("l_linenumber").cast("bigint"), F.col("l_orderkey").cast("decimal(38,0)")
+    size = F.abs(order * order * F.col("l_partkey") * (line * line - 3))  # beyond 64 bits from some millions of orders
     return items.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), formatting.format_bytes(size).alias("size_text"))
 
 
