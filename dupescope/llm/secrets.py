@@ -7,9 +7,9 @@ repeats, keyboard walks and brute-force characters so that the guesses an attack
 needs, as a sum of log10 costs, are fewest.  A value that even then costs
 ``MIN_GUESSES_LOG10`` or more is a secret.
 
-The dictionary is learnt: words of letters from a bounded sample of the documents, ranked by
-the number of documents that hold them, at most ``DICTIONARY`` of them, behind a few fixed
-password words.  It is some hundred kB, and is broadcast.
+The dictionary is learnt: words of letters, ranked by the number of documents that hold them,
+counted over every document's whole text; the first ``DICTIONARY`` of that ranking stand behind
+a few fixed password words.  It is some hundred kB, and is broadcast.
 
 Defined results: a null or empty text has no spans (and the SHA-256 of '' as base
 digest).  Offsets are code points, end exclusive.  An added span that lies within a
@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from datetime import date
 
@@ -55,9 +56,13 @@ superman batman trustno iloveyou login hello freedom whatever secret test guest
 example token love summer winter spring autumn server database oracle mysql postgres system manager access
 private public internal company office account service client hunter ranger buster soccer hockey killer george
 charlie andrew michelle jessica daniel thomas jordan pepper ginger cookie flower orange banana computer internet""".split()
-#: Learnt words at most, their letters, the documents that must hold one, and the sample they come from.
+#: Learnt words at most, their letters, and the documents that must hold one.
 DICTIONARY, WORD_LETTERS, WORD_DOCUMENTS = 20_000, (4, 20), 5
-SAMPLE_DOCUMENTS, SAMPLE_BYTES = 4000, 32 << 10
+WORD = re.compile(f"[a-z]{{{WORD_LETTERS[0]},}}")
+#: Characters of a text that are searched for words at once; a piece ends at a character that no word has.
+PIECE, NO_LETTER = 1 << 20, re.compile(r"[\x00-\x40]")
+#: Words counted in a task before their counts go to the exchange.
+HELD_WORDS = 500_000
 #: Usual replacements of letters: fixed values.
 LEET = str.maketrans("0134578@$!", "oieastbasi")
 #: Rows of neighbouring keys, and the usual sequences: fixed values.
@@ -292,16 +297,49 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*parts, text[at:]])
 
 
+def distinct_words(text: str) -> set[str]:
+    """The words of a whole text that the dictionary may hold; memory grows with the distinct ones."""
+    found: set[str] = set()
+    begin, most = 0, WORD_LETTERS[1]
+    while begin < len(text):
+        cut = NO_LETTER.search(text, begin + PIECE)
+        end = cut.end() if cut else len(text)
+        found.update(WORD.findall(text[begin:end].lower()))
+        begin = end
+    return {w for w in found if len(w) <= most}
+
+
+def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, documents that hold it), in parts that add up."""
+    part = lambda c: pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], names=["w", "n"])
+    counts: Counter[str] = Counter()
+    for (texts,) in common.rows(batches, "text"):
+        for text in texts:
+            counts.update(distinct_words(text))
+            if len(counts) > HELD_WORDS:
+                yield part(counts)
+                counts = Counter()
+    yield part(counts)
+
+
 def learn_words(docs: DataFrame) -> list[str]:
-    """The dictionary of the sample, most frequent words first: native expressions, at most DICTIONARY rows reach the driver."""
-    known = docs.where("doc_id is not null and text is not null").where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "text")
-    total = known.count()
-    unit = F.xxhash64("doc_id", F.lit("words")).bitwiseAND((1 << 52) - 1) / float(1 << 52)
-    chosen = known.where(unit < min(1.0, SAMPLE_DOCUMENTS / max(1, total)))
-    words = chosen.select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("w"))
-    low, high = WORD_LETTERS
-    counts = words.where(F.length("w").between(low, high)).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= WORD_DOCUMENTS)
-    return [r.w for r in counts.orderBy(F.desc("n"), "w").limit(DICTIONARY).collect()]
+    """The dictionary of all documents, most frequent words first, ties by word.
+
+    Counts are exact.  How many words have each count is asked first (distinct counts are at most
+    the root of twice their sum), so that only words that may be among the first reach the driver.
+    """
+    common.bound_batches(docs.sparkSession)
+    parts = docs.where("doc_id is not null and text is not null").select("text").mapInArrow(common.tidy(count_batches), "w string, n long")
+    tables = common.Workspace(docs.sparkSession, "secrets")
+    counts = tables.write(parts.groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= WORD_DOCUMENTS), "words")
+    least, above = WORD_DOCUMENTS, 0
+    for n, words in sorted(map(tuple, counts.groupBy("n").count().collect()), reverse=True):
+        least, above = n, above + words
+        if above >= DICTIONARY:
+            break
+    found = [r.w for r in counts.where(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(DICTIONARY).collect()]
+    tables.drop(counts)
+    return found
 
 
 def scan_batches(batches: Iterator[pa.RecordBatch], least: float, words: Dictionary) -> Iterator[pa.RecordBatch]:
@@ -322,7 +360,7 @@ def shared_words(docs: DataFrame) -> Broadcast:
 
 
 def scan(docs: DataFrame, least: float = MIN_GUESSES_LOG10) -> DataFrame:
-    """One row per document with its spans; no shuffle of texts."""
+    """One row per document with its spans; of the texts only counts of words are shuffled."""
     words = shared_words(docs)
     return docs.select("doc_id", "text").mapInArrow(common.tidy(lambda b: scan_batches(b, least, words.value)), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 

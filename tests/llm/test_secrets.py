@@ -3,7 +3,9 @@
 import hashlib
 import math
 import re
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from dupescope.llm import secrets
 from hypothesis import given, settings
@@ -112,6 +114,38 @@ def test_learnt_words(spark):
     assert secrets.learn_words(spark.createDataFrame([], "doc_id long, text string")) == []
 
 
+def test_words_are_learnt_from_every_document_and_whole_texts(spark):
+    rows = [(i, f"house {'dishwasher' if i >= 8995 else 'garden'}") for i in range(9000)] + [(10_000 + i, "the " * 20_000 + "Mississippi") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = ["house", "garden", "dishwasher", "mississippi"]
+    assert secrets.learn_words(docs) == expected
+    value = "-dishwasher-mississippi-"
+    texts = [(i, f"{t} pwd={value}" if i == 3 else t) for i, t in rows]
+    got = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(texts, "doc_id long, text string")).where("doc_id = 3").collect()}
+    assert got == {3: ""} and secrets.guess_cost(value)[0] >= secrets.MIN_GUESSES_LOG10
+
+
+def test_words_by_brute_force_whatever_the_pieces(monkeypatch):
+    text = "abcD\u212aelvin-Wörter éabcd " + "x" * 21 + " " + "y" * 20 + "9İstanbul_abc " + "abcd " * 9 + "\u017fecret ẞabcd"
+    expected = {w for w in re.split("[^a-z]+", text.lower()) if 4 <= len(w) <= 20}
+    for piece in (0, 1, 2, 3, 7, 1000):
+        monkeypatch.setattr(secrets, "PIECE", piece)
+        assert secrets.distinct_words(text) == expected
+    monkeypatch.setattr(secrets, "HELD_WORDS", 2)
+    total = Counter()
+    for part in secrets.count_batches(iter([pa.RecordBatch.from_pydict({"text": [text, text, "", "abcd"]})] * 3)):
+        total.update(dict(zip(*part.to_pydict().values(), strict=True)))
+    assert total == Counter({w: 6 for w in expected}) + Counter({"abcd": 3})
+
+
+def test_the_first_words_of_the_ranking(spark, monkeypatch):
+    held = {"aaaa": 9, "bbbb": 7, "cccc": 7, "dddd": 6, "eeee": 6, "ffff": 6, "gggg": 5, "hhhh": 4}
+    docs = spark.createDataFrame([(i, " ".join(w for w, n in held.items() if n > i)) for i in range(9)], "doc_id long, text string")
+    for most in range(1, 9):
+        monkeypatch.setattr(secrets, "DICTIONARY", most)
+        assert secrets.learn_words(docs) == list(held)[: min(most, 7)]
+
+
 def test_end_of_a_long_walk_leaves_a_word_whole():
     value = "as" * 30 + "dragon"  # the walk goes on into the word: s, d
     assert secrets.guess_cost(value)[1] == [(0, 60, "walk"), (60, 66, "word")]
