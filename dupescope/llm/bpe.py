@@ -51,6 +51,7 @@ class PairIndexBpe:
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str, pattern: str, specials: dict[str, int], path: str | None = None):
         self.path = path
         self.names = {i: t for t, i in vocab.items()} | {i: t for t, i in specials.items()}
+        self.digits = {i: str(i) for i in self.names}
         self.specials = specials
         self.special_ids = set(specials.values())
         self.opening = os.path.commonprefix(list(specials))  # a text without it has no special token
@@ -222,13 +223,22 @@ def chunk_lines(model: PairIndexBpe, new: Iterable[str]) -> Iterator[tuple[str,
     words = list({p for _, pieces in cut for p in pieces}.difference(model.special_ids))
     lines: dict[str | int, tuple[str, str]] = {i: (str(i), model.decode([i])) for i in model.special_ids}
     for word, tokens in zip(words, model.encode_words(words), strict=True):
-        lines[word] = " ".join(map(str, tokens)), model.decode(tokens)
+        if len(tokens) == 1:
+            lines[word] = model.digits[tokens[0]], model.names[tokens[0]]
+        else:
+            lines[word] = " ".join([model.digits[i] for i in tokens]), model.decode(tokens)
     for chunk, pieces in cut:
         if len(pieces) == 1:
-            yield chunk, *lines[pieces[0]]
-        else:
-            found = [lines[p] for p in pieces]
-            yield chunk, " ".join(filter(None, (x for x, _ in found))), " ".join(filter(None, (x for _, x in found)))
+            ids, plain = lines[pieces[0]]
+            yield chunk, ids, plain
+            continue
+        if len(pieces) == 2:
+            (ids, plain), (more, beyond) = lines[pieces[0]], lines[pieces[1]]
+            if ids and more:
+                yield chunk, f"{ids} {more}", f"{plain} {beyond}"
+                continue
+        found = [x for p in pieces if (x := lines[p])[0]]
+        yield chunk, " ".join([x for x, _ in found]), " ".join([x for _, x in found])
 
 
 def digest_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
