@@ -18,7 +18,8 @@ import heapq
 import json
 import os
 import unicodedata
-from collections.abc import Iterable, Iterator, Sequence
+from array import array
+from collections.abc import Collection, Iterable, Iterator, Sequence
 from functools import cached_property
 
 import numpy as np
@@ -98,7 +99,12 @@ class PairIndexBpe:
         return np.where(found, self.order[np.minimum(at, len(self.order) - 1)], len(self.order))
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Token ids of each word, through one pair occurrence index over all of them."""
+        """Token ids of each word."""
+        ids, ends = self.merged(words)
+        return [ids[begin:end].tolist() for begin, end in zip([0, *ends], ends, strict=False)]
+
+    def merged(self, words: Collection[str]) -> tuple[array, array]:
+        """The token ids of all words, one after the other, through one pair occurrence index over them; where each word's end."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         sizes = np.array([len(x) for x in raw], dtype=np.int64)
         text = np.frombuffer(b"".join(raw), dtype=np.uint8)
@@ -108,18 +114,18 @@ class PairIndexBpe:
         sym[ends] = self.last[text[ends]]
         known = sym >= 0
         sym, owner = sym[known], owner[known]
+        word_ends = np.cumsum(np.bincount(owner, minlength=len(words)))
         n = len(sym)
-        out: list[list[int]] = [[] for _ in words]
         if not n:
-            return out
+            return array("i"), array("i", bytes(4 * len(words)))
         # position n stands for "none": its symbol is in no rule
         sym = np.append(sym, np.int32(self.base - 1))
         same = owner[1:] == owner[:-1]
-        place = np.arange(n + 1, dtype=np.int32)
+        place = np.arange(n, dtype=np.int32)
         after, before = (np.full(n + 1, n, np.int32) for _ in range(2))
-        after[: n - 1][same] = place[1:n][same]
+        after[: n - 1][same] = place[1:][same]
         before[1:n][same] = place[: n - 1][same]
-        del text, known, same, raw
+        del text, known, same, raw, sizes, ends, owner, place
         index: dict[int, list[np.ndarray]] = {}
         active: list[int] = []
 
@@ -141,7 +147,7 @@ class PairIndexBpe:
                 begin = end
 
         for begin in range(0, n, 1 << 18):
-            add(place[begin : min(begin + (1 << 18), n)])
+            add(np.arange(begin, min(begin + (1 << 18), n), dtype=np.int32))
         while active:
             r = heapq.heappop(active)
             lists = index.pop(r)
@@ -163,13 +169,8 @@ class PairIndexBpe:
             after[at], before[beyond] = beyond, at
             add(np.concatenate([before[at], at]))
         alive = sym[:n] >= 0
-        ids, owner = sym[:n][alive], owner[alive]
-        cuts = np.flatnonzero(owner[1:] != owner[:-1]) + 1
-        begins = np.append(0, cuts).tolist()
-        flat = ids.tolist()
-        for w, begin, end in zip(owner[begins].tolist(), begins, [*begins[1:], len(flat)], strict=True):
-            out[w] = flat[begin:end]
-        return out
+        ends = np.append(0, np.cumsum(alive))[word_ends]
+        return array("i", sym[:n][alive].tobytes()), array("i", ends.astype(np.int32).tobytes())
 
     def pieces(self, text: str) -> list[str | int]:
         """Special ids and words of a text, in order, after NFC and lower-casing."""
@@ -208,75 +209,115 @@ def chunks(text: str | None) -> list[str]:
     return [c for c in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if c] if text else []
 
 
-def chunk_lines(model: PairIndexBpe, new: Iterable[str]) -> Iterator[tuple[str, str, str]]:
-    """(chunk, its ids, its decoded text) of each chunk; all their words share one index."""
-    cut: list[tuple[str, Sequence[str | int]]] = []
-    for chunk in new:
-        if not chunk.isascii():
-            cut.append((chunk, model.pieces(chunk)))
-        elif chunk.isalpha():  # one word
-            cut.append((chunk, (chunk.lower(),)))
-        elif chunk[-1] in ".,!?;:" and chunk[:-1].isalpha():  # a word and a mark
-            cut.append((chunk, (chunk[:-1].lower(), chunk[-1])))
-        else:
-            cut.append((chunk, model.pieces(chunk)))
-    words = list({p for _, pieces in cut for p in pieces}.difference(model.special_ids))
-    lines: dict[str | int, tuple[str, str]] = {i: (str(i), model.decode([i])) for i in model.special_ids}
-    for word, tokens in zip(words, model.encode_words(words), strict=True):
-        if len(tokens) == 1:
-            lines[word] = model.digits[tokens[0]], model.names[tokens[0]]
-        else:
-            lines[word] = " ".join([model.digits[i] for i in tokens]), model.decode(tokens)
-    for chunk, pieces in cut:
-        if len(pieces) == 1:
-            ids, plain = lines[pieces[0]]
-            yield chunk, ids, plain
-            continue
-        if len(pieces) == 2:
-            (ids, plain), (more, beyond) = lines[pieces[0]], lines[pieces[1]]
-            if ids and more:
-                yield chunk, f"{ids} {more}", f"{plain} {beyond}"
-                continue
-        found = [x for p in pieces if (x := lines[p])[0]]
-        yield chunk, " ".join([x for x, _ in found]), " ".join([x for _, x in found])
+class ChunkLines:
+    """Ids and decoded text of chunks whose words share one index (``add`` them, then ``merge``).
 
+    Tokens are kept as numbers; a chunk's two strings are made when they are asked for, so
+    that those of a whole batch never exist at once.
+    """
 
-def digest_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row.
+    def __init__(self, model: PairIndexBpe):
+        self.model = model
+        #: pieces of the chunks that are neither a word nor a word and a mark
+        self.cut: dict[str, Sequence[str | int]] = {}
+        self.words: set[str | int] = set()
+
+    @staticmethod
+    def plain(chunk: str) -> tuple[str, ...] | None:
+        if chunk.isascii():
+            if chunk.isalpha():  # one word
+                return (chunk.lower(),)
+            if chunk[-1] in ".,!?;:" and chunk[:-1].isalpha():  # a word and a mark
+                return chunk[:-1].lower(), chunk[-1]
+        return None
+
+    def add(self, chunks: Iterable[str]) -> None:
+        for chunk in chunks:
+            if (pieces := self.plain(chunk)) is None:
+                pieces = self.cut[chunk] = tuple(self.model.pieces(chunk))
+            self.words.update(pieces)
+
+    def merge(self) -> None:
+        self.at = {word: i for i, word in enumerate(self.words - self.model.special_ids)}
+        del self.words
+        self.ids, self.ends = self.model.merged(self.at.keys())
+
+    def of(self, chunk: str) -> tuple[str, str]:
+        """The chunk's ids and its decoded text; both are '' if it has no token."""
+        found: list[int] = []
+        for piece in self.plain(chunk) or self.cut[chunk]:
+            if isinstance(piece, int):
+                found.append(piece)
+            else:
+                i = self.at[piece]
+                found += self.ids[self.ends[i - 1] if i else 0 : self.ends[i]]
+        if len(found) == 1:
+            return self.model.digits[found[0]], self.model.names[found[0]]
+        return " ".join(map(self.model.digits.__getitem__, found)), " ".join(map(self.model.names.__getitem__, found))
+
+
+class Digests:
+    """n_tokens, ids_sha256, decoded_sha256 of texts.
 
     A chunk that several texts of a batch hold is remembered for the next batches; the many
-    that one text holds are forgotten with the batch.
+    that one text holds are forgotten with the text.
     """
-    model = PairIndexBpe.from_file(path)
-    ids: dict[str, str] = {}
-    decoded: dict[str, str] = {}
-    for batch in common.gathered(batches, "text", BATCH_BYTES):
-        texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+
+    def __init__(self, model: PairIndexBpe):
+        self.model = model
+        self.ids: dict[str, str] = {}
+        self.decoded: dict[str, str] = {}
+
+    def of(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
+        lines, again = self.lines(texts)
+        out = [self.digest(text, lines, again) for text in texts]
+        if len(self.ids) > CACHE_WORDS:
+            self.forget(again.intersection(self.ids))
+        return out
+
+    def lines(self, texts: list[str | None]) -> tuple[ChunkLines, set[str]]:
+        """The chunks of the texts that aren't remembered, and those of them that several texts hold."""
         new: set[str] = set()
         again: set[str] = set()
         for text in texts:
-            found = set(chunks(text)).difference(ids)
+            found = set(chunks(text)).difference(self.ids)
             again.update(found & new)
             new |= found
-        for chunk, line, plain in chunk_lines(model, new):
-            ids[chunk], decoded[chunk] = line, plain
-        blank = {c for c in new if not ids[c]}  # chunks without a token
-        counts, first, second = [], [], []
-        for text in texts:
-            cut = chunks(text)
-            if not blank.isdisjoint(cut):
-                cut = [c for c in cut if c not in blank]
-            line = " ".join(map(ids.__getitem__, cut))
-            counts.append(line.count(" ") + 1 if line else 0)
-            first.append(hashlib.sha256(line.encode()).hexdigest())
-            second.append(hashlib.sha256(" ".join(map(decoded.__getitem__, cut)).encode()).hexdigest())
-        for chunk in blank.union(new if len(ids) - len(new) + len(again) > CACHE_WORDS else new - again):
-            del ids[chunk], decoded[chunk]
-        del texts, new, again
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(batch.schema.get_field_index("doc_id")), pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())],
-            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
+        lines = ChunkLines(self.model)
+        lines.add(new)
+        del new
+        lines.merge()
+        return lines, again
+
+    def digest(self, text: str | None, lines: ChunkLines, again: set[str]) -> tuple[int, str, str]:
+        ids, decoded = self.ids, self.decoded
+        cut = chunks(text)
+        found = set(cut).difference(ids)
+        for chunk in found:
+            ids[chunk], decoded[chunk] = lines.of(chunk)
+        blank = {c for c in found if not ids[c]}  # chunks without a token
+        if blank:
+            cut = [c for c in cut if c not in blank]
+        line = " ".join(map(ids.__getitem__, cut))
+        beyond = " ".join(map(decoded.__getitem__, cut))
+        self.forget(blank.union(found - again))
+        return line.count(" ") + 1 if line else 0, hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(beyond.encode()).hexdigest()
+
+    def forget(self, chunks: set[str]) -> None:
+        for chunk in chunks:
+            del self.ids[chunk], self.decoded[chunk]
+
+
+def digest_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row."""
+    digests = Digests(PairIndexBpe.from_file(path))
+    for batch in common.gathered(batches, "text", BATCH_BYTES):
+        doc_ids, texts = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text"))
+        texts = texts.to_pylist()
+        del batch  # its bytes are in the texts now
+        counts, first, second = zip(*digests.of(texts), strict=True) if texts else ((), (), ())
+        del texts
+        yield pa.RecordBatch.from_arrays([doc_ids, pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:

@@ -182,8 +182,9 @@ def gathered(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterat
     for batch in slices(batches, text, limit):
         more = batch.column(batch.schema.get_field_index(text)).nbytes
         if held and size + more > limit:
-            yield pa.concat_batches(held)
-            held, size = [], 0
+            piece, held, size = pa.concat_batches(held), [], 0
+            yield piece
+            del piece
         held.append(batch)
         size += more
     if held:

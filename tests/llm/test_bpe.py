@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from dupescope.llm import bpe
 from tokenizers import Tokenizer
@@ -57,3 +59,18 @@ def test_rules_out_of_order_are_refused():
     vocab = {"a": 0, "b": 1, "c": 2, "ab": 3, "abc": 4}
     with pytest.raises(ValueError):
         bpe.PairIndexBpe(vocab, [("ab", "c"), ("a", "b")], "", r"\S+", {})
+
+
+def test_strings_of_a_batch_never_exist_at_once(library):
+    rng = random.Random(1)
+    texts = [" ".join("".join(rng.choices("etaoinshr", k=9)) for _ in range(400)) for _ in range(250)]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(len(t))), "text": pa.array(t, pa.string())}) for t in (texts, [])]
+    tracemalloc.start()
+    found, nothing = ([r for out in bpe.digest_batches(iter([b]), PATH) for r in out.to_pylist()] for b in batches)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 75e6  # 100,000 words, nearly all distinct; the vocabulary and the pair index are in it
+    assert nothing == []
+    for text, row in zip(texts[:20], found, strict=False):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert row["n_tokens"] == len(ids) and row["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
