@@ -11,6 +11,7 @@ from .decontaminate import op9_decontamination
 from .jaccard import OP10_SQL, op10_jaccard_join
 from .katz import op3_katz
 from .language import op5_language
+from .phrases import OP12_SQL, op12_collocations
 from .quality import op8_quality_rules
 from .secrets import op7_secrets
 from .shards import op4_training_order
@@ -28,8 +29,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_jaccard_join": op10_jaccard_join,
+    "op12_collocations": op12_collocations,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": OP2_SQL,
     "op10_jaccard_join": OP10_SQL,
+    "op12_collocations": OP12_SQL,
 }
