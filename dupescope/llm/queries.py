@@ -11,8 +11,10 @@ from .decontaminate import op9_decontamination
 from .jaccard import OP10_SQL, op10_jaccard_join
 from .katz import op3_katz
 from .language import op5_language
+from .negatives import OP11_SQL, op11_hard_negatives
 from .phrases import OP12_SQL, op12_collocations
 from .quality import op8_quality_rules
+from .repeats import op13_repeats
 from .secrets import op7_secrets
 from .shards import op4_training_order
 from .toxicity import op6_toxicity
@@ -29,10 +31,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_collocations": op12_collocations,
+    "op13_repeats": op13_repeats,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": OP2_SQL,
     "op10_jaccard_join": OP10_SQL,
+    "op11_hard_negatives": OP11_SQL,
     "op12_collocations": OP12_SQL,
 }
