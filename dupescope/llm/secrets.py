@@ -7,14 +7,16 @@ repeats, keyboard walks and brute-force characters so that the guesses an attack
 needs, as a sum of log10 costs, are fewest.  A value that even then costs
 ``MIN_GUESSES_LOG10`` or more is a secret.
 
-The dictionary is learnt: words of letters, ranked by the number of documents that hold them,
-counted over every document's whole text; the first ``DICTIONARY`` of that ranking stand behind
-a few fixed password words.  It is some hundred kB, and is broadcast.
+The dictionary is learnt: words of letters, ranked by the number of different texts that hold them
+outside of credential values, counted over every document's whole text; the first ``DICTIONARY``
+of that ranking stand behind a few fixed password words.  So a secret is not learnt from its own
+copies, however many documents repeat it.  The dictionary is some hundred kB, and is broadcast.
 
 Defined results: a null or empty text has no spans (and the SHA-256 of '' as base
 digest).  Offsets are code points, end exclusive.  An added span that lies within a
-base span is left out.  Spans sort by start, then kind in the order of KINDS, then end.
-Values are costed whole, however long.
+base span is left out, and so is a value that only names where the secret comes from
+(``${NAME}``, ``<your password>``, ``****``).  Spans sort by start, then kind in the order of KINDS,
+then end.  Values are costed whole, however long.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from datetime import date
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +50,17 @@ CONTEXT = re.compile(
     r"""|bearer\x20+([A-Za-z0-9._~+/=-]{16,})""",
     re.ASCII | re.IGNORECASE,
 )
-#: Every match of ASSIGN or CONTEXT holds one of these.
-CUES = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "bearer")
+#: Other places of a value: user info of an address, a flag of a command, a sentence.
+PLACES = (
+    CONTEXT,
+    re.compile(r"""[a-z][a-z0-9+.-]{1,20}://[^\s:/@"']{1,100}:([^\s/@"']{6,})@""", re.ASCII | re.IGNORECASE),
+    re.compile(r"""(?<![A-Za-z0-9])--?(?:password|passwd|pass|pwd|passphrase|secret|token|(?:api|access|private)[_-]?key)\x20+(?:"([^"\n]{6,})"|'([^'\n]{6,})'|([^\s"',;<>-][^\s"',;<>]{5,}))""", re.ASCII | re.IGNORECASE),
+    re.compile(r"""\b(?:password|passphrase|passcode|secret|token|(?:api|access|private)[\x20_-]?key)\x20+is:?\x20+(?:"([^"\n]{6,})"|'([^'\n]{6,})'|([^\s"',;<>]{6,}))""", re.ASCII | re.IGNORECASE),
+)
+#: Values that name a secret or stand for one.
+PLACEHOLDER = re.compile(r"\$\{[^}]*\}|\$\([^)]*\)|\$[A-Za-z_]\w*|\{\{.*\}\}|\{\w+\}|<[^>]*>|%\w+%|\[[A-Za-z_ -]*\]|(.)\1*", re.ASCII | re.DOTALL)
+#: Every match of ASSIGN or PLACES holds one of these.
+CUES = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "bearer", "://")
 
 #: Common password words: fixed values, ordered by how soon they are guessed.
 WORDS = """password letmein welcome admin qwerty dragon monkey master shadow sunshine princess football baseball
@@ -56,7 +68,7 @@ superman batman trustno iloveyou login hello freedom whatever secret test guest
 example token love summer winter spring autumn server database oracle mysql postgres system manager access
 private public internal company office account service client hunter ranger buster soccer hockey killer george
 charlie andrew michelle jessica daniel thomas jordan pepper ginger cookie flower orange banana computer internet""".split()
-#: Learnt words at most, their letters, and the documents that must hold one.
+#: Learnt words at most, their letters, and the different texts that must hold one.
 DICTIONARY, WORD_LETTERS, WORD_DOCUMENTS = 20_000, (4, 20), 5
 WORD = re.compile(f"[a-z]{{{WORD_LETTERS[0]},}}")
 #: Characters of a text that are searched for words at once; a piece ends at a character that no word has.
@@ -261,13 +273,23 @@ def cued(text: str) -> bool:
     return any(c in low for c in CUES)
 
 
+def values(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of the values that stand where a credential may stand, each once."""
+    seen = set()
+    for pattern in PLACES:
+        for m in pattern.finditer(text):
+            span = next(m.span(g) for g in range(1, pattern.groups + 1) if m[g] is not None)
+            if span not in seen:
+                seen.add(span)
+                yield span
+
+
 def find_guess(text: str, base: list[tuple[int, int, str]], least: float, words: Dictionary) -> list[tuple[int, int, str]]:
-    """Spans of credential-context values whose guess cost reaches ``least``."""
+    """Spans of credential values whose guess cost reaches ``least``."""
     out = []
-    for m in CONTEXT.finditer(text):
-        group = next(g for g in range(1, 5) if m[g] is not None)
-        begin, end = m.span(group)
-        if not any(b <= begin and end <= e for b, e, _ in base) and guess_cost(m[group], words)[0] >= least:
+    for begin, end in values(text):
+        value = text[begin:end]
+        if not any(b <= begin and end <= e for b, e, _ in base) and not PLACEHOLDER.fullmatch(value) and guess_cost(value, words)[0] >= least:
             out.append((begin, end, "guess"))
     return out
 
@@ -309,28 +331,63 @@ def distinct_words(text: str) -> set[str]:
     return {w for w in found if len(w) <= most}
 
 
+def outside_values(text: str) -> str:
+    """The text with a space in place of each credential value and each base span."""
+    if not cued(text):
+        return HEX.sub(" ", text)
+    gone = sorted([*values(text), *(m.span(2) for m in ASSIGN.finditer(text)), *((b, e) for b, e, k in find_base(text, False))])
+    parts, at = [], 0
+    for begin, end in gone:
+        if begin > at:
+            parts.append(text[at:begin])
+        at = max(at, end)
+    return " ".join([*parts, text[at:]])
+
+
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, documents that hold it), in parts that add up."""
+    """(word, texts that hold it outside of credential values), in parts that add up."""
     part = lambda c: pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], names=["w", "n"])
     counts: Counter[str] = Counter()
     for (texts,) in common.rows(batches, "text"):
         for text in texts:
-            counts.update(distinct_words(text))
+            counts.update(distinct_words(outside_values(text)))
             if len(counts) > HELD_WORDS:
                 yield part(counts)
                 counts = Counter()
     yield part(counts)
 
 
+def kept_batches(batches: Iterator[pa.RecordBatch], bitset: np.ndarray, inside: bool) -> Iterator[pa.RecordBatch]:
+    """Rows whose ``h`` is in the filter, or those where it isn't."""
+    for batch in batches:
+        h = batch.column(batch.schema.get_field_index("h")).to_numpy(zero_copy_only=False).view(np.uint64)
+        yield batch.filter(pa.array(common.in_filter(bitset, h) == inside))
+
+
+def different_texts(docs: DataFrame, tables: common.Workspace) -> DataFrame:
+    """text: each text of documents with an id once.
+
+    Texts whose hash occurs once need no shuffle; a filter finds them, and what it takes for a
+    copy is grouped by its digest, one text a task and group before the exchange.
+    """
+    texts = docs.where("doc_id is not null and text is not null").select("text", F.xxhash64("text").alias("h"))
+    copied = tables.write(texts.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "copied")
+    held = tables.spark.sparkContext.broadcast(common.filter_of(copied))
+    tables.drop(copied)
+    side = lambda inside: texts.mapInArrow(common.tidy(lambda b: kept_batches(b, held.value, inside)), texts.schema).select("text")
+    once = side(True).groupBy(F.md5("text").alias("digest")).agg(F.first("text").alias("text")).select("text")
+    return side(False).unionByName(once)
+
+
 def learn_words(docs: DataFrame) -> list[str]:
-    """The dictionary of all documents, most frequent words first, ties by word.
+    """The dictionary of all documents, words of most different texts first, ties by word.
 
     Counts are exact.  How many words have each count is asked first (distinct counts are at most
     the root of twice their sum), so that only words that may be among the first reach the driver.
     """
     common.bound_batches(docs.sparkSession)
-    parts = docs.where("doc_id is not null and text is not null").select("text").mapInArrow(common.tidy(count_batches), "w string, n long")
     tables = common.Workspace(docs.sparkSession, "secrets")
+    parts = different_texts(docs, tables).mapInArrow(common.tidy(count_batches), "w string, n long")
     counts = tables.write(parts.groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= WORD_DOCUMENTS), "words")
     least, above = WORD_DOCUMENTS, 0
     for n, words in sorted(map(tuple, counts.groupBy("n").count().collect()), reverse=True):

@@ -59,14 +59,21 @@ def test_stages_take_clashing_columns_and_repeated_rows(spark):
 def test_secret_stage_learns_from_every_document(spark):
     value = "-dishwasher-mississippi-"  # harmless once both words are known, which only the last five documents hold
     rows = [(i, f"the house pwd={value}" if i < 1 else "the house", "en", "src", 9) for i in range(9000)]
-    rows += [(i, "the " * 10_000 + "dishwasher mississippi", "en", "src", 9) for i in range(9000, 9005)]
+    rows += [(i, "the " * 10_000 + f"dishwasher mississippi {i}", "en", "src", 9) for i in range(9000, 9005)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = dict(corpus_pipeline.STAGES)["secrets"](spark, docs, DATA)
     assert out.where("text like '%SECRET%'").count() == 0
     assert secrets.find(rows[0][1])[1]  # with the fixed words alone it is a secret
 
 
-@pytest.mark.parametrize("n", range(1, 11))
+@pytest.mark.parametrize("copies", [6, 1000])
+def test_secret_stage_keeps_finding_what_is_copied(spark, copies):
+    rows = [(i, f"note {i} pwd = 'qzxkvbwjrtph' end", "en", "src", 9) for i in range(copies)]  # near copies, below 0.8
+    out = dict(corpus_pipeline.STAGES)["secrets"](spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), DATA)
+    assert out.where("text like '%SECRET%' and text not like '%qzxkvbwjrtph%'").count() == copies
+
+
+@pytest.mark.parametrize("n", range(1, 14))
 def test_a_query_for_each_operator(n):
     assert sum(q.startswith(f"op{n}_") for q in QUERIES) == 1
     assert set(ORACLE_SQL) <= set(QUERIES)

@@ -115,7 +115,7 @@ def test_learnt_words(spark):
 
 
 def test_words_are_learnt_from_every_document_and_whole_texts(spark):
-    rows = [(i, f"house {'dishwasher' if i >= 8995 else 'garden'}") for i in range(9000)] + [(10_000 + i, "the " * 20_000 + "Mississippi") for i in range(5)]
+    rows = [(i, f"house {'dishwasher' if i >= 8995 else 'garden'} {i}") for i in range(9000)] + [(10_000 + i, "the " * 20_000 + f"Mississippi {i}") for i in range(5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     expected = ["house", "garden", "dishwasher", "mississippi"]
     assert secrets.learn_words(docs) == expected
@@ -140,7 +140,7 @@ def test_words_by_brute_force_whatever_the_pieces(monkeypatch):
 
 def test_the_first_words_of_the_ranking(spark, monkeypatch):
     held = {"aaaa": 9, "bbbb": 7, "cccc": 7, "dddd": 6, "eeee": 6, "ffff": 6, "gggg": 5, "hhhh": 4}
-    docs = spark.createDataFrame([(i, " ".join(w for w, n in held.items() if n > i)) for i in range(9)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join([str(i), *(w for w, n in held.items() if n > i)])) for i in range(9)], "doc_id long, text string")
     for most in range(1, 9):
         monkeypatch.setattr(secrets, "DICTIONARY", most)
         assert secrets.learn_words(docs) == list(held)[: min(most, 7)]
@@ -151,6 +151,35 @@ def test_end_of_a_long_walk_leaves_a_word_whole():
     assert secrets.guess_cost(value)[1] == [(0, 60, "walk"), (60, 66, "word")]
 
 
+@pytest.mark.parametrize("copies", [1, 6, 1000])
+def test_copies_of_a_secret_do_not_make_it_a_word(spark, copies):
+    exact, near = 'pwd = "qzxkvbwjrtph"', "login with pwd = 'wgkhtqxzbvnd' now"
+    rows = [(i, exact, 1) for i in range(copies)] + [(copies + i, f"{near} {i}", 1) for i in range(copies)] + [(5000, exact, 1)] * 2
+    found = [r.spans for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, h int")).collect()]
+    assert sorted(set(found)) == ["guess:18:30", "guess:7:19"] and len(found) == 2 * copies + 2
+
+
+def test_a_word_needs_different_texts_outside_of_values(spark):
+    rows = [(i, "copied prose about kiwifruit") for i in range(9)] + [(10 + i, f"token: rhubarbs no {i}") for i in range(9)] + [(20 + i, f"marmalade {i} password=marmalade") for i in range(5)]
+    assert secrets.learn_words(spark.createDataFrame(rows, "doc_id long, text string")) == ["token", "marmalade", "password"]
+    text = "x password=abcdefgh and https://me:hiddenword@host/ " + "0123456789abcdef" * 2 + " tail"
+    assert secrets.outside_values(text).split() == ["x", "password=", "and", "https://me:", "@host/", "tail"]
+
+
+@pytest.mark.parametrize("text,value", [
+    ("postgres://admin:x7Kp!q9Zw2@db.local/app", "x7Kp!q9Zw2"), ("mysqldump --password x7Kp!q9Zw2 app", "x7Kp!q9Zw2"), ("the password is x7Kp!q9Zw2 for now", "x7Kp!q9Zw2"),
+    ("my api key is: 'x7Kp q9Zw2#'", "x7Kp q9Zw2#"), ("-pwd \"x7Kp!q9Zw2\"", "x7Kp!q9Zw2"),
+])
+def test_other_places_of_a_value(text, value):
+    (span,) = secrets.find(text)[1]
+    assert text[span[0] : span[1]] == value and span[2] == "guess"
+
+
+@pytest.mark.parametrize("text", ["pwd: ${DB_PASSWORD_FROM_ENV}", 'pwd = "{{ vault.database_master }}"', "pwd=<your-database-password-here>", "pass: ****************", "pwd=$DATABASE_PASSWORD_9X", "the password is incorrect again", "see https://host:8080/a@b and http://a/b:cdefgh", "--password --host x"])
+def test_placeholders_and_prose_are_no_secrets(text):
+    assert secrets.find(text)[1] == []
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(1, TEXTS[3], 9, 5), (2, "clean", 5, 6), (3, None, None, 7)], "doc_id long, text string, n_chars long, other int")
     got = {r.doc_id: r for r in secrets.redact_texts(docs).collect()}
