@@ -72,6 +72,13 @@ def patched(files: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
     return out.withColumn("status", F.when(F.col("outcome") == "missing", MISSING).otherwise(F.col("status"))).select(files.columns)
 
 
+def patches(files: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
+    """Only the files that a recheck changes, as they will be, with ``was``."""
+    touched = outcomes.where("outcome IN ('missing', 'changed')")
+    mine = files.join(touched.select("id"), "id", "left_semi")
+    return patched(mine, touched, now).join(mine.select("id", F.struct(*mine.columns).alias("was")), "id")
+
+
 def repaired_groups(groups: DataFrame, files: DataFrame, size: int, full_hash: str) -> DataFrame:
     """The groups with one recomputed from the patched files; below two members it is dissolved.
 

@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import os
 import time
-from datetime import datetime
-from collections.abc import Callable, Iterable
+import uuid
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import paths
-from ..operators import browse, candidates, diff, groups, hashing, rescan
-from ..schema import COUNTERS, FILES, GROUPS, ROOTS, SCANS, EngineConfig
+from ..operators import browse, candidates, diff, hashing, regroup, rescan
+from ..schema import COUNTERS, FILES, GROUP_PARTS, GROUPS, INSTANCES, ROOTS, SCANS, EngineConfig
 from ..sources import fswalk
 from ..streaming import progress
 from . import lifecycle
-from .store import Parts, Store
+from .store import Changes, Parts, Store, folders
 
 NOW = F.current_timestamp
 
@@ -106,17 +108,62 @@ class Engine:
         self._change("roots", lambda roots: lifecycle.toggled(roots, root_id, enabled))
 
     def delete_root(self, root_id: int) -> None:
-        """Removes a root with its files and rebuilds the groups, all published at once; refused during a scan or recheck."""
+        """Removes a root with its files and the groups that they made, all published at once; refused during a scan or recheck."""
         self.store.lock()
         try:
-            self.store.update(lambda base: {
-                "roots": lifecycle.without_root(self.store.read("roots", ROOTS, base), root_id, "id"),
-                "files": Parts(None, "root_id", [], gone=[root_id]),
-                "groups": groups.duplicate_groups(lifecycle.without_root(self.store.read("files", FILES, base), root_id)),
-            })
+            self._ready()
+
+            def build(base: dict) -> dict:
+                mine = self.store.read("files", FILES, base, [root_id])
+                was = mine.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in FILES), F.struct(*FILES.names).alias("was"))
+                lost = regroup.contributions(was)
+                roots = lifecycle.without_root(self.store.read("roots", ROOTS, base), root_id, "id")
+                return {"roots": roots, "files": Parts(None, "root_id", [], gone=[root_id]), "instances": Changes(lost, "part")} | self._grouped(base, lost)
+
+            self.store.update(build)
         finally:
             self.store.unlock()
 
+    # -- groups
+
+    def _ready(self) -> None:
+        """Makes the instances that the groups are kept from, where a store of before has none."""
+        now = self.store.versions()
+        if any(k.startswith("files/") for k in now) and not any(k.startswith("instances/") for k in now):
+            self.rebuild_groups()
+
+    def rebuild_groups(self) -> None:
+        """Instances and groups from scratch, from all files."""
+        parts = range(GROUP_PARTS)
+
+        def build(base: dict) -> dict:
+            held = regroup.instances(self.store.read("files", FILES, base))
+            found = regroup.groups_of(held).withColumn("part", regroup.part_of(F.col("size")))
+            return {"instances": Parts(held, "part", parts), "groups": Parts(found, "part", parts), "pending": None}
+
+        self.store.update(build)
+
+    def _grouped(self, base: dict, more: DataFrame | None = None) -> dict:
+        """The groups of all keys that changes of instances have touched since the last time, and those of ``more``, a change not yet stored.
+
+        Only the parts of these keys are read, and only their groups are written.
+        """
+        noted = [self.spark.read.schema(INSTANCES).parquet(f"{self.store.home}/{f}") for f in folders(base.get("pending"))]
+        if not noted and more is None:
+            return {}
+        touched = noted + ([] if more is None else [more.select(INSTANCES.names)])
+        keys = reduce(DataFrame.union, (t.select("size", "full_hash") for t in touched)).distinct()
+        parts = [r.part for r in keys.select(regroup.part_of(F.col("size")).alias("part")).distinct().collect()]  # GROUP_PARTS at most
+        held = self.store.read("instances", INSTANCES, base, parts)
+        if more is not None:
+            held = held.unionByName(more.select(INSTANCES.names)).groupBy(*regroup.INSTANCE).agg(F.sum("paths").alias("paths"))
+        return {"groups": Changes(regroup.regrouped(held, keys, self.store.read("groups", GROUPS, base, parts)), "part"), "pending": None}
+
+    def _fold(self) -> None:
+        """Folds what changes have piled up."""
+        for name, schema in (("files", FILES), ("instances", INSTANCES), ("groups", GROUPS)):
+            self.store.fold(name, schema)
+
     # -- scans
 
     def recover(self) -> None:
@@ -125,7 +172,7 @@ class Engine:
         self._change("scans", lambda scans: lifecycle.interrupted(scans, NOW()))
         for event in progress.terminal_events(self.scans().where(F.col("id").isin(running))).collect() if running else []:
             progress.emit(self.spark, self.event_path, event.asDict())
-        self.store.unlock()
+        self.store.unlock(force=True)
 
     def current_scan(self) -> DataFrame:
         return lifecycle.current(self.scans())
@@ -175,7 +222,8 @@ class Engine:
                 for stage in (hashing.sample_stage(self.config.sample_size), hashing.whole_stage(self.config.hash_chunk)):
                     counts["bytes_hashed"] += self._hash(stage)
                 enter("finalizing")
-                self.store.update(lambda base: {"groups": groups.duplicate_groups(self.store.read("files", FILES, base))})
+                self.store.update(self._grouped)
+                self._fold()
         except Exception as e:
             error = str(e)[:500]
             self._change("scans", lambda now: lifecycle.finished(now, scan_id, "failed", error, NOW()))
@@ -186,29 +234,48 @@ class Engine:
         return scan_id
 
     def _walk(self, scan_id: int, root_id: int, path: str) -> dict[str, int]:
-        """Compares one root with its known files and publishes the outcome."""
+        """Compares one root with its known files and publishes what has changed.
+
+        Of what the walk finds only changed rows are written; counters of the others are observed
+        on the way.
+        """
         fswalk.check_root(path)
+        self._ready()
+        base = self.store.versions()
         found = fswalk.walk(self.spark, [(root_id, path)], self.config.walk_partitions)
-        # the walk is read once: both the counters and the new snapshot come from this table
-        walked = f"{self.store.home}/walk/scan={scan_id}/root={root_id}"
-        found.write.mode("overwrite").parquet(walked)
-        found = self.spark.read.schema(found.schema).parquet(walked)
-        known = self.files()
-        classified = diff.classify(known.where(F.col("root_id") == root_id), found)
-        # the join is read three times: by the counters, and by the new snapshot if anything changed
-        outcome = f"{self.store.home}/walk/scan={scan_id}/diff={root_id}"
-        classified.write.mode("overwrite").parquet(outcome)
-        classified = self.spark.read.schema(classified.schema).parquet(outcome)
-        row = diff.counters(classified).crossJoin(classified.agg(F.count_if(F.col("change_type") == "reappeared").alias("reappeared"))).first().asDict()  # one row by one row
-        reappeared, counts = row.pop("reappeared"), row
-        counts["files_skipped"] = found.where("skipped").count()
-        if counts["files_new"] or counts["files_changed"] or counts["files_removed"] or reappeared:
-            next_id = (known.agg(F.max("id")).first()[0] or 0) + 1
-            self.store.update(lambda _: {"files": Parts(diff.merged(classified, scan_id, NOW(), next_id).select(FILES.names), "root_id", [root_id])})
+        seen = Observation()
+        classified = diff.classify(self.store.read("files", FILES, base, [root_id]), found, keep=True)
+        classified = classified.observe(seen, *diff.counts())
+        next_id = (self.store.read("files", FILES, base).agg(F.max("id")).first()[0] or 0) + 1
+        with self._temporary("walk", diff.changes(classified, scan_id, self._now(), next_id)) as changed:
+            counts = {c: int(seen.get[c] or 0) for c in COUNTERS if c in seen.get}
+            self._publish_changes(changed)
         return counts
 
+    @contextmanager
+    def _temporary(self, name: str, frame: DataFrame) -> Iterator[DataFrame]:
+        """``frame`` as a table below home while the block runs."""
+        folder = f"temporary/{name}-{uuid.uuid4().hex[:8]}"
+        try:
+            frame.write.parquet(f"{self.store.home}/{folder}")
+            yield self.spark.read.schema(frame.schema).parquet(f"{self.store.home}/{folder}")
+        finally:
+            self.store.drop(folder)
+
+    def _publish_changes(self, changed: DataFrame, regroup_now: bool = False) -> None:
+        """Adds rows of files (with ``was``, the row before), a written table, to their roots, and what they mean for instances; groups follow now or with the next scan's end."""
+        if changed.limit(1).count() == 0:
+            return
+
+        def build(base: dict) -> dict:
+            moved = regroup.contributions(changed)
+            out = {"files": Changes(changed.select(FILES.names), "root_id"), "instances": Changes(moved, "part", None if regroup_now else "pending")}
+            return out | (self._grouped(base, moved) if regroup_now else {})
+
+        self.store.update(build)
+
     def _hash(self, stage: hashing.HashStage) -> int:
-        """One hashing stage over all roots: candidates, hashes in a table of their own, new versions of the roots concerned; bytes read."""
+        """One hashing stage over all roots: candidates, hashes in a table of their own, changed rows of the roots concerned; bytes read."""
         files = self.files()
         if stage.column == "partial_hash":
             due = candidates.size_candidates(files).where(candidates.needs_sample(self.config.reuse_partial))
@@ -218,12 +285,11 @@ class Engine:
         roots = F.broadcast(self.store.read("roots", ROOTS).select(F.col("id").alias("root_id"), "path"))  # roots are entered by hand: a handful
         due = due.join(roots, "root_id").select("id", "root_id", paths.absolute(F.col("path"), F.col("rel_path")).alias("abs_path"), "size")
         tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        path = f"{self.store.home}/hashes/{stage.column}"
-        hashing.hash_files(due, stage, tasks).write.mode("overwrite").parquet(path)
-        results = self.spark.read.parquet(path)
-        concerned = [r.root_id for r in files.join(results.where("hash IS NOT NULL").select("id"), "id", "left_semi").select("root_id").distinct().collect()]  # roots: a handful
-        read = results.where("hash IS NOT NULL").agg(F.coalesce(F.sum(stage.cost(F.col("size"))), F.lit(0))).first()[0]
-        self.store.update(lambda base: {"files": Parts(diff.persist_hashes(self.store.read("files", FILES, base), results, stage.column), "root_id", concerned)})
+        with self._temporary(stage.column, hashing.hash_files(due, stage, tasks)) as results:
+            good = results.where("hash IS NOT NULL")
+            read = good.agg(F.coalesce(F.sum(stage.cost(F.col("size"))), F.lit(0))).first()[0]
+            with self._temporary("hashed", diff.hash_changes(files, good, stage.column)) as changed:
+                self._publish_changes(changed)
         return int(read)
 
     # -- duplicates
@@ -253,24 +319,16 @@ class Engine:
             return {"exists": False, "checked": 0, "missing": 0, "changed": 0, "errors": 0, "unchanged": 0}
         roots = F.broadcast(self.store.read("roots", ROOTS).select(F.col("id").alias("root_id"), "path"))  # entered by hand: a handful
         mine = files.where(key & (F.col("status") == "present")).join(roots, "root_id").withColumn("abs_path", paths.absolute(F.col("path"), F.col("rel_path")))
-        path = f"{self.store.home}/hashes/rescan"
-        rescan.check_files(mine, self.config.hash_chunk).write.mode("overwrite").parquet(path)
-        outcomes = self.spark.read.parquet(path)
-        counts = rescan.outcome_counts(outcomes).first().asDict()
-        touched = outcomes.where("outcome IN ('missing', 'changed')").select("id")
-        concerned = [r.root_id for r in files.join(touched, "id", "left_semi").select("root_id").distinct().collect()]
-        if concerned:
-
-            def build(base: dict[str, str]) -> dict[str, DataFrame | Parts]:
-                new = rescan.patched(self.store.read("files", FILES, base), outcomes, F.lit(self._now()))
-                return {"files": Parts(new, "root_id", concerned), "groups": rescan.repaired_groups(self.store.read("groups", GROUPS, base), new, size, full_hash)}
-
-            self.store.update(build)
+        self._ready()
+        with self._temporary("rescan", rescan.check_files(mine, self.config.hash_chunk)) as outcomes:
+            counts = rescan.outcome_counts(outcomes).first().asDict()
+            with self._temporary("patched", rescan.patches(files, outcomes, self._now())) as changed:
+                self._publish_changes(changed, regroup_now=True)
         return {"exists": bool(self.groups().where(key).limit(1).count())} | counts
 
-    def _now(self) -> datetime:
+    def _now(self) -> Column:
         """One time for frames that are evaluated more than once."""
-        return self.spark.range(1).select(NOW()).first()[0]
+        return F.lit(self.spark.range(1).select(NOW()).first()[0])
 
     def summary(self) -> dict:
         """Totals, remembered as long as the tables are the same."""

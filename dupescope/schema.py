@@ -33,6 +33,9 @@ FILES = _struct(
     ("last_seen_scan_id", _L, True), ("status", _S, False), ("updated_at", _T, False),
 )
 GROUPS = _struct(("size", _L, False), ("full_hash", _S, False), ("member_count", _L, False), ("distinct_instance_count", _L, False), ("reclaimable_bytes", _L, False))
+#: Parts of the groups and instances tables, by a hash of the size.
+GROUP_PARTS = 32
+INSTANCES = _struct(("size", _L, False), ("full_hash", _S, False), ("device", _L, False), ("inode", _L, False), ("paths", _L, False))
 WALK = _struct(
     ("root_id", _L, False), ("abs_path", _S, False), ("rel_path", _S, True), ("size", _L, True), ("mtime_ns", _L, True),
     ("device", _L, True), ("inode", _L, True), ("skipped", _B, False),
