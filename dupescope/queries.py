@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import formatting, matching, paths, versioning
-from .operators import browse, candidates, diff, groups, hashing, rescan
+from .operators import browse, candidates, deltas, diff, groups, hashing, regroup, rescan
 from .plans import lifecycle, pipeline
 from .sources import corpus
 from .streaming import progress
@@ -316,6 +316,55 @@ def merge_snapshot(spark, d):  # noqa: ANN001, ANN201
     return diff.merged(classified(spark, d), 2, F.lit(1)).select("root_id", "rel_path", "size", "mtime_ns", "full_hash", "last_seen_scan_id", "status")
 
 
+@query(
+    FILES
+    + """SELECT id + 1000000000 AS id, root_id, size, status FROM files WHERE id % 9 = 0 UNION ALL
+SELECT id, root_id, CASE WHEN id % 35 = 0 THEN size + 3 WHEN id % 5 = 0 THEN size + 1 ELSE size END AS size,
+  CASE WHEN id % 35 = 0 THEN 'present' WHEN id % 7 = 0 THEN 'missing' ELSE status END AS status FROM files"""
+)
+def delta_snapshot(spark, d):  # noqa: ANN001, ANN201
+    """A base and three changes: sizes, then marks of missing files, then files that are new or were touched by both."""
+    base = files(spark, d).select("id", "root_id", "size", "status")
+    first = base.where("id % 5 = 0").withColumn("size", F.col("size") + 1)
+    second = base.where("id % 7 = 0").withColumn("status", F.lit("missing"))
+    third = base.where("id % 35 = 0").select("id", "root_id", (F.col("size") + 3).alias("size"), F.lit("present").alias("status"))
+    third = third.unionByName(base.where("id % 9 = 0").withColumn("id", F.col("id") + 1000000000))
+    return deltas.Newest(("id",)).read(base, [first, second, third])
+
+
+def _changed_files(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """An earlier state of the files, and the rows in which the current one differs, with ``was``."""
+    now = files(spark, d).select("id", "status", *regroup.INSTANCE)
+    before = now.select("id", F.when(F.col("id") % 13 == 0, "missing").otherwise(F.col("status")).alias("status"), (F.col("size") + F.when(F.col("id") % 7 == 0, 1).otherwise(0)).alias("size"), F.when(F.col("id") % 11 == 0, "").otherwise(F.col("full_hash")).alias("full_hash"), "device", "inode")
+    both = now.join(before.select("id", F.struct(*before.columns).alias("was")), "id")
+    return before, both.where(~F.struct(*now.columns).eqNullSafe(F.col("was")))
+
+
+@query(FILES + "SELECT size, full_hash, member_count, distinct_instance_count, reclaimable_bytes FROM groups")
+def regroup_incremental(spark, d):  # noqa: ANN001, ANN201
+    """Groups of an earlier state, kept up from the rows that changed: equals grouping all files anew."""
+    before, changed = _changed_files(spark, d)
+    held, moved = regroup.instances(before).drop("part"), regroup.contributions(changed).drop("part")
+    old = regroup.groups_of(held)
+    now = deltas.Summed(tuple(regroup.INSTANCE), "paths").read(held, [moved])
+    new = regroup.regrouped(now, moved.select(*groups.KEY).distinct(), old).drop("part")
+    return deltas.Newest(tuple(groups.KEY), dead="member_count < 2").read(old, [new])
+
+
+@query(
+    FILES
+    + """, before AS (
+  SELECT id, CASE WHEN id % 13 = 0 THEN 'missing' ELSE status END AS status, size + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END AS size, CASE WHEN id % 11 = 0 THEN '' ELSE full_hash END AS full_hash, device, inode FROM files
+), sides AS (
+  SELECT size, full_hash, device, inode, 1 AS n FROM usable UNION ALL SELECT size, full_hash, device, inode, -1 FROM before WHERE status = 'present' AND size > 0 AND full_hash <> ''
+)
+SELECT size, full_hash, device, inode, CAST(sum(n) AS BIGINT) AS paths FROM sides GROUP BY ALL HAVING sum(n) <> 0"""
+)
+def instance_changes(spark, d):  # noqa: ANN001, ANN201
+    """What a change of files means for the paths of each instance."""
+    return regroup.contributions(_changed_files(spark, d)[1]).drop("part")
+
+
 RESCAN = (
     FILES
     + """, top AS (SELECT size, full_hash FROM groups ORDER BY member_count DESC, size DESC, full_hash LIMIT 1
