@@ -99,23 +99,27 @@ class Parsed:
     gaps: list[tuple[int, int, str]] = field(default_factory=list)
 
 
+#: A header line; what isn't one ends the search, so that a place that fails costs no more than its lines.
+HEADER = re.compile(rb"([^\r\n:]+):([^\r\n]*)\r\n")
+
+
 def parse_plain(data: bytes, at: int) -> tuple[Record, int] | str:
     """The record that starts at ``at`` and the place behind it, or what is wrong."""
-    if not START.match(data, at):
+    version = START.match(data, at)
+    if not version:
         return "no version line"
-    body = data.find(END, at)
-    if body < 0:
-        return "header without end"
     headers: dict[str, str] = {}
-    for line in data[at:body].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
-        if not colon:
+    body = version.end()
+    while not data.startswith(b"\r\n", body):
+        line = HEADER.match(data, body)
+        if not line:
             return "bad header line"
-        headers[name.strip().decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
+        headers[line[1].strip().decode("latin-1").lower()] = line[2].strip().decode("utf-8", "replace")
+        body = line.end()
     length = headers.get("content-length", "")
     if not length.isascii() or not length.isdigit():
         return "no content length"
-    begin, end = body + 4, body + 4 + int(length)
+    begin, end = body + 2, body + 2 + int(length)
     if data[end : end + 4] != END:
         return "block of another length"
     block = data[begin:end]

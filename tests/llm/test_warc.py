@@ -3,6 +3,7 @@
 import gzip
 import random
 import re
+import time
 
 import pytest
 from dupescope.llm import common, warc
@@ -75,6 +76,54 @@ def test_gzip_payload_of_a_damaged_record_is_no_member():
     assert found.gaps == [(len(parts[0]), len(parts[0]) + len(bad), "block digest differs")]
 
 
+DAMAGE = {
+    "line ends": lambda record: record.replace(b"\r\n", b"\n"),
+    "no end of the header": lambda record: record.partition(warc.END)[0] + b"\r\n",
+    "version lines alone": lambda record: b"WARC/1.1\r\n",
+    "version lines without line ends": lambda record: b"WARC/1.1\n" + b"x" * 30,
+    "a header line without colon or end": lambda record: b"WARC/1.1\r\nname " + b"y" * 300,
+    "lengths too large": lambda record: record.replace(b"Content-Length: ", b"Content-Length: 9"),
+    "magic numbers": lambda record: warc.GZIP + b"\x00" * 7 + b"\xff" * 20,
+}
+
+
+@pytest.mark.parametrize("kind", DAMAGE)
+def test_salvage_takes_linear_time(kind):
+    """32 MB of one kind of damage, with a sound record before, in and behind it."""
+    sound, piece = made(3), DAMAGE[kind](made(1)[0])
+    half = piece * ((16 << 20) // len(piece))
+    began = time.process_time()
+    found = warc.salvage(sound[0] + half + sound[1] + half + sound[2])
+    assert time.process_time() - began < 40
+    assert [warc.page_of(r.headers["warc-record-id"]) for r in found.records] == [0, 1, 2]
+    a = len(sound[0])
+    assert [(b, e) for b, e, _ in found.gaps] == [(a, a + len(half)), (a + len(half) + len(sound[1]), a + 2 * len(half) + len(sound[1]))]
+
+
+@pytest.mark.parametrize("cut", [1, 12, 60])
+def test_salvage_of_cut_members_takes_linear_time(cut):
+    rng, parts, size = random.Random(cut), [], 0
+    while size < 32 << 20:
+        body = b" ".join(b"%s%d" % (rng.choice((b"alpha", b"beta", b"<p>", b"</p>")), rng.randrange(1000)) for _ in range(rng.randint(50, 4000)))
+        parts += [gzip.compress(warc.record_bytes(len(parts), "u", body, warc.base32_sha1(body), None), compresslevel=1, mtime=0)[:-cut]]
+        size += len(parts[-1])
+    sound = gzip.compress(made(1)[0], mtime=0)
+    began = time.process_time()
+    found = warc.salvage(b"".join(parts) + sound)
+    assert time.process_time() - began < 40
+    assert [warc.page_of(r.headers["warc-record-id"]) for r in found.records] == [0] and [(b, e) for b, e, _ in found.gaps] == [(0, size)]
+
+
+def test_an_archive_damaged_throughout(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    data = b"".join(made(40)).replace(b"\r\n", b"\n")
+    (tmp_path / "d" / "a.warc").write_bytes(data)
+    (tmp_path / "d" / "b.warc").write_bytes(b"")
+    found = warc.read(spark, str(tmp_path / "d"))
+    assert warc.records(found).count() == 0
+    assert [(r.first_byte, r.end_byte, r.reason) for r in warc.quarantine(found).collect()] == [(0, len(data), "bad header line")]
+
+
 def test_round_trip(spark, tmp_path):
     rows = [(i, None if i == 1 else f"http://h/{i}", h, 1) for i, h in enumerate(HTML)] + [(None, "u", "<p>a</p>", 1)]
     spark.createDataFrame(rows, "page_id long, url string, html string, digest int").write.parquet(f"{tmp_path}/pages.parquet")
