@@ -3,14 +3,15 @@
 Texts are lower-cased (A-Z), split at ``. , ; : ! ?`` and line ends into pieces, and those at
 spaces and tabs into words.  Everything is per language.
 
-1. Sketch.  One counting pass for words, one for pairs, one for phrases of three and four.
-   N-grams are hashed to ``WIDTH`` cells and cells that collide add up, so the sum of a cell is
-   an upper bound of each of its n-grams' counts.  Cells are summed by Spark as a sparse table;
+1. Sketch.  One counting pass for words, one for pairs, one for phrases of three and four.  Words
+   are counted by 64-bit hash.  Longer ones are hashed to ``WIDTH`` cells, and cells that collide
+   add up, so the sum of a cell is an upper bound of each of its n-grams' counts.  Cells are summed by Spark as a sparse table;
    those of ``LEAST`` or more go to a filter.  A phrase is only counted if all shorter phrases
    inside it passed, which no phrase of ``LEAST`` occurrences can fail.
-2. Automata.  Each shard (some ``SHARD_BYTES`` of texts of a language) compiles the phrases that
+2. Automata.  Each shard (a language's part of some ``SHARD_BYTES`` of texts) compiles the phrases that
    pass all filters into Aho-Corasick automata, with a space as guard on either side, and scans
-   its texts; matches may overlap.  An automaton holds at most ``AUTOMATON_CHARS`` characters:
+   its texts; matches may overlap.  Words by themselves are only parts of candidates; their
+   counts are known from the first pass.  An automaton holds at most ``AUTOMATON_CHARS`` characters:
    more patterns make further automata and scans.
 3. Sums.  Counts of shards are summed by phrase, and only then the threshold holds: counts are
    exact, whatever the sketch let through.
@@ -39,7 +40,7 @@ U64 = np.uint64
 LEAST, LONGEST, TOP = 30, 4, 2000
 #: Cells of the sketch; only those in use are stored.
 WIDTH = 1 << 40
-SHARD_BYTES, AUTOMATON_CHARS = 8 << 20, 2 << 20
+SHARD_BYTES, AUTOMATON_CHARS = 4 << 20, 2 << 20
 #: What separates pieces; all become a full stop, which no word holds.
 MARK = b"."
 PIECES = bytes.maketrans(b",;:!?\n\x0b\x0c\r", MARK * 9)
@@ -67,22 +68,32 @@ class Shard:
         seeds = {lang: hashes[b"lang " + lang.encode("utf-8", "surrogatepass")] for lang in set(langs)}
         self.seed = np.repeat(np.array([seeds[x] for x in langs], U64), lengths)
 
-    def cells(self, n: int) -> np.ndarray:
-        """Hash of the sketch's cell of each window of ``n`` words."""
-        grams = common.windows(self.hashed, n)
-        return common.mix(common.mix(grams + self.seed[: len(grams)]) & U64(WIDTH - 1))
+    def grams(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Hash of the ``n`` words from each of the places ``at`` on, which lie in a text."""
+        out = np.zeros(len(at), U64)
+        for k in range(n):
+            out = common.mix(out * U64(0x9E3779B97F4A7C15) + self.hashed[at + k] + U64(k + 1))
+        return out + self.seed[at]
 
-    def passing(self, filters: dict[int, np.ndarray], longest: int) -> dict[int, np.ndarray]:
-        """For each length up to ``longest``: which windows lie in a piece and pass the filters of all shorter lengths, and of their own if there is one."""
-        out: dict[int, np.ndarray] = {}
+    def passing(self, filters: dict[int, np.ndarray], longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each length up to ``longest``: the places whose words lie in a piece and pass the filters of all shorter lengths, and of their own if there is one, and their hashes."""
+        good = self.inner
         for n in range(1, min(longest, len(self.hashed)) + 1):
-            shorter = out[n - 1] if n > 1 else self.inner
-            good = shorter[:-1] & shorter[1:] if n > 1 else shorter.copy()
+            if n > 1:
+                good = good[:-1] & good[1:]
+            at = np.flatnonzero(good)
+            grams = self.grams(at, n)
             if n in filters:
-                at = np.flatnonzero(good)
-                good[at] = common.in_filter(filters[n], self.cells(n)[at])
-            out[n] = good
-        return out
+                keep = common.in_filter(filters[n], cells(grams) if n > 1 else grams)
+                good = np.zeros(len(good), bool)
+                at, grams = at[keep], grams[keep]
+                good[at] = True
+            yield n, at, grams
+
+
+def cells(grams: np.ndarray) -> np.ndarray:
+    """Hash of the sketch's cell of each n-gram."""
+    return common.mix(common.mix(grams) & U64(WIDTH - 1))
 
 
 def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes | None], list[str]]]:
@@ -96,10 +107,9 @@ def sketch_batches(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...],
     hashes = common.WordHashes()
     for texts, langs in shards(batches):
         shard = Shard(texts, langs, hashes)
-        good = shard.passing(filters, max(lengths))
-        for k in lengths:
-            if k in good and good[k].any():
-                h, n = np.unique(shard.cells(k)[good[k]], return_counts=True)
+        for k, at, grams in shard.passing(filters, max(lengths)):
+            if k in lengths and len(at):
+                h, n = np.unique(cells(grams) if k > 1 else grams, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
 
@@ -128,54 +138,71 @@ def matches(patterns: list[str], text: str) -> np.ndarray:
 
 
 def count_batches(batches: Iterator[pa.RecordBatch], filters: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase, f) of the phrases that pass, counted within a shard; the empty phrase stands for all words."""
+    """(lang, phrase, f, first, last) of the phrases that pass, counted within a shard; first and last are hashes of its outer words.
+
+    The row of the empty phrase counts all words.
+    """
     hashes = common.WordHashes()
     for texts, langs in shards(batches):
         for lang in sorted(set(langs)):
             mine = [t for t, x in zip(texts, langs, strict=True) if x == lang]
             shard = Shard(mine, [lang] * len(mine), hashes)
-            patterns = []
-            for n, good in shard.passing(filters, LONGEST).items():
-                at = np.flatnonzero(good)
-                _, once = np.unique(common.windows(shard.hashed, n)[at], return_index=True)  # by 64 bits, not by cells
-                patterns += [b" ".join(shard.words[i : i + n]).decode("utf-8", "surrogatepass") for i in at[once].tolist()]
-            scanned = (b" " + b" ".join(shard.words) + b" ").decode("utf-8", "surrogatepass")
-            counts = matches(patterns, scanned)
-            total = int(shard.inner.sum())
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(patterns) + 1), pa.string()), pa.array([*patterns, ""], pa.string()), pa.array([*counts.tolist(), total], pa.int64())], names=["lang", "phrase", "f"])
+            scanned = b" " + b" ".join(shard.words) + b" "
+            behind = np.cumsum(np.fromiter(map(len, shard.words), np.int64, len(shard.words)) + 1)
+            begin = np.append(0, behind[:-1]) + 1
+            patterns: list[str] = []
+            outer: list[list[np.ndarray]] = [[np.zeros(1, U64)], [np.zeros(1, U64)]]
+            for n, at, grams in shard.passing(filters, LONGEST):
+                if n > 1:
+                    at = at[np.unique(grams, return_index=True)[1]]
+                    patterns += [scanned[a:b].decode("utf-8", "surrogatepass") for a, b in zip(begin[at].tolist(), behind[at + n - 1].tolist(), strict=True)]
+                    for k, side in enumerate(outer):
+                        side.append(shard.grams(at + k * (n - 1), 1))
+            counts = np.append(int(shard.inner.sum()), matches(patterns, scanned.decode("utf-8", "surrogatepass")))
+            columns = [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(counts), np.int32))), pa.array(["", *patterns], pa.string()), pa.array(counts), *(pa.array(np.concatenate(side).view(np.int64)) for side in outer)]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "f", "first", "last"])
 
 
 # ---------------------------------------------------------------- joins over the candidates
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """lang, phrase, f: exact counts of all phrases of up to LONGEST words with LEAST occurrences, and of all words (empty phrase)."""
+def counted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Exact counts: lang, phrase, f, first, last of phrases of two to LONGEST words with LEAST occurrences (and all words: the empty phrase); h, f of words."""
     spark = docs.sparkSession
     common.bound_batches(spark)
     tables = common.Workspace(spark, "phrases")
     texts = docs.select("text", "lang")
     filters: dict = {}
+    heavy: list[DataFrame] = []
     for lengths in ((1,), (2,), (3, 4)):
         known = dict(filters)
-        cells = texts.mapInArrow(common.tidy(lambda b, lengths=lengths, known=known: sketch_batches(b, lengths, {k: v.value for k, v in known.items()})), "h long, n long")
-        heavy = tables.write(cells.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).select("h"), f"cells{lengths[0]}")
-        filters |= dict.fromkeys(lengths, spark.sparkContext.broadcast(common.filter_of(heavy)))
-        tables.drop(heavy)
+        found = texts.mapInArrow(common.tidy(lambda b, lengths=lengths, known=known: sketch_batches(b, lengths, {k: v.value for k, v in known.items()})), "h long, n long")
+        heavy.append(tables.write(found.groupBy("h").agg(F.sum("n").alias("f")).where(F.col("f") >= LEAST), f"cells{lengths[0]}"))
+        filters |= dict.fromkeys(lengths, spark.sparkContext.broadcast(common.filter_of(heavy[-1].select("h"))))
+    tables.drop(*heavy[1:])
     common.release(spark)
-    found = texts.mapInArrow(common.tidy(lambda b: count_batches(b, {k: v.value for k, v in filters.items()})), "lang string, phrase string, f long")
-    return tables.write(found.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= LEAST) | (F.col("phrase") == "")), "counts")
-
-
-def scored(counts: DataFrame) -> DataFrame:
-    """lang, phrase, size, a, l, r, score of each candidate, by its lowest-scoring cut."""
-    size = F.size(F.split("phrase", " "))
-    phrases = counts.where("phrase <> ''").withColumn("size", size)
-    cuts = phrases.where("size > 1").select("lang", "phrase", "size", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
-    cuts = cuts.select("*", F.expr("substring_index(phrase, ' ', k) AS left"), F.expr("substring_index(phrase, ' ', k - size) AS right"))
-    part = lambda name, f: phrases.select("lang", F.col("phrase").alias(name), F.col("f").alias(f))
-    cuts = join_splittable(join_splittable(cuts, part("left", "l"), ["lang", "left"]), part("right", "r"), ["lang", "right"])
-    cuts = cuts.withColumn("score", F.expr("(CAST(a AS DECIMAL(20,0)) * 2000000) div (CAST(l AS DECIMAL(20,0)) + r)"))
-    best = cuts.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "l", "r", "a", "size")).alias("best"))
+    found = texts.mapInArrow(common.tidy(lambda b: count_batches(b, {k: v.value for k, v in filters.items()})), "lang string, phrase string, f long, first long, last long")
+    sums = found.groupBy("lang", "phrase").agg(F.sum("f").alias("f"), F.min("first").alias("first"), F.min("last").alias("last"))
+    return tables.write(sums.where((F.col("f") >= LEAST) | (F.col("phrase") == "")), "counts"), heavy[0]
+
+
+def scored(counts: DataFrame, words: DataFrame) -> DataFrame:
+    """lang, phrase, size, a, l, r, score of each candidate, by its lowest-scoring cut.
+
+    The parts of all cuts meet the counts in one join: a part of one word by its hash, a longer one
+    by language and text.
+    """
+    phrases = counts.where("phrase <> ''").withColumn("size", F.size(F.split("phrase", " ")))
+    known = words.select(F.lit("").alias("in_lang"), F.lit("").alias("part"), "h", F.col("f").alias("n"))
+    known = known.unionByName(phrases.select(F.col("lang").alias("in_lang"), F.col("phrase").alias("part"), F.lit(0).cast("long").alias("h"), F.col("f").alias("n")))
+    cuts = phrases.select("lang", "phrase", "size", F.col("f").alias("a"), "first", "last", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
+    left = F.expr("IF(k = 1, struct(0 AS side, '' AS in_lang, '' AS part, first AS h), struct(0 AS side, lang AS in_lang, substring_index(phrase, ' ', k) AS part, 0L AS h))")
+    right = F.expr("IF(k = size - 1, struct(1 AS side, '' AS in_lang, '' AS part, last AS h), struct(1 AS side, lang AS in_lang, substring_index(phrase, ' ', k - size) AS part, 0L AS h))")
+    sides = cuts.select("lang", "phrase", "size", "a", "k", F.explode(F.array(left, right)).alias("x")).select("lang", "phrase", "size", "a", "k", "x.*")
+    met = join_splittable(sides, known, ["in_lang", "part", "h"]).select("lang", "phrase", "size", "a", "k", "side", "n").repartition("lang", "phrase")
+    both = met.groupBy("lang", "phrase", "size", "a", "k").agg(F.max(F.expr("IF(side = 0, n, NULL)")).alias("l"), F.max(F.expr("IF(side = 1, n, NULL)")).alias("r"))
+    both = both.withColumn("score", F.expr("(CAST(a AS DECIMAL(20,0)) * 2000000) div (CAST(l AS DECIMAL(20,0)) + r)"))
+    best = both.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "l", "r", "a", "size")).alias("best"))
     return best.select("lang", "phrase", "best.size", "best.a", "best.l", "best.r", "best.score")
 
 
@@ -186,10 +213,11 @@ def contained(candidates: DataFrame) -> DataFrame:
     return inner.groupBy("lang", "phrase").agg(F.max("a").alias("most"))
 
 
-def ranked(counts: DataFrame) -> DataFrame:
+def ranked(counts: DataFrame, words: DataFrame) -> DataFrame:
     """The first TOP candidates of each language that no longer one covers."""
-    candidates = scored(counts)
-    free = join_splittable(candidates, contained(candidates), ["lang", "phrase"], "left")
+    candidates = scored(counts, words)
+    longer = counts.where("phrase <> ''").select("lang", F.col("f").alias("a"), F.size(F.split("phrase", " ")).alias("size"), "phrase")
+    free = join_splittable(candidates, contained(longer), ["lang", "phrase"], "left")
     free = free.where(F.expr("most IS NULL OR CAST(most AS DECIMAL(20,0)) * 100 < CAST(a AS DECIMAL(20,0)) * 80"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
     top = free.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP)
@@ -199,7 +227,7 @@ def ranked(counts: DataFrame) -> DataFrame:
 
 def collocations(docs: DataFrame) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of ``docs`` (text, lang)."""
-    return ranked(counted(docs))
+    return ranked(*counted(docs))
 
 
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,10 +90,11 @@ def test_very_long_text_and_upper_bounds(spark):
 
 def test_exact_beyond_64_bits(spark):
     most = 9_000_000_000_000_000
-    counts = spark.createDataFrame([("en", "a b", most - 1), ("en", "a", most), ("en", "b", most + 2), ("en", "a b c", most - 5), ("en", "b c", most), ("en", "c", most), ("en", "", 4 * most)], "lang string, phrase string, f long")
-    got = {r.phrase: (r.score, r.l, r.r) for r in phrases.scored(counts).collect()}
+    counts = spark.createDataFrame([("en", "a b", most - 1, 1, 2), ("en", "a b c", most - 5, 1, 3), ("en", "b c", most, 2, 3), ("en", "", 4 * most, 0, 0)], "lang string, phrase string, f long, first long, last long")
+    words = spark.createDataFrame([(1, most), (2, most + 2), (3, most)], "h long, f long")
+    got = {r.phrase: (r.score, r.l, r.r) for r in phrases.scored(counts, words).collect()}
     assert got == {"a b": (2000000 * (most - 1) // (2 * most + 2), most, most + 2), "b c": (2000000 * most // (2 * most + 2), most + 2, most), "a b c": (999999, most, most)}
-    assert [r.phrase for r in phrases.ranked(counts).collect()] == ["a b c"]
+    assert [r.phrase for r in phrases.ranked(counts, words).collect()] == ["a b c"]
 
 
 def test_empty_table(spark):
