@@ -83,6 +83,13 @@ class Workspace:
             remove(self.spark, self.at.pop(id(table)))
 
 
+    def drop_others(self, *kept: DataFrame) -> None:
+        """Deletes all tables of this run but those."""
+        for path in [p for i, p in self.at.items() if i not in set(map(id, kept))]:
+            remove(self.spark, path)
+        self.at = {i: p for i, p in self.at.items() if i in set(map(id, kept))}
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -24,13 +24,14 @@ def _star(pairs: DataFrame, larger_only: bool) -> DataFrame:
     return joined.select(ends).select("e.a", "e.b")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, tables: common.Workspace | None = None) -> DataFrame:
     """node, component of every node of ``edges`` (a, b); the component is its least node.
 
     Ends when a round changes nothing; raises if ``rounds`` don't suffice.  The table of a
-    round is dropped when the next one stands.
+    round is dropped when the next one stands; the last one, which the frame reads, is dropped
+    with the other ``tables`` of the caller.
     """
-    tables = common.Workspace(edges.sparkSession, "components")
+    tables = tables or common.Workspace(edges.sparkSession, "components")
     clean = lambda df: df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     state = tables.write(clean(edges), "edges")
     seen = None

@@ -430,7 +430,7 @@ def linked(docs: DataFrame) -> DataFrame:
     best = join_splittable(members, hubs, ["h"]).where("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("c")).groupBy("rep").agg(F.max_by("hub", F.struct("c", (-F.col("hub")).alias("r"))).alias("hub"))
     compared = tables.write(best.select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct(), "compared")
     first = verified(bounded(compared, sets), docs, tables)
-    groups = tables.write(components(first), "groups")
+    groups = tables.write(components(first, tables=tables), "groups")
     common.release(spark)
 
     # trees over the blocks that still hold several components
@@ -454,8 +454,11 @@ def linked(docs: DataFrame) -> DataFrame:
     second = verified(pairs, docs, tables)
     common.release(spark)
 
-    final = components(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).union(first).union(second))
-    return sizes.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    final = components(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).union(first).union(second), tables=tables)
+    found = sizes.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = tables.write(found, "found")
+    tables.drop_others(out)
+    return out
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

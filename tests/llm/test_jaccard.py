@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 import pytest
-from dupescope.llm import components, jaccard
+from dupescope.llm import common, components, jaccard
 
 
 def shingle_set(text):
@@ -187,3 +187,12 @@ def test_chain_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 100), (5, 5)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 200: 100}
+
+
+def test_only_the_result_stays_in_the_shared_folder(spark, tmp_path, monkeypatch):
+    """Three numbers and an id a document: bitmaps, prefixes, pairs and rounds are gone."""
+    rows = corpus(3)
+    monkeypatch.setattr(common, "shared_dir", lambda _, name: f"{tmp_path}/{name}")
+    got = jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string"))
+    (left,) = [p for run in tmp_path.iterdir() for p in run.iterdir()]
+    assert left.name.endswith("-found") and got.count() == len(rows)
