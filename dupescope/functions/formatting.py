@@ -10,10 +10,13 @@ UNITS = "KMGTPE"
 
 def format_bytes(size: Column) -> Column:
     """``512 B``, ``1.2 KB``, ...: steps of 1024, one decimal, exact ties to even; whole numbers of any type, EB being the last unit."""
-    out = F.concat(size.cast("string"), F.lit(" B"))
+    out, value = F.concat(size.cast("string"), F.lit(" B")), size.cast("double")
     for k, unit in enumerate(UNITS, 1):
-        scaled = F.format_string("%.1f", F.bround(size.cast("double") / float(1 << 10 * k), 1))
-        out = F.when(size >= F.lit(1 << 10 * k), F.concat(scaled, F.lit(f" {unit}B"))).otherwise(out)
+        scaled = F.format_string("%.1f", F.bround(value / float(1 << 10 * k), 1))
+        reached = value >= float(1 << 10 * k)
+        if 10 * k > 53:  # just below, a double may be rounded up to the unit
+            reached &= size >= F.lit(1 << 10 * k)
+        out = F.when(reached, F.concat(scaled, F.lit(f" {unit}B"))).otherwise(out)
     return out
 
 

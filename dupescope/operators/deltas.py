@@ -61,18 +61,18 @@ class Summed:
         return self.read(tables[0], tables[1:])
 
 
-def due(sizes: list[int], ratio: int = 4, most: int = 8) -> int | None:
+def due(sizes: list[int], ratio: int = 4, most: int = 8, least: int = 0) -> int | None:
     """From which table on (0: the base) tables should be folded into one, or None.
 
     A table is rewritten when the newer ones together have a ``ratio``-th of its size, so a row is
-    rewritten a number of times that is logarithmic in how much is written after it.  More than
-    ``most`` changes are folded whatever their sizes.
+    rewritten a number of times that is logarithmic in how much is written after it.  Changes that
+    together have less than ``least`` can wait.  More than ``most`` are folded whatever their sizes.
     """
     newer = 0
     found = None
     for k in range(len(sizes) - 1, 0, -1):
         newer += sizes[k]
-        if newer * ratio >= sizes[k - 1]:
+        if newer >= least and newer * ratio >= sizes[k - 1]:
             found = k - 1
     if found is None and len(sizes) - 1 > most:
         found = 1

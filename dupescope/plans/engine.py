@@ -22,6 +22,7 @@ from . import lifecycle
 from .store import Changes, Parts, Store, folders
 
 NOW = F.current_timestamp
+MOST_HASH_TASKS = 10_000
 
 
 class Engine:
@@ -35,6 +36,8 @@ class Engine:
         self.store = Store(spark, home)
         self.event_path = f"{self.store.home}/events"
         self._summary: tuple[tuple, dict] | None = None
+        #: what the tasks of the running phase tell
+        self._live: progress.Live | None = None
 
     # -- tables
 
@@ -87,12 +90,12 @@ class Engine:
         return [i for i, _, _ in new]
 
     def add_root(self, path: str, label: str = "") -> int:
-        path, label = path.strip(), label.strip()
-        if not path:
+        row = lifecycle.cleaned(self.spark.createDataFrame([(path, label)], "path string, label string")).first()
+        if row is None:
             raise ValueError("a root needs a path")
-        added = self._append_roots([(path, label or os.path.basename(path) or path)], "manual")
+        added = self._append_roots([(row.path, row.label)], "manual")
         if not added:
-            raise ValueError(f"already a root: {path}")
+            raise ValueError(f"already a root: {row.path}")
         return added[0]
 
     def discover_roots(self, base: str) -> list[int]:
@@ -196,15 +199,24 @@ class Engine:
             self.store.unlock()
 
     def _scan(self, targets: list[tuple[int, str]]) -> int:
+        self.roll_up_events()
         scans, began = self.scans(), time.monotonic()
         scan_id = (scans.agg(F.max("id")).first()[0] or 0) + 1
         started = lifecycle.started(self.spark, scan_id, [i for i, _ in targets], NOW())
         self._change("scans", lambda now: now.unionByName(started))
         counts = dict.fromkeys(COUNTERS, 0)
         state = {"phase": "walking", "current_path": ""}
+        self._live = None
 
         def tell(kind: str, error: str = "") -> None:
-            progress.emit(self.spark, self.event_path, {"type": kind, "scan_id": scan_id, "error": error, "elapsed_ms": int((time.monotonic() - began) * 1000)} | state | counts)
+            live = self._live
+            now = live.now() if live and kind == "progress" else {}
+            shown = state | counts | {k: v + counts.get(k, 0) if k in counts else v for k, v in now.items()}
+            progress.emit(self.spark, self.event_path, {"type": kind, "scan_id": scan_id, "error": error, "elapsed_ms": int((time.monotonic() - began) * 1000)} | shown)
+
+        def tick() -> None:
+            self.store.renew()
+            tell("progress")
 
         def enter(phase: str) -> None:
             state.update(phase=phase, current_path="")
@@ -213,14 +225,20 @@ class Engine:
 
         tell("scan_started")
         try:
-            with progress.Ticker(lambda: tell("progress"), self.config.tick_seconds):
+            with progress.Ticker(tick, self.config.tick_seconds):
                 for root_id, path in targets:
                     state["current_path"] = path
-                    for name, n in self._walk(scan_id, root_id, path).items():
+                    self._live = progress.Live(self.spark, "files_seen")
+                    done = self._walk(scan_id, root_id, path)
+                    self._live = None
+                    for name, n in done.items():
                         counts[name] += n
                 enter("hashing")
                 for stage in (hashing.sample_stage(self.config.sample_size), hashing.whole_stage(self.config.hash_chunk)):
-                    counts["bytes_hashed"] += self._hash(stage)
+                    self._live = progress.Live(self.spark, "bytes_hashed")
+                    done = self._hash(stage)
+                    self._live = None
+                    counts["bytes_hashed"] += done
                 enter("finalizing")
                 self.store.update(self._grouped)
                 self._fold()
@@ -242,7 +260,12 @@ class Engine:
         fswalk.check_root(path)
         self._ready()
         base = self.store.versions()
-        found = fswalk.walk(self.spark, [(root_id, path)], self.config.walk_partitions)
+        with self._folder("walk") as folder:
+            found = fswalk.walk(self.spark, [(root_id, path)], folder, self.config.walk_partitions, self._live.teller() if self._live else None)
+            return self._compared(scan_id, root_id, base, found)
+
+    def _compared(self, scan_id: int, root_id: int, base: dict, found: DataFrame) -> dict[str, int]:
+        """The walk's counters; what it changes is published."""
         seen = Observation()
         classified = diff.classify(self.store.read("files", FILES, base, [root_id]), found, keep=True)
         classified = classified.observe(seen, *diff.counts())
@@ -253,15 +276,21 @@ class Engine:
         return counts
 
     @contextmanager
-    def _temporary(self, name: str, frame: DataFrame) -> Iterator[DataFrame]:
-        """``frame`` as a table below home while the block runs."""
+    def _folder(self, name: str) -> Iterator[str]:
+        """A folder below home while the block runs."""
         folder = f"temporary/{name}-{uuid.uuid4().hex[:8]}"
         try:
-            frame.write.parquet(f"{self.store.home}/{folder}")
-            yield self.spark.read.schema(frame.schema).parquet(f"{self.store.home}/{folder}")
+            yield f"{self.store.home}/{folder}"
         finally:
             self.store.drop(folder)
 
+    @contextmanager
+    def _temporary(self, name: str, frame: DataFrame) -> Iterator[DataFrame]:
+        """``frame`` as a table below home while the block runs."""
+        with self._folder(name) as folder:
+            frame.write.parquet(folder)
+            yield self.spark.read.schema(frame.schema).parquet(folder)
+
     def _publish_changes(self, changed: DataFrame, regroup_now: bool = False) -> None:
         """Adds rows of files (with ``was``, the row before), a written table, to their roots, and what they mean for instances; groups follow now or with the next scan's end."""
         if changed.limit(1).count() == 0:
@@ -284,8 +313,16 @@ class Engine:
             due = candidates.partial_candidates(files)
         roots = F.broadcast(self.store.read("roots", ROOTS).select(F.col("id").alias("root_id"), "path"))  # roots are entered by hand: a handful
         due = due.join(roots, "root_id").select("id", "root_id", paths.absolute(F.col("path"), F.col("rel_path")).alias("abs_path"), "size")
-        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        with self._temporary(stage.column, hashing.hash_files(due, stage, tasks)) as results:
+        with self._temporary("due", due) as due:
+            cost = due.agg(F.coalesce(F.sum(stage.cost(F.col("size")).cast("double")), F.lit(0.0))).first()[0]
+            # so many tasks that progress shows, and that a lost one costs little
+            tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_HASH_TASKS, int(cost // self.config.hash_task_bytes) + 1))
+            return self._hashed(files, due, stage, tasks)
+
+    def _hashed(self, files: DataFrame, due: DataFrame, stage: hashing.HashStage, tasks: int) -> int:
+        """Hashes the files that are due and publishes the hashes; bytes read."""
+        told = self._live.teller() if self._live else None
+        with self._temporary(stage.column, hashing.hash_files(due, stage, tasks, told)) as results:
             good = results.where("hash IS NOT NULL")
             read = good.agg(F.coalesce(F.sum(stage.cost(F.col("size"))), F.lit(0))).first()[0]
             with self._temporary("hashed", diff.hash_changes(files, good, stage.column)) as changed:
@@ -343,10 +380,18 @@ class Engine:
 
     def events(self, scan_id: int) -> DataFrame:
         """Events of a scan so far, as a batch; a finished scan always has its terminal event."""
-        return progress.of_scan(progress.with_terminal(self._log(), self.scans()), scan_id)
-
-    def _log(self) -> DataFrame:
-        return self.spark.read.schema(progress.EVENTS).json(self.event_path)
+        return progress.of_scan(progress.with_terminal(progress.read(self.spark, self.event_path, scan_id), self.scan_of(scan_id)), scan_id)
+
+    def hub(self, checkpoint: str, interval: str = "1 second") -> progress.Hub:
+        """One stream over the log for any number of subscribers, of running scans and of finished ones."""
+        return progress.Hub(self.spark, self.event_path, checkpoint, interval, self.scans)
+
+    def roll_up_events(self, seconds: float = 60.0) -> None:
+        """Puts the events of scans that ended ``seconds`` ago or earlier into one file each; a scan does so when it begins."""
+        there = progress.in_log(self.spark, self.event_path)
+        if there:
+            over = self.scans().where(F.col("id").isin(there) & F.expr(f"finished_at < current_timestamp() - INTERVAL {int(seconds)} SECONDS"))
+            progress.roll_up(self.spark, self.event_path, sorted(r.id for r in over.select("id").collect()), self.config.kept_logs)
 
     def subscribe(self, scan_id: int, sink: Callable[[DataFrame, int], None], checkpoint: str, interval: str = "1 second") -> StreamingQuery | None:
         """Feeds a scan's events to ``sink``.

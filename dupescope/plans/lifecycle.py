@@ -28,6 +28,23 @@ def without_root(table: DataFrame, root_id: int, column: str = "root_id") -> Dat
     return table.where(F.col(column) != root_id)
 
 
+#: White space that is cut off a path or label.
+BLANK = " \t\n\r\x0b\x0c"
+
+
+def cleaned(given: DataFrame) -> DataFrame:
+    """Roots as they are entered (path, label), trimmed; those without a path are left out, and one without a label is named after its folder."""
+    cut = given.select(F.btrim("path", F.lit(BLANK)).alias("path"), F.btrim(F.coalesce("label", F.lit("")), F.lit(BLANK)).alias("label")).where("path <> ''")
+    folder = F.element_at(F.split("path", "/"), -1)
+    named = F.when(F.col("label") != "", F.col("label")).when(folder != "", folder).otherwise(F.col("path"))
+    return cut.select("path", named.alias("label"))
+
+
+def absent(roots: DataFrame, directories: DataFrame) -> DataFrame:
+    """Roots (path) that aren't among the directories that there are (path): a scan of one fails before it compares anything."""
+    return roots.join(directories.select("path"), "path", "left_anti")
+
+
 def undiscovered(listing: DataFrame, roots: DataFrame) -> DataFrame:
     """Listed paths that no root has."""
     return listing.join(roots.select("path"), "path", "left_anti")

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .functions import formatting, matching, paths, versioning
-from .operators import browse, candidates, deltas, diff, groups, hashing, regroup, rescan
+from .functions import entries, formatting, matching, paths, versioning
+from .operators import browse, candidates, deltas, diff, groups, hashing, migrate, regroup, rescan
 from .plans import lifecycle, pipeline
 from .sources import corpus
 from .streaming import progress
@@ -166,6 +167,16 @@ def content_hashes(spark, d):  # noqa: ANN001, ANN201
     return docs(spark, d).select(F.col("doc_id").alias("id"), hashing.full_hash(F.col("text")).alias("full_hash"), hashing.sampled_bytes(F.octet_length("text").cast("bigint"), N).alias("sampled_bytes"))
 
 
+@query(
+    FILES
+    + """, placed AS (SELECT id, size, id % 256 AS run, sum(size) OVER (ORDER BY id % 256, id ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM files)
+SELECT id, size, CAST(least(15, before * 16 // total) AS INTEGER) AS task FROM placed"""
+)
+def hash_tasks(spark, d):  # noqa: ANN001, ANN201
+    """The task of each file when bytes are dealt out evenly over sixteen."""
+    return hashing.deal_by_bytes(corpus.plain_files(docs(spark, d)).select("id", "size"), 16).select("id", "size", "task")
+
+
 # ------------------------------------------------------------------ groups and browsing
 
 
@@ -281,6 +292,57 @@ def relative_path(spark, d):  # noqa: ANN001, ANN201
     return files(spark, d).select("id", paths.relative(root, paths.absolute(F.col("root_path"), F.col("rel_path"))).alias("rel_path"))
 
 
+@query(
+    """WITH e AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE (l_orderkey % 16) * 4096 + l_partkey % 512 END AS mode FROM lineitem)
+SELECT id, CASE WHEN mode IS NULL THEN 'unreadable' ELSE CASE mode & 61440 WHEN 32768 THEN 'file' WHEN 16384 THEN 'directory' WHEN 40960 THEN 'link' WHEN 4096 THEN 'pipe' WHEN 49152 THEN 'socket'
+  WHEN 8192 THEN 'character device' WHEN 24576 THEN 'block device' ELSE 'unknown' END END AS kind FROM e"""
+)
+def entry_kinds(spark, d):  # noqa: ANN001, ANN201
+    """What entries are by their modes, as the walk decides."""
+    mode = F.when(F.col("l_orderkey") % 7 != 0, (F.col("l_orderkey") % 16) * 4096 + F.col("l_partkey") % 512)
+    return spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), entries.kind(mode).alias("kind"))
+
+
+@query(
+    """WITH e AS (SELECT 1000000 + l_orderkey * 10 + l_linenumber AS id, l_suppkey AS size, CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE (l_orderkey % 16) * 4096 END AS mode FROM lineitem)
+SELECT count(*) AS met, count(*) FILTER (mode & 61440 = 32768) AS files, CAST(sum(size) FILTER (mode & 61440 = 32768) AS BIGINT) AS bytes, count(*) FILTER ((mode & 61440 = 32768) IS NOT TRUE) AS skipped FROM e"""
+)
+def walk_regular_files(spark, d):  # noqa: ANN001, ANN201
+    """Only regular files come through a walk; the others are skipped and have no stat."""
+    mode = F.when(F.col("l_orderkey") % 7 != 0, (F.col("l_orderkey") % 16) * 4096)
+    met = spark.read.parquet(f"{d}/lineitem.parquet").select(F.lit(1).alias("root_id"), F.lit("/").alias("abs_path"), F.lit("x").alias("rel_path"), F.col("l_suppkey").cast("long").alias("size"), *(F.lit(1).alias(c) for c in ("mtime_ns", "device", "inode")), mode.alias("mode"))
+    return entries.as_walk(met).agg(F.count("*").alias("met"), F.count_if(~F.col("skipped")).alias("files"), F.sum("size").alias("bytes"), F.count_if("skipped").alias("skipped"))
+
+
+_ENTERED = "SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN chr(9) || ' ' ELSE ' /data/' || source || CASE WHEN doc_id % 3 = 0 THEN '/' ELSE '' END || chr(10) END AS path, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '  ' ELSE ' ' || lang || ' ' END AS label FROM documents"
+
+
+@query(
+    f"""WITH given AS ({_ENTERED}), cut AS (SELECT trim(path, ' ' || chr(9) || chr(10)) AS path, trim(coalesce(label, ''), ' ') AS label FROM given)
+SELECT path, CASE WHEN label <> '' THEN label WHEN ends_with(path, '/') THEN path ELSE split_part(path, '/', -1) END AS label, count(*) AS n FROM cut WHERE path <> '' GROUP BY 1, 2"""
+)
+def roots_entered(spark, d):  # noqa: ANN001, ANN201
+    """Roots as they are typed in: trimmed, named, those without a path left out."""
+    i = F.col("doc_id")
+    path = F.when(i % 5 == 0, "\t ").otherwise(F.concat(F.lit(" /data/"), "source", F.when(i % 3 == 0, "/").otherwise(""), F.lit("\n")))
+    label = F.when(i % 4 == 1, "  ").when(i % 4 > 1, F.concat(F.lit(" "), "lang", F.lit(" ")))
+    return lifecycle.cleaned(docs(spark, d).select(path.alias("path"), label.alias("label"))).groupBy("path", "label").agg(F.count("*").alias("n"))
+
+
+@query(FILES + "SELECT id, path FROM roots WHERE path NOT IN (SELECT root_path FROM files WHERE id % 40 = 0)")
+def roots_absent(spark, d):  # noqa: ANN001, ANN201
+    """Roots that a listing of directories doesn't have."""
+    there = files(spark, d).where("id % 40 = 0").select(F.col("root_path").alias("path")).distinct()
+    return lifecycle.absent(corpus.roots(docs(spark, d)), there).select("id", "path")
+
+
+@query(FILES + "SELECT root_id, split_part(rel_path, '/', 1) AS directory, count(*) AS files FROM files WHERE contains(rel_path, '/') GROUP BY 1, 2")
+def top_directories(spark, d):  # noqa: ANN001, ANN201
+    """Immediate sub-directories of the roots, with the files below each."""
+    top = paths.top_directory(F.col("rel_path"))
+    return files(spark, d).select("root_id", top.alias("directory")).where("directory IS NOT NULL").groupBy("root_id", "directory").agg(F.count("*").alias("files"))
+
+
 # ------------------------------------------------------------------ snapshots
 
 
@@ -332,6 +394,14 @@ def delta_snapshot(spark, d):  # noqa: ANN001, ANN201
     return deltas.Newest(("id",)).read(base, [first, second, third])
 
 
+@query(FILES + "SELECT id, root_id, rel_path, size, mtime_ns, 'present' AS status, CAST(NULL AS BIGINT) AS last_seen_scan_id FROM files")
+def migrated_files(spark, d):  # noqa: ANN001, ANN201
+    """Files of an earlier shape (int sizes, another name of a column, one that is gone, two that are missing) as those of now."""
+    old = files(spark, d).select(F.col("id").cast("int").alias("id"), "root_id", F.col("rel_path").alias("path_below"), F.col("size").cast("int").alias("size"), "mtime_ns", F.lit("x").alias("note"))
+    wanted = T.StructType([*(T.StructField(c, T.LongType()) for c in ("id", "root_id")), T.StructField("rel_path", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("size", "mtime_ns")), T.StructField("status", T.StringType()), T.StructField("last_seen_scan_id", T.LongType())])
+    return migrate.apply(old, migrate.plan(old.schema, wanted, {"status": "present"}, {"rel_path": "path_below"}))
+
+
 def _changed_files(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """An earlier state of the files, and the rows in which the current one differs, with ``was``."""
     now = files(spark, d).select("id", "status", *regroup.INSTANCE)
@@ -533,9 +603,11 @@ BYTES_SQL = "CASE " + " ".join(f"WHEN b >= {1 << 10 * k} THEN printf('%.1f {u}B'
 @query(f"SELECT id, {BYTES_SQL} AS size_text FROM (SELECT l_orderkey * 10 + l_linenumber AS id, CAST(l_orderkey * l_orderkey * l_partkey * (l_linenumber * l_linenumber - 3) AS BIGINT) AS v FROM lineitem) t, LATERAL (SELECT abs(v) AS b)")
 def format_bytes(spark, d):  # noqa: ANN001, ANN201
     items = spark.read.parquet(f"{d}/lineitem.parquet")
-    line, order = F.col("l_linenumber").cast("bigint"), F.col("l_orderkey").cast("decimal(38,0)")
-    size = F.abs(order * order * F.col("l_partkey") * (line * line - 3))  # beyond 64 bits from some millions of orders
-    return items.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), formatting.format_bytes(size).alias("size_text"))
+    line = F.col("l_linenumber").cast("bigint")
+    size = lambda order: F.abs(order * order * F.col("l_partkey") * (line * line - 3))
+    fits = size(F.col("l_orderkey").cast("double")) < float(1 << 62)  # beyond 64 bits from some millions of orders
+    text = F.when(fits, formatting.format_bytes(size(F.col("l_orderkey").cast("bigint")))).otherwise(formatting.format_bytes(size(F.col("l_orderkey").cast("decimal(38,0)"))))
+    return items.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), text.alias("size_text"))
 
 
 @query(FILES + "SELECT id, substr(full_hash, 1, 12) AS short_hash FROM files")

@@ -49,8 +49,9 @@ class EngineConfig:
 
     ``sample_size``: bytes of each of the three samples; files of up to three samples are
     hashed whole.  ``reuse_partial``: don't sample a file again whose sample is known.
-    ``walk_partitions``: least number of sub-trees that the walk is cut into.
-    ``tick_seconds``: time between two progress events of a running scan.
+    ``walk_partitions``: tasks of a round of the walk.  ``hash_task_bytes``: bytes that a hashing
+    task reads.  ``tick_seconds``: time between two progress events of a running scan.
+    ``kept_logs``: finished scans whose events are kept.
     """
 
     sample_size: int = 65536
@@ -59,6 +60,8 @@ class EngineConfig:
     hash_chunk: int = 1 << 20
     page_size: int = 25
     tick_seconds: int = 1
+    hash_task_bytes: int = 64 << 20
+    kept_logs: int = 100
 
     @classmethod
     def from_env(cls, env: Mapping[str, str] | None = None) -> EngineConfig:
