@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
@@ -275,3 +276,24 @@ def test_random_changes_equal_fresh_scan(spark, tmp_path):
     fresh.add_root(str(at))
     fresh.scan()
     assert sorted(e.duplicates().collect()) == sorted(fresh.duplicates().collect())
+
+
+def test_a_finished_scan_is_one_file_of_events_and_a_hub_serves_late_subscribers(spark, tmp_path):
+    put(tmp_path / "tree", {"a": "1", "b": "1"})
+    e = engine(spark, tmp_path)
+    e.scan()
+    told = sorted((r.type, r.elapsed_ms, r.files_seen) for r in e.events(1).collect())
+    e.roll_up_events(0)
+    assert not list((tmp_path / "home" / "events").rglob("*.json")) and len(list((tmp_path / "home").rglob("part-*.json"))) == 1
+    assert sorted((r.type, r.elapsed_ms, r.files_seen) for r in e.events(1).collect()) == told
+    hub, late = e.hub(str(tmp_path / "c"), "100 milliseconds"), []
+    try:
+        hub.subscribe(1, lambda batch, _: late.extend((r.type, r.files_seen) for r in batch.collect()))
+        end = time.time() + 60
+        while not late and time.time() < end:
+            time.sleep(0.1)
+    finally:
+        hub.stop()
+    assert late == [("scan_completed", 2)]
+    e.scan()  # a log whose earlier scans are rolled up goes on
+    assert [r.type for r in e.events(2).orderBy("elapsed_ms").collect()][-1] == "scan_completed"
