@@ -136,6 +136,22 @@ def test_no_training_rows_and_nulls(spark):
     assert got[None].n_tokens == 1 and got[None].train_tokens == 1 and got[1].n_tokens == 3
 
 
+def test_repeated_rows_clashing_columns_and_a_text_beyond_a_block(spark):
+    rng = np.random.default_rng(8)
+    long = " ".join(rng.choice([f"longer{i}" for i in range(40)], 800_000))
+    assert len(long) > katz.BLOCK_BYTES
+    docs = texts(30)
+    docs += [docs[3], docs[3], docs[-1], (900, long, False)]
+    expected, *_ = brute(docs, 2)
+    clash = [(*d, 1, "x", 2.0) for d in docs]
+    got = katz.score(spark.createDataFrame(clash, "doc_id long, text string, held_out boolean, k int, part string, score double").repartition(2)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, *_ in docs)
+    for r in got:
+        n, known, n_all, base, score = expected[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, n_all)
+        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-9)
+
+
 def test_empty_table(spark):
     assert katz.score(spark.createDataFrame([], "doc_id long, text string, held_out boolean")).count() == 0
 

@@ -38,6 +38,15 @@ def test_special_rows(spark):
     assert toxicity.score(docs.where("doc_id > 9999"), weights).count() == 0
 
 
+def test_repeated_rows_are_rows_of_their_own(spark):
+    rows = [(i, ["alpha beta", "gamma delta"][i % 2] + f" w{i} filler") for i in range(120)]
+    docs = spark.createDataFrame([*rows, rows[0], rows[1], rows[1]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    weights = toxicity.train(toxicity.labelled(docs, labels, 100, 1000))
+    got = [(r.doc_id, r.score) for r in toxicity.score(docs, weights).collect()]
+    assert len(got) == 123 and len(set(got)) == 120 and [i for i, _ in got].count(1) == 3
+
+
 def brute_ftrl(samples, l1, alpha=0.6, beta=1.0, epochs=6):
     """FTRL-proximal coordinate by coordinate, after the published update; the intercept has no L1."""
     z, n = {}, {}
