@@ -9,8 +9,8 @@ the response; the others are revisits that name it.
 Reading: each file is parsed member by member, or record by record where it is plain.  A
 member or record that fails a check (magic, CRC, length, version line, block digest) is
 not trusted: the reader searches the next place where a valid one of either kind starts,
-goes on there, and logs the bytes between as a quarantined gap.  One member is held at a
-time, and its block is dropped when its row is made.
+goes on there, and logs the bytes between as a quarantined gap.  Files are mapped where all
+machines mount them, so their size is no bound.  One member is held at a time, and its block is dropped when its row is made.
 
 Defined results: a null html is the empty payload.  Records are told apart by page_id:
 rows that repeat the largest page_id of a payload are all responses.  A null page_id
@@ -22,10 +22,13 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import mmap
+import os
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,8 +42,8 @@ GZIP = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: WARC-Date of records whose rows carry no time of their own.
 DATE = "2000-01-01T00:00:00Z"
-#: Compressed bytes of a piece (more if one member is longer), and pieces of a file.  A file is
-#: read as one value, so with pages of up to 100 MB it stays below the 2 GB of a value.
+#: Compressed bytes of a piece (more if one member is longer), and pieces of a file.  From a store
+#: that isn't mounted a file is read as one value; with pages of up to 100 MB it stays below 2 GB.
 PIECE_BYTES, PIECES_PER_FILE = 1 << 20, 16
 END = b"\r\n\r\n"
 START = re.compile(rb"WARC/\d\.\d\r?\n")
@@ -110,7 +113,7 @@ def parse_plain(data: bytes, at: int) -> tuple[Record, int] | str:
         return "no version line"
     headers: dict[str, str] = {}
     body = version.end()
-    while not data.startswith(b"\r\n", body):
+    while data[body : body + 2] != b"\r\n":
         line = HEADER.match(data, body)
         if not line:
             return "bad header line"
@@ -173,7 +176,7 @@ def unit(data: bytes, at: int, searched: bool) -> tuple[list[Record], list[tuple
 
     A place that a search found may be a gzip payload, so its member must hold a version line or nothing.
     """
-    if not data.startswith(GZIP, at):
+    if data[at : at + 3] != GZIP:
         found = parse_plain(data, at)
         return found if isinstance(found, str) else ([found[0]], [], found[1])
     found = inflate(data, at)
@@ -279,10 +282,11 @@ def parse_batches(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)], names=names)
 
     for batch in batches:
-        for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+        contents = batch.column("content") if "content" in batch.schema.names else None
+        for k, path in enumerate(batch.column("path").to_pylist()):
             made: list[tuple] = []
             size = 0
-            for found in units(content.as_buffer().to_pybytes()):
+            for found in units(mapped(path) if contents is None else contents[k].as_buffer().to_pybytes()):
                 made.append(row_of(path, found, payloads))
                 size += len(made[-1][-1] or b"")
                 if len(made) >= 500 or size > 4 << 20:
@@ -292,6 +296,12 @@ def parse_batches(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator
                 yield flush(made)
 
 
+def mapped(path: str) -> bytes | mmap.mmap:
+    """The bytes of a file that this machine's file system has, of any size, without reading them in."""
+    with open(unquote(urlparse(path).path), "rb") as f:
+        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) if os.fstat(f.fileno()).st_size else b""
+
+
 def row_of(path: str, found: Record | tuple[int, int, str], payloads: bool) -> tuple:
     """A record or gap as a row of RECORD_TYPES."""
     if not isinstance(found, Record):
@@ -306,9 +316,15 @@ def row_of(path: str, found: Record | tuple[int, int, str], payloads: bool) -> t
 
 
 def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """Records and gaps (rows with ``gap`` set) of all archives below ``path``."""
+    """Records and gaps (rows with ``gap`` set) of all archives below ``path``.
+
+    Archives in a folder that all machines mount are mapped, whatever their size; of other
+    stores Spark hands a task the file as one value, which ends at 2 GB.
+    """
     common.bound_batches(spark)
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    mounted = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getScheme() == "file"
+    files = spark.read.format("binaryFile").load(path).select("path", *([] if mounted else ["content"]))
     return files.mapInArrow(common.tidy(lambda b: parse_batches(b, payloads)), RECORD_TYPES)
 
 

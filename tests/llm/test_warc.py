@@ -179,6 +179,26 @@ def test_damaged_archives_are_read_through_spark(spark, tmp_path):
     assert sorted((r.first_byte, r.end_byte) for r in warc.quarantine(found).collect()) == [(at[3], at[4]), (at[20], at[21])]
 
 
+def test_an_archive_of_more_than_two_gigabytes(spark, tmp_path):
+    (tmp_path / "a b%").mkdir()
+    at, size = tmp_path / "a b%" / "large ä.warc", (2 << 30) + 12345
+    first, last = made(2)
+    with open(at, "wb") as f:  # sparse: all zeros but for a record at either end
+        f.write(first)
+        f.seek(size)
+        f.write(last)
+    found = warc.read(spark, str(tmp_path / "a b%"), payloads=True)
+    assert sorted((r.page_id, r.offset, bytes(r.payload)) for r in warc.records(found).collect()) == [(0, 0, b"body 0"), (1, size, b"body 1")]
+    assert [(r.first_byte, r.end_byte) for r in warc.quarantine(found).collect()] == [(len(first), size)]
+
+
+def test_files_of_another_store_come_as_values(spark, tmp_path):
+    (tmp_path / "a.warc").write_bytes(b"".join(made(3)))
+    batch = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content").toArrow().to_batches()
+    (out,) = warc.parse_batches(iter(batch), False)
+    assert out.column("page_id").to_pylist() == [0, 1, 2]
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert warc.op2_warc(spark, str(tmp_path)).count() == 0
