@@ -57,6 +57,8 @@ LARGE = 1000
 #: Members of a block that meet in one task: larger blocks are dealt out, every pair of buckets to a key of its own.
 SPLIT = 1000
 LEAF, FAN = 16, 4
+#: Ids that are broadcast at most.
+MOST_IDS = 2_000_000
 U64 = np.uint64
 
 
@@ -462,9 +464,15 @@ def linked(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component (the least doc_id; of repeated rows all), all columns."""
-    gone = linked(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each component (the least doc_id; of repeated rows all), all columns.
+
+    Up to MOST_IDS ids of documents that go are broadcast, 8 bytes each, so that no text is
+    shuffled; more are joined.
+    """
+    tables = common.Workspace(docs.sparkSession, "kept")
+    gone = tables.write(linked(docs).where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    side = F.broadcast(gone) if gone.count() <= MOST_IDS else gone
+    return docs.join(side, "doc_id", "left_anti").select(docs.columns)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

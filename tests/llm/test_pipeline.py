@@ -66,6 +66,15 @@ def test_secret_stage_learns_from_every_document(spark):
     assert secrets.find(rows[0][1])[1]  # with the fixed words alone it is a secret
 
 
+@pytest.mark.parametrize("most", [0, 2_000_000])
+def test_near_duplicates_go_whether_their_ids_are_broadcast_or_joined(spark, most, monkeypatch):
+    monkeypatch.setattr(jaccard, "MOST_IDS", most)
+    texts = ["one two three four five six", "seven eight nine ten eleven twelve"]
+    rows = [(i, texts[i % 2], "x") for i in range(8)] + [(None, texts[0], "x"), (9, None, "x"), (0, texts[0], "y")]
+    out = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, h string"))
+    assert out.columns == ["doc_id", "text", "h"] and sorted(map(str, (r.doc_id for r in out.collect()))) == ["0", "0", "1", "9", "None"]
+
+
 @pytest.mark.parametrize("copies", [6, 1000])
 def test_secret_stage_keeps_finding_what_is_copied(spark, copies):
     rows = [(i, f"note {i} pwd = 'qzxkvbwjrtph' end", "en", "src", 9) for i in range(copies)]  # near copies, below 0.8
