@@ -33,7 +33,7 @@ from . import common
 #: Words remembered between batches of a task.
 CACHE_WORDS = 200_000
 #: Text bytes of one batch whose distinct words share an index.
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 6 << 20
 
 
 def byte_symbols() -> list[str]:
